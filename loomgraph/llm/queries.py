@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, packing, sharding, url_filters
+from loomgraph.llm import bpe, ngram_join, packing, sharding, url_filters
 
 
 def _pipeline(spark, sf_dir):
@@ -12,6 +12,7 @@ def _pipeline(spark, sf_dir):
 
 
 QUERIES = {
+    "op5_ngram_vertical_join": ngram_join.op5_ngram_vertical_join,
     "op3_mixture_packing": packing.op3_mixture_packing,
     "op6_feistel_sharding": sharding.op6_feistel_sharding,
     "op7_glob_url_filter": url_filters.op7_glob_url_filter,
