@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, ngram_join, packing, quality_rules, sharding, url_filters
+from loomgraph.llm import bpe, ngram_join, packing, quality_rules, secrets, sharding, url_filters
 
 
 def _pipeline(spark, sf_dir):
@@ -12,6 +12,7 @@ def _pipeline(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_multipart_credentials": secrets.op2_multipart_credentials,
     "op1_distribution_divergence": quality_rules.op1_distribution_divergence,
     "op5_ngram_vertical_join": ngram_join.op5_ngram_vertical_join,
     "op3_mixture_packing": packing.op3_mixture_packing,
