@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, near_vectors, ngram_join, packing, quality_rules, secrets, sharding, url_filters
+from loomgraph.llm import bpe, near_vectors, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, url_filters
 
 
 def _pipeline(spark, sf_dir):
@@ -12,6 +12,7 @@ def _pipeline(spark, sf_dir):
 
 
 QUERIES = {
+    "op10_attention_mil": quality_classifier.op10_attention_mil,
     "op8_nn_descent": near_vectors.op8_nn_descent,
     "op2_multipart_credentials": secrets.op2_multipart_credentials,
     "op1_distribution_divergence": quality_rules.op1_distribution_divergence,
