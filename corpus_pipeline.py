@@ -1,4 +1,62 @@
-"""The training-corpus pipeline: quality rules, classifier, near-duplicates, secrets, packing."""
+"""The training-corpus pipeline: quality rules, classifier, near-duplicates, secrets, packing.
 
-STAGES = []
+Every stage takes the documents that its predecessor kept, written as Parquet, and its
+decisions take effect: rejected documents and all but one document of each near-duplicate
+group go, secrets are replaced in the texts, and the last stage packs what is left.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomgraph.llm import ngram_join, packing, quality_classifier, quality_rules, secrets
+from loomgraph.llm._store import staged
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or diverge from every language go."""
+    return quality_rules.keep_documents(docs)
+
+
+def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for low quality go; it learns from the labelled ones among them."""
+    return quality_classifier.keep_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: 5-word shingles, Jaccard similarity of 0.8 or more."""
+    return ngram_join.keep_one_of_each(docs, 5, 80)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets and linked credential parts are replaced in the texts."""
+    return secrets.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens packed into sequences at the corpus's mixture of sources."""
+    import public_tokenizers as vocabularies
+
+    return packing.pack(docs, vocabularies.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", apply_quality_rules),
+    ("quality classifier", apply_quality_classifier),
+    ("near duplicates", drop_near_duplicates),
+    ("secret scans", redact_secrets),
+    ("packing", pack_sequences),
+]
+
+#: SQL can't express the classifier and the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; the last one's rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = staged(docs, f"stage{i + 1}")
+    return docs
