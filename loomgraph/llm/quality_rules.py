@@ -33,7 +33,7 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "pas"],
 }
 #: Character classes, each as a regular expression's set; what is in none is "other".
-CHAR_CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": SPACE, "stop": r".,;:!?'\x22()-", "foreign": r"\x{80}-\x{10FFFF}"}
+CHAR_CLASSES = {"lower": "a-z", "space": SPACE, "upper": "A-Z", "digit": "0-9", "stop": r".,;:!?'\x22()-", "foreign": r"\x{80}-\x{10FFFF}"}
 ALL_WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
 
 
@@ -61,12 +61,15 @@ def _counted(docs: DataFrame) -> DataFrame:
     text = text.withColumn("_words", words)
     known = [s for w in ALL_WORDS for s in _spellings(w)]
     common = F.filter("_words", lambda w: w.isin(known))
-    text = text.withColumn("_n", F.size("_words")).withColumn("_common", F.concat(F.lit(" "), F.lower(F.array_join(common, "  ")), F.lit(" ")))
-    size = F.length("text")
-    classes = [size - F.length(F.regexp_replace("text", f"[{chars}]+", "")) for chars in CHAR_CLASSES.values()]
+    text = text.withColumn("_n", F.size("_words")).withColumn("_common", F.concat(F.lit(" "), F.lower(F.concat_ws("  ", common)), F.lit(" ")))
+    # Lower-case letters go first, then spaces: the other classes are counted in the little that is left.
+    rest, sizes = "text", []
+    for i, chars in enumerate(CHAR_CLASSES.values()):
+        text = text.withColumn(f"_rest{i}", F.regexp_replace(rest, f"[{chars}]+", ""))
+        sizes.append(F.length(rest) - F.length(f"_rest{i}"))
+        rest = f"_rest{i}"
     hits = [((F.length("_common") - F.length(F.replace("_common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int") for w in ALL_WORDS]
-    text = text.withColumn("_hits", F.array(*hits)).withColumn("_classes", F.array(*classes)).withColumn("_size", size)
-    return text.withColumn("_classes", F.concat("_classes", F.array(F.col("_size") - F.aggregate("_classes", F.lit(0), lambda a, x: a + x))))
+    return text.withColumn("_hits", F.array(*hits)).withColumn("_classes", F.array(*sizes, F.length(rest))).withColumn("_size", F.length("text"))
 
 
 def _word_counts(lang: str) -> Column:
@@ -75,11 +78,20 @@ def _word_counts(lang: str) -> Column:
     return F.concat(own, F.array(F.col("_n") - F.aggregate(own, F.lit(0), lambda a, x: a + x)))
 
 
+def _computed_once(df: DataFrame) -> DataFrame:
+    """df with a row number, to be named in the filters that follow.
+
+    It is a bound for the optimizer, which would push such a filter below the columns that it
+    is made of and compute each of them anew wherever another uses it.
+    """
+    return df.withColumn("_row", F.monotonically_increasing_id())
+
+
 def fit_references(docs: DataFrame, bounds: Bounds = Bounds()) -> dict[str, tuple[list[float], list[float]]]:
     """lang -> (shares of the character classes, shares of the common words and of the rest)."""
-    text = _counted(docs.select("text", "lang")).filter((F.col("_n") >= bounds.least_words_compared) & F.col("lang").isin(sorted(COMMON_WORDS)))
+    text = _computed_once(_counted(docs.select("text", "lang").filter(F.col("lang").isin(sorted(COMMON_WORDS))))).filter((F.col("_row") >= 0) & (F.col("_n") >= bounds.least_words_compared))
     upper, signs = F.get("_classes", F.lit(list(CHAR_CLASSES).index("upper"))), F.get("_classes", F.lit(len(CHAR_CLASSES)))
-    text = text.filter((100 * upper <= bounds.most_upper_percent_fitted * F.col("_size")) & (100 * signs <= bounds.most_signs_percent_fitted * F.col("_size")))
+    text = text.filter((F.col("_row") >= 0) & (100 * upper <= bounds.most_upper_percent_fitted * F.col("_size")) & (100 * signs <= bounds.most_signs_percent_fitted * F.col("_size")))
     words = F.coalesce(*(F.when(F.col("lang") == lang, _word_counts(lang)) for lang in sorted(COMMON_WORDS)))
     text = text.select("lang", "_classes", "_size", "_n", words.alias("_own"))
     n_classes, n_words = len(CHAR_CLASSES) + 1, 17
@@ -135,8 +147,8 @@ def measure(docs: DataFrame) -> DataFrame:
     text = text.withColumn("_lines", lines)
     return text.withColumns({
         "n_words": F.col("_n").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long"),
+        "word_chars": (F.col("_size") - F.get("_classes", F.lit(list(CHAR_CLASSES).index("space")))).cast("long"),
+        "n_symbols": (F.length("_rest1") - F.length(F.regexp_replace("_rest1", r"[#*$%&|<>]+", ""))).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.when(F.col("_again"), covered).otherwise(0).cast("long"),
     })
@@ -168,7 +180,8 @@ def judge(docs: DataFrame, references: dict[str, tuple[list[float], list[float]]
 
 def keep_documents(docs: DataFrame, references: dict | None = None, bounds: Bounds = Bounds()) -> DataFrame:
     """The rows that the rules keep, with their own columns."""
-    return judge(docs, references, bounds).filter("kept").select(*docs.columns)
+    judged = _computed_once(judge(docs.withColumn("_text", F.col("text")), references, bounds))
+    return judged.filter("kept AND _row >= 0").withColumn("text", F.col("_text")).select(*docs.columns)
 
 
 def op1_distribution_divergence(spark, sf_dir: str) -> DataFrame:
