@@ -1,31 +1,7 @@
-"""Tables that a job writes between its steps, in the folder that all executors share.
-
-A written table cuts lineage and survives lost executors. The folder is the session's
-``spark.checkpoint.dir``; only a local session without that setting gets a temporary folder.
-"""
+"""Tables written between steps: the library's own store."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one in local tests only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
+from loomgraph.store import dropped, shared_dir, staged
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["dropped", "shared_dir", "staged"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, near_vectors, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, url_filters
+from loomgraph.llm import binpack, bpe, near_vectors, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, url_filters
 
 
 def _pipeline(spark, sf_dir):
@@ -12,11 +12,13 @@ def _pipeline(spark, sf_dir):
 
 
 QUERIES = {
+    "pipeline": _pipeline,
     "op10_attention_mil": quality_classifier.op10_attention_mil,
     "op8_nn_descent": near_vectors.op8_nn_descent,
     "op2_multipart_credentials": secrets.op2_multipart_credentials,
     "op1_distribution_divergence": quality_rules.op1_distribution_divergence,
     "op5_ngram_vertical_join": ngram_join.op5_ngram_vertical_join,
+    "op4_best_fit_packing": binpack.op4_best_fit_packing,
     "op3_mixture_packing": packing.op3_mixture_packing,
     "op6_feistel_sharding": sharding.op6_feistel_sharding,
     "op7_glob_url_filter": url_filters.op7_glob_url_filter,
