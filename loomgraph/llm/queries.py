@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import binpack, bpe, near_vectors, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, url_filters
+from loomgraph.llm import binpack, bpe, near_vectors, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, sql, url_filters
 
 
 def _pipeline(spark, sf_dir):
@@ -25,4 +25,10 @@ QUERIES = {
     "op9_bpe_tree_encode": bpe.op9_bpe_tree_encode,
 }
 
-SQL = {"op7_glob_url_filter": url_filters.op7_sql()}
+SQL = {
+    "op1_distribution_divergence": sql.op1(),
+    "op2_multipart_credentials": sql.op2(),
+    "op5_ngram_vertical_join": sql.op5(),
+    "op7_glob_url_filter": url_filters.op7_sql(),
+    "op8_nn_descent": sql.op8(),
+}
