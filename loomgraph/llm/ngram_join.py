@@ -11,7 +11,7 @@
 4. Comparisons are counted by vertical partitioning: the global order is cut into fragments of
    equal weight, overlaps of a pair are counted fragment by fragment and summed per pair.
 5. Linked classes form components. Left over are pairs of a bucket in different components.
-   A further hub round runs among those outside the bucket's main component, then every pair
+   Further hub rounds may run among those outside the bucket's main component; then every pair
    left over is compared, save those that the distance to a common hub excludes: Jaccard
    distance is a metric, so |d(x, hub) - d(y, hub)| > 1 - t proves that x and y have no link.
    Pairs within a component need no comparison. No link between components is lost.
@@ -34,11 +34,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm._components import components
-from loomgraph.llm._store import staged
-from loomgraph.llm._words import shingle_sets
+from loomgraph.llm._store import dropped, staged
+from loomgraph.llm._words import mix64, shingle_sets
 
 COUNT_BITS = 20
 CHUNKS = 64
@@ -71,17 +72,16 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
             none = [None] * len(sizes)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([batch.column("doc_id"), batch.column("text_hash"), sizes, sids, none, none, none], types)], names=names)
         if seen:
-            rows = counts.reshape(CHUNKS, -1)
             none = [None] * CHUNKS
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([none, none, none, none, list(range(CHUNKS)), [part] * CHUNKS, [r.astype("<i8").tobytes() for r in rows]], types)], names=names)
+            rows = zip(*_table_rows(counts, part))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([none, none, none, none, *rows], types)], names=names)
 
     schema = "doc_id long, text_hash long, n long, sid long, chunk int, part int, counts binary"
     return staged(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema), "profiles")
 
 
-def _bucket_counts(profiles: DataFrame, fan_in: int = 64) -> np.ndarray:
-    """The shingle counts by hash bucket over all documents: a table of fixed size, merged as a tree."""
-    parts = profiles.filter("chunk IS NOT NULL").select("chunk", "part", "counts")
+def _add_up(parts: DataFrame, fan_in: int = 64) -> np.ndarray:
+    """The sum of all partitions' tables (chunk, part, counts), merged as a tree. Its size is fixed."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, "<i8") for x in pdf["counts"])
@@ -100,6 +100,28 @@ def _bucket_counts(profiles: DataFrame, fan_in: int = 64) -> np.ndarray:
     return np.concatenate([rows[c] for c in range(CHUNKS)])
 
 
+def _table_rows(counts: np.ndarray, part: int) -> list[tuple[int, int, bytes]]:
+    return [(c, part, row.astype("<i8").tobytes()) for c, row in enumerate(counts.reshape(CHUNKS, -1))]
+
+
+def _mark(sid: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    return _bucket(mix64(sid.view(np.uint64) ^ mix64(doc_id.view(np.uint64))))
+
+
+def _marks(wanted: DataFrame) -> np.ndarray:
+    """A flag for each hash bucket that holds a class's first document: lets most others be skipped where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            counts[_mark(batch.column("sid").to_numpy(), batch.column("doc_id").fill_null(0).to_numpy())] = 1
+        if counts.any():
+            rows = zip(*_table_rows(counts, TaskContext.get().partitionId()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "part", "counts"])
+
+    return _add_up(staged(wanted.select("sid", "doc_id").mapInArrow(run, "chunk int, part int, counts binary"), "marks")) > 0
+
+
 def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -133,24 +155,30 @@ def _postings(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
 
 def _segments(docs: DataFrame, wanted: DataFrame, k: int, counts, pivots: np.ndarray) -> DataFrame:
     """sid, fragment, shingles of the wanted classes: each set cut at the pivots of the global order."""
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    marks = np.packbits(_marks(wanted))
+    flags = docs.sparkSession.sparkContext.broadcast(marks)  # one bit for each of 2^20 buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
+        table, marked = counts.value, np.unpackbits(flags.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 sids, frags, parts = [], [], []
-                for s in shingle_sets(whole.column("text").slice(at, 512).to_pylist(), k):
+                docs_at = whole.column("doc_id").slice(at, 512).fill_null(0).to_numpy()
+                for i, s in enumerate(shingle_sets(whole.column("text").slice(at, 512).to_pylist(), k)):
                     if not len(s):
                         continue
-                    where, sid = np.searchsorted(pivots, table[_bucket(s)], side="right"), _class_id(s)
+                    sid = _class_id(s)
+                    if not marked[_mark(np.array([sid]), docs_at[i : i + 1])[0]]:
+                        continue
+                    where = np.searchsorted(pivots, table[_bucket(s)], side="right")
                     for f in np.unique(where).tolist():
                         sids.append(sid)
                         frags.append(f)
                         parts.append(s[where == f].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(frags, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["sid", "fragment", "shingles"])
 
-    return texts.mapInArrow(run, "sid long, fragment int, shingles array<long>").join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid", "fragment"])
+    found = docs.select("doc_id", "text").mapInArrow(run, "sid long, fragment int, shingles array<long>")
+    return found.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid", "fragment"])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, counts, pivots: np.ndarray) -> DataFrame:
@@ -165,33 +193,39 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, cou
     common = partial.groupBy("a", "b").agg(F.sum("c").alias("common"))
     sizes = wanted.select("sid", "n")
     out = common.join(sizes.withColumnsRenamed({"sid": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"sid": "b", "n": "nb"}), "b")
-    return staged(out, "overlaps")
+    out = staged(out, "overlaps")
+    dropped(segments)
+    return out
+
 
+def _fits(percent: int, x: str, y: str):
+    """Whether the sizes and places of a common shingle allow the wanted similarity.
 
-def _fits(percent: int, na: str, nb: str, pa_: str, pb: str):
-    """Whether sizes and places of a common shingle allow the wanted similarity."""
-    need = F.ceil(percent * (F.col(na) + F.col(nb)) / (100 + percent) - 1e-9)
-    most = F.least(pa_, pb) + F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb))
+    Shingles before it that only one class has can't be common: at most ``rank`` of them are.
+    """
+    na, nb, ra, rb, pa_, pb = (F.col(f"{side}{c}") for c in ("n", "rank", "pos") for side in (x, y))
+    need = F.ceil(percent * (na + nb) / (100 + percent) - 1e-9)
+    most = F.least(ra, rb) + F.least(na - pa_, nb - pb)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (most >= need)
 
 
 def _main_and_rest(postings: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries of buckets that span components, with their root; and those outside their bucket's main component."""
-    named = postings.join(roots, postings.sid == roots.node, "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
+    named = postings.join(roots, postings.sid == roots.node, "left").select("token", "sid", "n", "pos", "rank", F.coalesce("root", "sid").alias("root"))
     held = named.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token")
     held = held.agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).filter("roots > 1").select("token", "main")
     mixed = staged(named.join(held, "token"), "mixed")
     return mixed, mixed.filter("root <> main")
 
 
-def near_duplicate_classes(docs: DataFrame, k: int, percent: int, hub_rounds: int = 2) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id for each row: linked where 100 * common >= percent * union."""
+def near_duplicate_classes(docs: DataFrame, k: int, percent: int, hub_rounds: int = 1) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, root (the component's class; null without words) for each row: linked where 100 * common >= percent * union."""
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
     spark = docs.sparkSession
     profiles = _profiles(docs, k)
     rows = profiles.filter("chunk IS NULL").select("doc_id", "text_hash", "n", "sid")
-    table = _bucket_counts(profiles)
+    table = _add_up(profiles.filter("chunk IS NOT NULL").select("chunk", "part", "counts"))
     heavy = np.sort(table[table > 0])
     weight = np.cumsum(heavy)
     # Places in the global order that cut the corpus's shingles into fragments of about equal weight.
@@ -200,32 +234,35 @@ def near_duplicate_classes(docs: DataFrame, k: int, percent: int, hub_rounds: in
     classes = staged(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
 
     postings = _postings(docs, k, percent, counts)
-    # A hub for each bucket of two classes or more: whoever has the shingle earliest.
-    early = F.shiftleft(F.col("pos").cast("long"), 40) + F.xxhash64("sid").bitwiseAND(F.lit((1 << 40) - 1))
     postings = staged(postings, "postings")
-    hubs = postings.groupBy("token").agg(F.min_by("sid", early).alias("hub"), F.min_by("n", early).alias("hub_n"), F.min_by("pos", early).alias("hub_pos"), F.min("sid").alias("low"), F.max("sid").alias("high"))
-    hubs = hubs.filter("low <> high").select("token", "hub", "hub_n", "hub_pos")
-    shared = staged(postings.join(hubs, "token").distinct(), "shared")
-    pairs = shared.filter((F.col("sid") != F.col("hub")) & _fits(percent, "n", "hub_n", "pos", "hub_pos")).select(F.col("sid").alias("a"), F.col("hub").alias("b"))
+    repeated = postings.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high").select("token")
+    ranked = postings.join(repeated, "token").distinct().withColumn("rank", F.row_number().over(W.partitionBy("sid").orderBy("pos", "token")) - 1)
+    # An entry after too many shingles of its own class alone can't belong to a link.
+    entries = staged(ranked.filter(100 * (F.col("rank") + F.col("n") - F.col("pos")) >= percent * F.col("n")), "entries")
+    # A hub for each bucket: whoever has the fewest shingles of its own before this one.
+    early = F.shiftleft((F.col("pos") - F.col("rank")).cast("long"), 40) + F.xxhash64("sid").bitwiseAND(F.lit((1 << 40) - 1))
+    hub = [F.min_by(c, early).alias(f"hub_{c}") for c in ("sid", "n", "pos", "rank")]
+    shared = entries.join(entries.groupBy("token").agg(*hub), "token")
+    dropped(postings)
+    pairs = shared.filter((F.col("sid") != F.col("hub_sid")) & _fits(percent, "", "hub_")).select(F.col("sid").alias("a"), F.col("hub_sid").alias("b"))
     overlaps = _verified(docs, pairs, classes, k, counts, pivots)
     linked = f"100 * common >= {percent} * (na + nb - common)"
     links = overlaps.filter(linked).select("a", "b")
-    entries = shared.select("token", "sid", "n", "pos")
     roots = components(links)
 
     for _ in range(hub_rounds - 1):
         mixed, rest = _main_and_rest(entries, roots)
-        hubs = rest.groupBy("token").agg(F.min_by("sid", early).alias("hub"), F.min_by("n", early).alias("hub_n"), F.min_by("pos", early).alias("hub_pos"), F.min_by("root", early).alias("hub_root"))
-        pairs = mixed.join(hubs, "token").filter((F.col("root") != F.col("hub_root")) & _fits(percent, "n", "hub_n", "pos", "hub_pos"))
-        pairs = pairs.select(F.col("sid").alias("a"), F.col("hub").alias("b")).join(overlaps.select("a", "b"), ["a", "b"], "left_anti")
+        hubs = rest.groupBy("token").agg(*hub, F.min_by("root", early).alias("hub_root"))
+        pairs = mixed.join(hubs, "token").filter((F.col("root") != F.col("hub_root")) & _fits(percent, "", "hub_"))
+        pairs = pairs.select(F.col("sid").alias("a"), F.col("hub_sid").alias("b")).join(overlaps.select("a", "b"), ["a", "b"], "left_anti")
         found = _verified(docs, pairs, classes, k, counts, pivots)
         overlaps = overlaps.unionByName(found)
         links = overlaps.filter(linked).select("a", "b")
         roots = components(links)
 
     mixed, rest = _main_and_rest(entries, roots)
-    x, y = rest.select("token", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "pos", "root"))), mixed.select("token", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "pos", "root")))
-    pairs = x.join(y, "token").filter((F.col("x_root") != F.col("y_root")) & _fits(percent, "x_n", "y_n", "x_pos", "y_pos"))
+    x, y = rest.select("token", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "pos", "rank", "root"))), mixed.select("token", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "pos", "rank", "root")))
+    pairs = x.join(y, "token").filter((F.col("x_root") != F.col("y_root")) & _fits(percent, "x_", "y_"))
     pairs = staged(pairs.select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct(), "left")
     known = overlaps.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
     known = known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.min("d").alias("d"))
@@ -239,8 +276,23 @@ def near_duplicate_classes(docs: DataFrame, k: int, percent: int, hub_rounds: in
 
     named = classes.join(roots, classes.sid == roots.node, "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = staged(named.join(least, "root").select("sid", "component_id"), "members")
-    return rows.join(named, "sid", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = staged(named.join(least, "root").select("sid", "root", "component_id"), "members")
+    return rows.join(named, "sid", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows with the smallest (doc_id, text hash) of each component, once each, with their own columns.
+
+    Texts without words have no component and stay.
+    """
+    classes = near_duplicate_classes(docs, k, percent)
+    number = F.coalesce("doc_id", F.lit(-(1 << 63) + 1))
+    found = classes.select(number.alias("_id"), F.col("text_hash").alias("_hash"), "root")
+    alone = found.filter("root IS NULL").select("_id", "_hash")
+    first = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("_id", "_hash")).alias("x")).select("x._id", "x._hash")
+    stay = staged(alone.union(first).distinct(), "stay")
+    keyed = docs.withColumns({"_id": number, "_hash": F.xxhash64("text")})
+    return keyed.join(stay, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
 
 
 def op5_ngram_vertical_join(spark, sf_dir: str) -> DataFrame:
