@@ -22,6 +22,7 @@ empty result. Sequences are filled to the last, only the very last one can need
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -44,32 +45,77 @@ CACHED_WORDS = 300_000
 class WordEncoder:
     """Token ids of texts for a tokenizer that drops white space, with a bounded cache of words.
 
-    Such a tokenizer never joins characters across white space, so a text's ids are those of
-    its words one after another. Words new to the cache are encoded by the library in batches.
+    Such a tokenizer never joins characters across white space, nor a letter with a sign, so a
+    text's ids are those of its words, and a word's those of its letters and of the signs after
+    them. New words of Latin letters are encoded by the library as one text, whose ids are told
+    apart by their end-of-word marks; any other new word is encoded alone.
     """
 
+    LETTERS, SIGNS = re.compile("[a-zß-öø-ÿ]+"), "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.dtype = np.dtype("<u2") if self.library.get_vocab_size() < 65_536 else np.dtype("<u4")
+        size = self.library.get_vocab_size()
+        self.dtype = np.dtype("<u2") if size < 65_536 else np.dtype("<u4")
+        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.words: dict[str, bytes] = {}
 
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, fresh: set[str]) -> None:
+        known, halves, others, stems = self.words, [], [], set()
+        for w in fresh:
+            stem = w.rstrip(self.SIGNS)
+            if not (stem.isascii() and stem.isalpha()) and self.LETTERS.fullmatch(stem) is None:
+                others.append(w)
+                continue
+            stems.add(stem)
+            if len(stem) < len(w):
+                tail = w[len(stem) :]
+                halves.append((w, stem, tail))
+                if tail not in known:
+                    others.append(tail)
+        known.update(zip(others, self._alone(others)))
+        new = [w for w in stems if w not in known]
+        parts = [new[i : i + 5000] for i in range(0, len(new), 5000)]
+        for part, e in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                known.update(zip(part, self._alone(part)))
+                continue
+            width, raw, begin = self.dtype.itemsize, ids.tobytes(), 0
+            for w, end in zip(part, (cuts * width).tolist()):
+                known[w] = raw[begin:end]
+                begin = end
+        for w, stem, tail in halves:
+            known[w] = known[stem] + known[tail]
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # spaces to str.split alone
+            return [text]
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return text.lower().split()  # the tokenizer lowers too, and alike for these letters
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        split = [t.split() for t in texts]
-        words, out = self.words, []
-        for i in range(0, len(split), 256):
-            part = split[i : i + 256]
-            fresh = list({w for ws in part for w in ws}.difference(words))
-            if len(words) + len(fresh) > CACHED_WORDS:
-                words.clear()
-                fresh = list({w for ws in part for w in ws})
-            for w, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-                words[w] = np.array(e.ids, self.dtype).tobytes()
-            out += [b"".join(map(words.__getitem__, ws)) for ws in part]
+        out: list[bytes] = []
+        for i in range(0, len(texts), 256):
+            split = [self._split(t) for t in texts[i : i + 256]]
+            words = {w for ws in split for w in ws}
+            if len(self.words) > CACHED_WORDS:  # the words of these texts stay
+                self.words = {w: self.words[w] for w in words.intersection(self.words)}
+            self._learn(words.difference(self.words))
+            out += [b"".join(map(self.words.__getitem__, ws)) for ws in split]
         return out
 
 

@@ -7,8 +7,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as vocabularies
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from loomgraph.llm import binpack
+from loomgraph.llm.packing import WordEncoder
 
 TOKENIZER = vocabularies.path("word_bpe_49k.json")
 
@@ -65,3 +68,16 @@ def test_layout_is_lossless(spark, small):
 
 def test_empty_table(spark):
     assert binpack.best_fit_pack(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).collect() == []
+
+
+ENCODER = None
+
+
+@given(st.lists(st.sampled_from(["a", "The", "ß", "É", "é", "ſ", "K", "İ", "Σ", "ς", " ", " ", "\x0b", "\x1c", "\x85", " ", "　", "\xa0", "'s", "'", "’", ".", ",", "!!", "-", "1", "٢", "²", "ª", "µ", "́", "ﬁ", "日", "😀", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "_", "$"]), max_size=30))
+@settings(max_examples=600, deadline=None)
+def test_cached_words_encode_as_the_library_does(parts):
+    global ENCODER
+    ENCODER = ENCODER or WordEncoder(TOKENIZER)
+    text = "".join(parts)
+    want = np.array(ENCODER.library.encode(text, add_special_tokens=False).ids, ENCODER.dtype).tobytes()
+    assert ENCODER.encode([text]) == [want]
