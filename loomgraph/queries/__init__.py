@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.queries import graphs, lineage, relational, retrieval, sessions  # noqa: F401
+from loomgraph.queries import graphs, lineage, relational, resolution, retrieval, sessions  # noqa: F401
 from loomgraph.queries._registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
