@@ -154,7 +154,10 @@ def _postings(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, k: int, counts, pivots: np.ndarray) -> DataFrame:
-    """sid, fragment, shingles of the wanted classes: each set cut at the pivots of the global order."""
+    """sid, fragment, shingles of the wanted classes: each set cut at the pivots of the global order.
+
+    Some classes that nobody wants slip through the marks, and a repeated row gives its class twice.
+    """
     marks = np.packbits(_marks(wanted))
     flags = docs.sparkSession.sparkContext.broadcast(marks)  # one bit for each of 2^20 buckets
 
@@ -177,8 +180,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, k: int, counts, pivots: np.nda
                         parts.append(s[where == f].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(frags, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["sid", "fragment", "shingles"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "sid long, fragment int, shingles array<long>")
-    return found.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid", "fragment"])
+    return docs.select("doc_id", "text").mapInArrow(run, "sid long, fragment int, shingles array<long>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, counts, pivots: np.ndarray) -> DataFrame:
@@ -189,8 +191,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, cou
     segments = staged(_segments(docs, wanted, k, counts, pivots), "segments")
     left = segments.select(F.col("sid").alias("a"), "fragment", F.col("shingles").alias("x"))
     right = segments.select(F.col("sid").alias("b"), "fragment", F.col("shingles").alias("y"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"))
-    common = partial.groupBy("a", "b").agg(F.sum("c").alias("common"))
+    # Every side grows with the corpus, so all are shuffled at any size and none is broadcast.
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, ["b", "fragment"])
+    partial = both.select("a", "b", "fragment", F.size(F.array_intersect("x", "y")).alias("c"))
+    once = partial.groupBy("a", "b", "fragment").agg(F.max("c").alias("c"))  # a repeated row's fragments count once
+    common = once.groupBy("a", "b").agg(F.sum("c").alias("common"))
     sizes = wanted.select("sid", "n")
     out = common.join(sizes.withColumnsRenamed({"sid": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"sid": "b", "n": "nb"}), "b")
     out = staged(out, "overlaps")
@@ -236,7 +241,7 @@ def near_duplicate_classes(docs: DataFrame, k: int, percent: int, hub_rounds: in
     postings = _postings(docs, k, percent, counts)
     postings = staged(postings, "postings")
     repeated = postings.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high").select("token")
-    ranked = postings.join(repeated, "token").distinct().withColumn("rank", F.row_number().over(W.partitionBy("sid").orderBy("pos", "token")) - 1)
+    ranked = postings.hint("merge").join(repeated, "token").distinct().withColumn("rank", F.row_number().over(W.partitionBy("sid").orderBy("pos", "token")) - 1)
     # An entry after too many shingles of its own class alone can't belong to a link.
     entries = staged(ranked.filter(100 * (F.col("rank") + F.col("n") - F.col("pos")) >= percent * F.col("n")), "entries")
     # A hub for each bucket: whoever has the fewest shingles of its own before this one.
