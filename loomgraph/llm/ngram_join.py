@@ -8,7 +8,8 @@
 3. Two sets of the wanted similarity share a shingle among the first n - ceil(t n) + 1 of each
    (prefix filter). Every such shingle is a bucket. In each bucket one class is the hub; all
    others are compared with it only: as many comparisons as there are entries.
-4. Comparisons are counted by vertical partitioning: the global order is cut into fragments of
+4. Pairs that the counts of their shingles by 256 classes of hashes exclude are dropped; the
+   other comparisons are counted by vertical partitioning: the global order is cut into fragments of
    equal weight, overlaps of a pair are counted fragment by fragment and summed per pair.
 5. Linked classes form components. Left over are pairs of a bucket in different components.
    Further hub rounds may run among those outside the bucket's main component; then every pair
@@ -44,6 +45,7 @@ from loomgraph.llm._words import mix64, shingle_sets
 COUNT_BITS = 20
 CHUNKS = 64
 FRAGMENTS = 4
+OUTLINE = 256
 
 
 def _class_id(shingles: np.ndarray) -> int:
@@ -54,29 +56,57 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)
 
 
+def _outline(shingles: np.ndarray) -> bytes | None:
+    """How many shingles fall into each of OUTLINE classes of hashes; null for a set too large for bytes."""
+    counts = np.bincount(((shingles >> np.uint64(COUNT_BITS)) % np.uint64(OUTLINE)).astype(np.int64), minlength=OUTLINE)
+    return counts.astype(np.uint8).tobytes() if len(shingles) and counts.max() < 256 else None
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose outlines allow the wanted similarity: no more shingles are common than the smaller counts add up to."""
+    side = lambda key, n, x: classes.select(F.col("sid").alias(key), F.col("n").alias(n), F.col("outline").alias(x))
+    both = pairs.hint("merge").join(side("a", "na", "x"), "a").hint("merge").join(side("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            keep = np.array([a is None or b is None for a, b in zip(x, y)], bool)
+            sure = np.flatnonzero(~keep)
+            for at in np.array_split(sure, max(1, len(sure) // 4096)):
+                if len(at):
+                    a, b = (np.frombuffer(b"".join(v[i] for i in at), np.uint8).reshape(len(at), OUTLINE) for v in (x, y))
+                    most = np.minimum(a, b).sum(1, dtype=np.int64)
+                    keep[at] = 100 * most >= percent * (total[at] - most)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
     """A row for each document (doc_id, text_hash, n, sid) and each partition's shingle counts (chunk, part, counts): written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, part = np.zeros(1 << COUNT_BITS, np.int32), TaskContext.get().partitionId()
-        names = ["doc_id", "text_hash", "n", "sid", "chunk", "part", "counts"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["doc_id", "text_hash", "n", "sid", "outline", "chunk", "part", "counts"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
         seen = False
         for batch in batches:
-            sizes, sids = [], []
+            sizes, sids, outlines = [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), k):
                 sizes.append(len(s))
                 sids.append(_class_id(s) if len(s) else None)
+                outlines.append(_outline(s))
                 np.add.at(counts, _bucket(s), 1)
                 seen = seen or len(s) > 0
             none = [None] * len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([batch.column("doc_id"), batch.column("text_hash"), sizes, sids, none, none, none], types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([batch.column("doc_id"), batch.column("text_hash"), sizes, sids, outlines, none, none, none], types)], names=names)
         if seen:
             none = [None] * CHUNKS
             rows = zip(*_table_rows(counts, part))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([none, none, none, none, *rows], types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([none, none, none, none, none, *rows], types)], names=names)
 
-    schema = "doc_id long, text_hash long, n long, sid long, chunk int, part int, counts binary"
+    schema = "doc_id long, text_hash long, n long, sid long, outline binary, chunk int, part int, counts binary"
     return staged(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema), "profiles")
 
 
@@ -183,9 +213,9 @@ def _segments(docs: DataFrame, wanted: DataFrame, k: int, counts, pivots: np.nda
     return docs.select("doc_id", "text").mapInArrow(run, "sid long, fragment int, shingles array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, counts, pivots: np.ndarray) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, counts, pivots: np.ndarray) -> DataFrame:
     """a, b, na, nb, common for each pair: overlaps counted by fragment and summed per pair. Written."""
-    pairs = staged(pairs.select("a", "b").distinct(), "pairs")
+    pairs = staged(_possible(pairs.select("a", "b").distinct(), classes, percent), "pairs")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct().join(classes, "sid")
     wanted = staged(wanted.select("sid", "doc_id", "n"), "wanted")
     segments = staged(_segments(docs, wanted, k, counts, pivots), "segments")
@@ -229,14 +259,14 @@ def near_duplicate_classes(docs: DataFrame, k: int, percent: int, hub_rounds: in
         raise ValueError("percent must be from 1 to 100")
     spark = docs.sparkSession
     profiles = _profiles(docs, k)
-    rows = profiles.filter("chunk IS NULL").select("doc_id", "text_hash", "n", "sid")
+    rows = profiles.filter("chunk IS NULL").select("doc_id", "text_hash", "n", "sid", "outline")
     table = _add_up(profiles.filter("chunk IS NOT NULL").select("chunk", "part", "counts"))
     heavy = np.sort(table[table > 0])
     weight = np.cumsum(heavy)
     # Places in the global order that cut the corpus's shingles into fragments of about equal weight.
     pivots = np.unique(heavy[np.searchsorted(weight, weight[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)]) if len(heavy) else np.empty(0, np.int64)
     counts = spark.sparkContext.broadcast(table)  # 2^20 numbers, whatever the corpus
-    classes = staged(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
+    classes = staged(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("outline").alias("outline")), "classes")
 
     postings = _postings(docs, k, percent, counts)
     postings = staged(postings, "postings")
@@ -250,7 +280,7 @@ def near_duplicate_classes(docs: DataFrame, k: int, percent: int, hub_rounds: in
     shared = entries.join(entries.groupBy("token").agg(*hub), "token")
     dropped(postings)
     pairs = shared.filter((F.col("sid") != F.col("hub_sid")) & _fits(percent, "", "hub_")).select(F.col("sid").alias("a"), F.col("hub_sid").alias("b"))
-    overlaps = _verified(docs, pairs, classes, k, counts, pivots)
+    overlaps = _verified(docs, pairs, classes, k, percent, counts, pivots)
     linked = f"100 * common >= {percent} * (na + nb - common)"
     links = overlaps.filter(linked).select("a", "b")
     roots = components(links)
@@ -260,7 +290,7 @@ def near_duplicate_classes(docs: DataFrame, k: int, percent: int, hub_rounds: in
         hubs = rest.groupBy("token").agg(*hub, F.min_by("root", early).alias("hub_root"))
         pairs = mixed.join(hubs, "token").filter((F.col("root") != F.col("hub_root")) & _fits(percent, "", "hub_"))
         pairs = pairs.select(F.col("sid").alias("a"), F.col("hub_sid").alias("b")).join(overlaps.select("a", "b"), ["a", "b"], "left_anti")
-        found = _verified(docs, pairs, classes, k, counts, pivots)
+        found = _verified(docs, pairs, classes, k, percent, counts, pivots)
         overlaps = overlaps.unionByName(found)
         links = overlaps.filter(linked).select("a", "b")
         roots = components(links)
@@ -275,14 +305,14 @@ def near_duplicate_classes(docs: DataFrame, k: int, percent: int, hub_rounds: in
     via = known.select("a", F.col("b").alias("hub"), F.col("d").alias("da"))
     apart = pairs.join(via, "a").join(via.select(F.col("a").alias("b"), "hub", F.col("da").alias("db")), ["b", "hub"])
     apart = apart.filter(F.abs(F.col("da") - F.col("db")) > 1 - percent / 100 + 1e-9).select("a", "b").distinct()
-    found = _verified(docs, pairs.join(apart, ["a", "b"], "left_anti"), classes, k, counts, pivots)
+    found = _verified(docs, pairs.join(apart, ["a", "b"], "left_anti"), classes, k, percent, counts, pivots)
     links = links.union(found.filter(linked).select("a", "b"))
     roots = components(links)
 
     named = classes.join(roots, classes.sid == roots.node, "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = staged(named.join(least, "root").select("sid", "root", "component_id"), "members")
-    return rows.join(named, "sid", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+    return rows.drop("outline").join(named, "sid", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
