@@ -4,12 +4,17 @@ Vectors of equal bytes form a class, and one of each takes part. A neighbour gra
 the leaves of random-hyperplane trees and is refined through neighbours of neighbours: each
 class brings its neighbours, and a sample of those that have it as neighbour, together; all
 pairs among them are compared (one small matrix product), and each keeps what is nearer than
-its furthest neighbour so far. Edges whose exact cosine reaches the threshold are links.
-
-A list that is full of links is saturated and hides further ones. Lists of linked classes are
-therefore enlarged to their whole component: components are cut into blocks, and pairs of
-blocks are compared exactly, in double precision; a block pair yields one count for each of
-its classes, never a pair. Recall is audited against brute force: query vectors with an id
+its furthest neighbour so far. Every compared pair of two components that may reach the
+threshold is written before lists are trimmed (pairs that others already connect within the
+same group are left out); where the exact cosine reaches it, the pair is a link.
+
+A list that is full of links is saturated and hides further ones. Each class therefore keeps
+two lists, the ``k`` nearest of its own component and the ``k`` nearest of others: once a
+component is known, its members' lists are free for what lies outside of it. Passes of new
+trees and rounds go on until one finds no new link between components. Links within
+components are counted, not listed: components are cut into blocks, and pairs of blocks are
+compared exactly, in double precision; a block pair yields one count for each of its classes,
+never a pair. Recall is audited against brute force: query vectors with an id
 divisible by 20 (at most ``audit_queries`` of them) are compared with all rows, block by
 block, and their true numbers of links with those found. Below ``least_recall`` the graph gets
 more trees and rounds.
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm._components import components
-from loomgraph.llm._store import staged
+from loomgraph.llm._store import dropped, staged
 
 LEAF = 24
 BLOCK = 512
@@ -75,81 +81,121 @@ def _codes(raw: list[bytes]) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def _leaves(classes: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
-    """tree, leaf, cid, code: the leaf of each class in each tree of random hyperplanes."""
+def _depth(n: int) -> int:
+    return max(1, int(np.ceil(np.log2(max(2, n / LEAF)))))
+
+
+def _leaves(rooted: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
+    """tree, leaf, cid, root, code: the leaf of each class in each tree of random hyperplanes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
-                own = pa.table([batch.column("cid"), batch.column("code")], names=["cid", "code"]).filter(pa.array(dims == dim))
+                own = pa.table([batch.column(c) for c in ("cid", "root", "code")], names=["cid", "root", "code"]).filter(pa.array(dims == dim))
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, trees * depth)).astype(np.float32)
                 raw = own.column("code").to_pylist()
                 bits = (_codes(raw) @ planes[dim] > 0).reshape(len(raw), trees, depth)
                 leaf = bits @ (1 << np.arange(depth, dtype=np.int64)) * 65_536 + dim
                 for t in range(trees):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), t, np.int32)), pa.array(leaf[:, t]), *(c.combine_chunks() for c in own.columns)], names=["tree", "leaf", "cid", "code"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), t, np.int32)), pa.array(leaf[:, t]), *(c.combine_chunks() for c in own.columns)], names=["tree", "leaf", "cid", "root", "code"])
+
+    return rooted.select("cid", "dim", "root", "code").mapInArrow(run, "tree int, leaf long, cid long, root long, code binary")
+
 
-    return classes.select("cid", "dim", "code").mapInArrow(run, "tree int, leaf long, cid long, code binary")
+OWN, OTHER, CANDIDATE = 0, 1, 2  # kinds of compared pairs: for a class's list of its own component, of others, and pairs that may be links
 
 
-def _compare(groups: DataFrame, k: int) -> DataFrame:
-    """cid, nbr, sim: the k best of each member of ``m`` (array of cid, code, floor) within its group, above its floor."""
+def _connecting(sims: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray:
+    """The pairs (rows of two indices) of two components that may be links. Sure ones that a tree of sure ones connects are left out."""
+    near = np.tril(other & (sims >= threshold - SLACK), -1)
+    if not near.any():
+        return np.empty((0, 2), np.int64)
+    sure = near & (sims >= threshold + SLACK)
+    up = np.where(sure.any(1), sure.argmax(1), np.arange(len(sims)))  # the first sure partner, always of a smaller index
+    child = np.flatnonzero(up != np.arange(len(sims)))
+    top = up
+    while (top[top] != top).any():
+        top = top[top]
+    return np.vstack([np.stack([child, up[child]], 1), np.argwhere(near & (top[:, None] != top[None, :]))])
+
+
+def _compare(groups: DataFrame, k: int, threshold: float) -> DataFrame:
+    """cid, nbr, sim, kind: the k best of each member of ``m`` (array of cid, code, root, floor, far) within its group, in its own component above its floor and in others above far; and candidates for links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("m")
             offsets, members = column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten()
-            ids, raw, floors = members.field("cid").to_numpy(), members.field("code").to_pylist(), members.field("floor").to_numpy()
-            a, b, c = [], [], []
+            ids, roots, raw = members.field("cid").to_numpy(), members.field("root").to_numpy(), members.field("code").to_pylist()
+            floors = {OWN: members.field("floor").to_numpy(), OTHER: members.field("far").to_numpy()}
+            a, b, c, kinds = [], [], [], []
             for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 if e - s < 2:
                     continue
-                x, own = _codes(raw[s:e]), ids[s:e]
+                x, own, root = _codes(raw[s:e]), ids[s:e], roots[s:e]
                 sims = x @ x.T
                 sims[own[:, None] == own[None, :]] = -2
-                top = np.argsort(-sims, axis=1)[:, : min(k, e - s - 1)]
-                near = np.take_along_axis(sims, top, 1)
-                r, q = np.nonzero(near > floors[s:e, None])
-                a.append(own[r]), b.append(own[top[r, q]]), c.append(near[r, q])
+                other = root[:, None] != root[None, :]
+                for kind, among in ((OWN, ~other), (OTHER, other)):
+                    if kind == OWN and among.sum() == e - s:
+                        continue
+                    apart = np.where(among, sims, np.float32(-2))
+                    top = np.argsort(-apart, axis=1)[:, : min(k, e - s - 1)]
+                    near = np.take_along_axis(apart, top, 1)
+                    r, q = np.nonzero(near > floors[kind][s:e, None])
+                    a.append(own[r]), b.append(own[top[r, q]]), c.append(near[r, q]), kinds.append(np.full(len(r), kind, np.int8))
+                pairs = _connecting(sims, other, threshold)
+                a.append(own[pairs[:, 0]]), b.append(own[pairs[:, 1]]), c.append(sims[pairs[:, 0], pairs[:, 1]]), kinds.append(np.full(len(pairs), CANDIDATE, np.int8))
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(c).astype(np.float32))], names=["cid", "nbr", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(c).astype(np.float32)), pa.array(np.concatenate(kinds))], names=["cid", "nbr", "sim", "kind"])
 
-    return groups.select("m").mapInArrow(run, "cid long, nbr long, sim float")
+    return groups.select("m").mapInArrow(run, "cid long, nbr long, sim float, kind byte")
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each class. A class has at most k entries from each list that it was in."""
-    best = edges.groupBy("cid", "nbr").agg(F.max("sim").alias("sim")).groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "nbr")), asc=False), 1, k).alias("best"))
-    return best.select("cid", F.explode("best").alias("x")).select("cid", "x.nbr", "x.sim")
+    """The k nearest of each class and kind. A class has at most k entries from each list that it was in."""
+    best = edges.groupBy("cid", "nbr", "kind").agg(F.max("sim").alias("sim")).groupBy("cid", "kind").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "nbr")), asc=False), 1, k).alias("best"))
+    return best.select("cid", "kind", F.explode("best").alias("x")).select("cid", "x.nbr", "x.sim", "kind")
+
+
+def _of_kinds(graph: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The graph with kinds by the components now known."""
+    root = rooted.select("cid", "root")
+    both = graph.drop("kind").join(root, "cid").join(root.toDF("nbr", "nbr_root"), "nbr")
+    return both.select("cid", "nbr", "sim", F.when(F.col("root") == F.col("nbr_root"), OWN).otherwise(OTHER).cast("byte").alias("kind"))
 
 
-def _forest_edges(classes: DataFrame, n: int, k: int, trees: int, seed: int) -> DataFrame:
-    depth = max(1, int(np.ceil(np.log2(max(2, n / LEAF)))))
-    leaves = staged(_leaves(classes, trees, depth, seed), "leaves")
+def _forest_edges(rooted: DataFrame, n: int, k: int, trees: int, seed: int, threshold: float) -> DataFrame:
+    leaves = staged(_leaves(rooted, trees, _depth(n), seed), "leaves")
     # A leaf of a dense region is dealt into blocks, anew in each tree.
     sizes = leaves.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("blocks"))
-    block = F.pmod(F.xxhash64("cid", "tree"), "blocks")
+    block = F.pmod(F.xxhash64("cid", "tree", F.lit(seed)), "blocks")
     dealt = leaves.join(sizes, ["tree", "leaf"]).groupBy("tree", "leaf", block.alias("block"))
-    return _compare(dealt.agg(F.collect_list(F.struct("cid", "code", F.lit(-1.0).cast("float").alias("floor"))).alias("m")), k)
+    floor = F.lit(-1.0).cast("float")
+    edges = staged(_compare(dealt.agg(F.collect_list(F.struct("cid", "code", "root", floor.alias("floor"), floor.alias("far"))).alias("m")), k, threshold), "compared")
+    dropped(leaves)
+    return edges
 
 
-def _refine(graph: DataFrame, classes: DataFrame, k: int, seed: int) -> DataFrame:
+def _refine(graph: DataFrame, rooted: DataFrame, k: int, seed: int, threshold: float) -> DataFrame:
     """The edges that come up among each class's neighbours and those that have it as neighbour."""
     indegree = graph.groupBy("nbr").agg(F.count("*").alias("indegree"))
     share = (F.pmod(F.xxhash64("cid", "nbr", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)) * F.col("indegree") < k
     back = graph.join(indegree, "nbr").filter(share).select(F.col("nbr").alias("pivot"), F.col("cid").alias("cid"))
     both = graph.select(F.col("cid").alias("pivot"), F.col("nbr").alias("cid")).union(back).union(graph.select(F.col("cid").alias("pivot"), "cid")).distinct()
-    floors = graph.groupBy("cid").agg(F.when(F.count("*") < k, -1.0).otherwise(F.min("sim")).cast("float").alias("floor"))
-    codes = classes.select("cid", "code").join(floors, "cid", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0).cast("float")))
-    return _compare(both.join(codes, "cid").groupBy("pivot").agg(F.collect_list(F.struct("cid", "code", "floor")).alias("m")), k)
+    none = F.lit(-1.0).cast("float")
+    least = lambda kind, name: F.when(F.count_if(F.col("kind") == kind) < k, none).otherwise(F.min(F.when(F.col("kind") == kind, F.col("sim")))).cast("float").alias(name)
+    floors = graph.groupBy("cid").agg(least(OWN, "floor"), least(OTHER, "far"))
+    codes = rooted.select("cid", "code", "root").join(floors, "cid", "left").withColumns({c: F.coalesce(c, none) for c in ("floor", "far")})
+    return staged(_compare(both.join(codes, "cid").groupBy("pivot").agg(F.collect_list(F.struct("cid", "code", "root", "floor", "far")).alias("m")), k, threshold), "compared")
 
 
-def _exact_links(graph: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """a, b: edges whose cosine in double precision reaches the threshold."""
-    near = graph.filter(F.col("sim") >= threshold - SLACK).select(F.least("cid", "nbr").alias("a"), F.greatest("cid", "nbr").alias("b")).distinct()
+def _exact_links(compared: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """a, b: candidates whose cosine in double precision reaches the threshold."""
+    near = compared.filter(F.col("kind") == CANDIDATE).select(F.least("cid", "nbr").alias("a"), F.greatest("cid", "nbr").alias("b")).distinct()
     unit = classes.select("cid", "unit")
     pairs = near.join(unit.withColumnsRenamed({"cid": "a", "unit": "x"}), "a").join(unit.withColumnsRenamed({"cid": "b", "unit": "y"}), "b")
 
@@ -224,20 +270,33 @@ def near_duplicate_vectors(
     ids, classes = _classes(rows)
     n = classes.count()
     graph = links = found = roots = None
-    for attempt in range(most_passes if n else 0):
-        edges = _forest_edges(classes, n, k, trees, seed + 101 * attempt)
-        graph = staged(_best(edges if graph is None else graph.unionByName(edges), k), "graph")
+    attempt = 0
+    while n:
+        rooted = classes.select("cid", "dim", "code", F.col("cid").alias("root"))
+        if roots is not None:
+            rooted = rooted.drop("root").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+            graph = _of_kinds(graph, rooted)
+        rooted = staged(rooted, "rooted")
+        compared = [_forest_edges(rooted, n, k, trees, seed + 101 * attempt, threshold)]
+        lists = compared[0].filter(F.col("kind") != CANDIDATE)
+        graph = staged(_best(lists if graph is None else graph.unionByName(lists), k), "graph")
         for r in range(rounds):
-            graph = staged(_best(graph.unionByName(_refine(graph, classes, k, seed + r)), k), "graph")
-        more = _exact_links(graph, classes, threshold)
-        links = staged(more if links is None else links.union(more).distinct(), "near")
-        roots = staged(components(links), "roots")
+            compared.append(_refine(graph, rooted, k, seed + 101 * attempt + r, threshold))
+            graph = staged(_best(graph.unionByName(compared[-1].filter(F.col("kind") != CANDIDATE)), k), "graph")
+        more = staged(_exact_links(reduce(DataFrame.unionByName, compared), classes, threshold), "near")
+        for table in [*compared, rooted]:
+            dropped(table)
+        attempt += 1
+        if attempt == 1 or not more.isEmpty():
+            links = more if links is None else links.union(more)
+            roots = staged(components(links), "roots")
+            continue
         members = classes.join(roots, classes.cid == roots.node).select("cid", "root", "size", "unit")
         found = staged(_count_in_components(members, threshold), "found")
         asked = classes.filter("least % 20 = 0").orderBy(F.xxhash64("cid")).limit(audit_queries)
         audit = _true_links(classes, asked, threshold).withColumnRenamed("links", "truth").join(found, "cid", "left")
         seen = audit.agg(F.sum("truth").alias("truth"), F.sum(F.coalesce("links", F.lit(0))).alias("links")).first()
-        if not seen["truth"] or seen["links"] >= least_recall * seen["truth"]:
+        if attempt >= most_passes or not seen["truth"] or seen["links"] >= least_recall * seen["truth"]:
             break
     if not n:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -268,6 +268,20 @@ def test_near_vectors(spark):
     assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i, _ in odd)
 
 
+def test_links_between_groups_with_full_lists(spark):
+    rng = np.random.default_rng(5)
+    q, _ = np.linalg.qr(rng.standard_normal((32, 2)))
+    centres = np.stack([q[:, 0], 0.962 * q[:, 0] + np.sqrt(1 - 0.962**2) * q[:, 1]])
+    x = (np.repeat(centres, 40, axis=0) + 0.002 * rng.standard_normal((80, 32))).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    sims = unit @ unit.T
+    assert sims[:40, 40:].min() >= 0.95  # all are linked, but the twelve nearest of each are of its own group
+    assert all((np.argsort(-s)[1:13] // 40 == i // 40).all() for i, s in enumerate(sims))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = near_vectors.near_duplicate_vectors(df).collect()
+    assert {(r["n_links"], r["component_id"]) for r in found} == {(79, 0)} and sum(r["kept"] for r in found) == 1
+
+
 CODEC = None
 
 
