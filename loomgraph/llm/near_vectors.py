@@ -14,10 +14,15 @@ component is known, its members' lists are free for what lies outside of it. Pas
 trees and rounds go on until one finds no new link between components. Links within
 components are counted, not listed: components are cut into blocks, and pairs of blocks are
 compared exactly, in double precision; a block pair yields one count for each of its classes,
-never a pair. Recall is audited against brute force: query vectors with an id
-divisible by 20 (at most ``audit_queries`` of them) are compared with all rows, block by
-block, and their true numbers of links with those found. Below ``least_recall`` the graph gets
-more trees and rounds.
+never a pair.
+
+Recall is audited against brute force: the vectors of every id divisible by 20 are compared
+with all rows, ``audit_queries`` of them at a time, and their true numbers of links with those
+found. Recall is a mean over queries, taken apart for each magnitude of the true number, so
+that large groups don't hide small ones. There are as many trees as a lone pair at the
+threshold needs to share a leaf with a chance of ``least_recall``, and more while the audit
+falls short of it; after ``most_passes`` (or twice the passes for those trees, if more), or where
+no audited vector has a link, all pairs are compared in blocks.
 
 Between tasks travel 8-bit copies of the vectors, which steer the search only.
 
@@ -35,6 +40,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,27 +238,89 @@ def _count_in_components(members: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
 
-def _true_links(classes: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
-    """cid, links of the query classes, counted over all rows block by block."""
-    asked = [(r["cid"], np.frombuffer(r["unit"], "<f8")) for r in queries.select("cid", "unit").collect()]  # at most audit_queries vectors
-    groups = {}
-    for cid, unit in asked:
-        groups.setdefault(len(unit), []).append((cid, unit))
-    table = classes.sparkSession.sparkContext.broadcast({d: (np.array([c for c, _ in g]), np.array([u for _, u in g])) for d, g in groups.items()})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {d: np.zeros(len(c), np.int64) for d, (c, _) in table.value.items()}
-        for batch in batches:
-            dims, raw, ids, sizes = batch.column("dim").to_numpy(), batch.column("unit").to_pylist(), batch.column("cid").to_numpy(), batch.column("size").to_numpy()
-            for d, (cids, units) in table.value.items():
-                for at in np.array_split(np.flatnonzero(dims == d), max(1, (dims == d).sum() // 1024)):
-                    if len(at):
-                        x = np.frombuffer(b"".join(raw[i] for i in at), "<f8").reshape(len(at), -1)
+def _blocks(queries: DataFrame, at_once: int) -> Iterator[Broadcast]:
+    """The query classes (cid, root, unit), at most about ``at_once`` at a time: a broadcast of dim -> cids, roots, units."""
+    blocks = -(-queries.count() // at_once)
+    dealt = staged(queries.select("cid", "root", "unit", F.pmod(F.xxhash64("cid"), F.lit(max(1, blocks))).alias("block")), "queries")
+    for block in range(blocks):
+        groups: dict[int, list] = {}
+        for r in dealt.filter(F.col("block") == block).select("cid", "root", "unit").collect():  # about at_once vectors
+            groups.setdefault(len(r["unit"]) // 8, []).append((r["cid"], r["root"], np.frombuffer(r["unit"], "<f8")))
+        table = queries.sparkSession.sparkContext.broadcast({d: tuple(np.array(x) for x in zip(*g)) for d, g in groups.items()})
+        yield table
+        table.destroy()
+    dropped(dealt)
+
+
+def _chunks(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows of ``dim`` in the batch, and their vectors, 1024 at a time."""
+    places, raw = np.flatnonzero(batch.column("dim").to_numpy() == dim), batch.column("unit")
+    for s in range(0, len(places), 1024):
+        at = places[s : s + 1024]
+        yield at, np.frombuffer(b"".join(raw.take(pa.array(at)).to_pylist()), "<f8").reshape(len(at), -1)
+
+
+def _true_links(classes: DataFrame, queries: DataFrame, threshold: float, at_once: int) -> DataFrame:
+    """cid, truth of the query classes: rows linked to each, counted over all rows in blocks. Written."""
+    parts = []
+    for table in _blocks(queries.select("cid", F.col("cid").alias("root"), "unit"), at_once):
+
+        def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            counts = {d: np.zeros(len(c), np.int64) for d, (c, _, _) in table.value.items()}
+            for batch in batches:
+                ids, sizes = batch.column("cid").to_numpy(), batch.column("size").to_numpy()
+                for d, (cids, _, units) in table.value.items():
+                    for at, x in _chunks(batch, d):
                         counts[d] += ((units @ x.T >= threshold) & (cids[:, None] != ids[at][None, :])) @ sizes[at]
-        for d, (cids, _) in table.value.items():
-            yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(counts[d])], names=["cid", "links"])
+            for d, (cids, _, _) in table.value.items():
+                yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(counts[d])], names=["cid", "truth"])
+
+        counted = classes.select("cid", "dim", "unit", "size").mapInArrow(run, "cid long, truth long")
+        parts.append(staged(counted.groupBy("cid").agg(F.sum("truth").alias("truth")), "truth"))
+    return reduce(DataFrame.unionByName, parts) if parts else classes.select("cid", F.lit(0).cast("long").alias("truth")).limit(0)
+
+
+def _links_in_blocks(rooted: DataFrame, threshold: float, at_once: int) -> DataFrame:
+    """a, b: links between components, over all pairs of rows (cid, dim, root, unit); of two components one for each chunk that has any. Written."""
+    parts = []
+    for table in _blocks(rooted, at_once):
+
+        def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, roots = batch.column("cid").to_numpy(), batch.column("root").to_numpy()
+                for d, (cids, own, units) in table.value.items():
+                    for at, x in _chunks(batch, d):
+                        q, r = np.nonzero((units @ x.T >= threshold) & (own[:, None] != roots[at][None, :]))
+                        if len(q):
+                            _, first = np.unique(np.stack([own[q], roots[at][r]]), axis=1, return_index=True)
+                            yield pa.RecordBatch.from_arrays([pa.array(cids[q[first]]), pa.array(ids[at][r[first]])], names=["a", "b"])
+
+        parts.append(staged(rooted.select("cid", "dim", "root", "unit").mapInArrow(run, "a long, b long"), "near"))
+    return reduce(DataFrame.unionByName, parts)
+
 
-    return classes.select("cid", "dim", "unit", "size").mapInArrow(run, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+def _recall(truth: DataFrame, found: DataFrame) -> float | None:
+    """Mean over the queries that have links of the share found, in the worst magnitude of their numbers; None without such a query."""
+    share = F.coalesce("links", F.lit(0)) / F.col("truth")
+    bands = truth.filter("truth > 0").join(found, "cid", "left").groupBy(F.floor(F.log2("truth")).alias("band")).agg(F.avg(share).alias("recall"))
+    return bands.agg(F.min("recall")).first()[0]
+
+
+def _trees_needed(n: int, threshold: float, least_recall: float) -> int:
+    """Trees in which a lone pair at the threshold shares a leaf at least once, with a chance of least_recall."""
+    shared = (1 - np.arccos(min(1.0, max(-1.0, threshold))) / np.pi) ** _depth(n)
+    return 1 if shared >= 1 else int(np.ceil(np.log(max(1e-9, 1 - least_recall)) / np.log1p(-shared)))
+
+
+def _members(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    return classes.join(roots, classes.cid == roots.node).select("cid", "root", "size", "unit")
+
+
+def _rooted(classes: DataFrame, roots: DataFrame | None, *columns: str) -> DataFrame:
+    """The classes with the smallest class of their component, themselves where nothing links to them."""
+    if roots is None:
+        return classes.select(*columns, F.col("cid").alias("root"))
+    return classes.join(roots, classes.cid == roots.node, "left").select(*columns, F.coalesce("root", "cid").alias("root"))
 
 
 def near_duplicate_vectors(
@@ -269,14 +337,13 @@ def near_duplicate_vectors(
     """vec_id, n_links, component_id, kept for each row."""
     ids, classes = _classes(rows)
     n = classes.count()
-    graph = links = found = roots = None
+    graph = links = found = roots = truth = None
+    passes = -(-_trees_needed(n, threshold, least_recall) // trees)
     attempt = 0
     while n:
-        rooted = classes.select("cid", "dim", "code", F.col("cid").alias("root"))
-        if roots is not None:
-            rooted = rooted.drop("root").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        rooted = staged(_rooted(classes, roots, "cid", "dim", "code"), "rooted")
+        if graph is not None:
             graph = _of_kinds(graph, rooted)
-        rooted = staged(rooted, "rooted")
         compared = [_forest_edges(rooted, n, k, trees, seed + 101 * attempt, threshold)]
         lists = compared[0].filter(F.col("kind") != CANDIDATE)
         graph = staged(_best(lists if graph is None else graph.unionByName(lists), k), "graph")
@@ -287,16 +354,25 @@ def near_duplicate_vectors(
         for table in [*compared, rooted]:
             dropped(table)
         attempt += 1
-        if attempt == 1 or not more.isEmpty():
+        changed = attempt == 1 or not more.isEmpty()
+        if changed:
             links = more if links is None else links.union(more)
-            roots = staged(components(links), "roots")
+            roots, found = staged(components(links), "roots"), None
+        last = attempt >= max(most_passes, 2 * passes)
+        if not last and (changed or attempt < passes):
             continue
-        members = classes.join(roots, classes.cid == roots.node).select("cid", "root", "size", "unit")
-        found = staged(_count_in_components(members, threshold), "found")
-        asked = classes.filter("least % 20 = 0").orderBy(F.xxhash64("cid")).limit(audit_queries)
-        audit = _true_links(classes, asked, threshold).withColumnRenamed("links", "truth").join(found, "cid", "left")
-        seen = audit.agg(F.sum("truth").alias("truth"), F.sum(F.coalesce("links", F.lit(0))).alias("links")).first()
-        if attempt >= most_passes or not seen["truth"] or seen["links"] >= least_recall * seen["truth"]:
+        if found is None:
+            found = staged(_count_in_components(_members(classes, roots), threshold), "found")
+        if truth is None:
+            asked = ids.filter("cid IS NOT NULL AND vec_id % 20 = 0").select("cid").distinct()
+            truth = _true_links(classes, classes.join(asked, "cid", "left_semi"), threshold, audit_queries)
+        recall = _recall(truth, found)
+        if recall is not None and recall >= least_recall:
+            break
+        if last or recall is None:
+            links = links.union(_links_in_blocks(_rooted(classes, roots, "cid", "dim", "unit"), threshold, audit_queries))
+            roots = staged(components(links), "roots")
+            found = staged(_count_in_components(_members(classes, roots), threshold), "found")
             break
     if not n:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

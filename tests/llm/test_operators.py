@@ -282,6 +282,38 @@ def test_links_between_groups_with_full_lists(spark):
     assert {(r["n_links"], r["component_id"]) for r in found} == {(79, 0)} and sum(r["kept"] for r in found) == 1
 
 
+def test_a_large_group_does_not_hide_missing_pairs(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((150, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.standard_normal((150, 24))
+    off -= (off * base).sum(1, keepdims=True) * base
+    pairs = 0.953 * base + np.sqrt(1 - 0.953**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    group = base[0] + 0.001 * rng.standard_normal((400, 24))
+    x = np.vstack([base, pairs, group]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    # A search too weak to find the pairs; what it misses has to be seen and made up for, in the order of ids or not.
+    found = {r["vec_id"]: r["n_links"] for r in near_vectors.near_duplicate_vectors(df, k=2, trees=1, rounds=0, audit_queries=16, most_passes=1).collect()}
+    assert [found[i] for i in range(len(x))] == linked.sum(1).tolist()
+
+
+def test_links_that_no_audited_id_has(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((400, 24))
+    pairs = [(i, i + 1) for i in range(1, 400, 20)]  # no id divisible by 20
+    for a, b in pairs:
+        x[b] = x[a] / np.linalg.norm(x[a]) + 0.3 * (e := rng.standard_normal(24)) / np.linalg.norm(e)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    found = {r["vec_id"]: r["n_links"] for r in near_vectors.near_duplicate_vectors(df, k=1, trees=1, rounds=0).collect()}
+    assert linked.sum() > 0 and [found[i] for i in range(400)] == linked.sum(1).tolist()
+
+
 CODEC = None
 
 
