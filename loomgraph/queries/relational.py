@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.operators import graph as G
+from loomgraph.operators.traverse import levels
 from loomgraph.queries._registry import query
 from loomgraph.session import table
-from loomgraph.sources.tables import EDGES_SQL, NODES_SQL, edges, nodes
+from loomgraph.sources.tables import EDGES_SQL, NODES_SQL, calls, edges, nodes
 
 NODES, EDGES, BOTH = f"WITH {NODES_SQL}", f"WITH {EDGES_SQL}", f"WITH {NODES_SQL}, {EDGES_SQL}"
 
@@ -222,12 +223,18 @@ def a8(spark, d):
     return both.groupBy("id").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "id").limit(160)
 
 
+def _part_levels(spark, d):
+    """p_partkey, p_brand, level of every part: its method's level in the call graph."""
+    part = table(spark, d, "part").select("p_partkey", "p_brand", F.concat(F.lit("method://p"), "p_partkey").alias("id"))
+    return part.join(levels(calls(spark, d), part.select("id")).select("id", "level"), "id").select("p_partkey", "p_brand", "level")
+
+
 @query("a12_module_level_pivot", """SELECT p_brand AS module_id, count(*) FILTER (level = 0) AS l0, count(*) FILTER (level BETWEEN 1 AND 5) AS low, count(*) FILTER (level > 5) AS high FROM
   (SELECT p_brand, CASE WHEN p_partkey < 2 THEN 0 ELSE CAST(floor(log2(p_partkey)) AS INT) END AS level FROM part) GROUP BY 1""")
 def a12(spark, d):
-    level = F.when(F.col("p_partkey") < 2, 0).otherwise(F.floor(F.log2(F.col("p_partkey").cast("double"))))
+    level = F.col("level")
     band = F.when(level == 0, "l0").when(level <= 5, "low").otherwise("high")
-    out = table(spark, d, "part").withColumn("band", band).groupBy(F.col("p_brand").alias("module_id")).pivot("band", ["l0", "low", "high"]).count()
+    out = _part_levels(spark, d).withColumn("band", band).groupBy(F.col("p_brand").alias("module_id")).pivot("band", ["l0", "low", "high"]).count()
     return out.na.fill(0, ["l0", "low", "high"])
 
 
@@ -324,4 +331,4 @@ def u4(spark, d):
 
 @query("l7_deepest", "SELECT p_partkey, CAST(floor(log2(p_partkey)) AS INT) AS level FROM part WHERE p_partkey >= 1 ORDER BY level DESC, p_partkey LIMIT 15")
 def l7(spark, d):
-    return table(spark, d, "part").filter("p_partkey >= 1").select("p_partkey", F.floor(F.log2(F.col("p_partkey").cast("double"))).cast("int").alias("level")).orderBy(F.desc("level"), "p_partkey").limit(15)
+    return _part_levels(spark, d).filter("p_partkey >= 1").select("p_partkey", "level").orderBy(F.desc("level"), "p_partkey").limit(15)

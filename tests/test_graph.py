@@ -39,6 +39,15 @@ def test_components_and_levels_with_cycles(spark):
     assert {r["id"]: r["level"] for r in T.levels(e, n).collect()} == {"a": 2, "b": 2, "c": 1, "d": 1, "leaf": 0, "x": 0}
 
 
+def test_levels_of_parts_with_gaps_in_their_keys(spark, tmp_path):
+    from loomgraph.queries import QUERIES
+
+    keys = [(1, "a"), (3, "a"), (5, "b"), (6, "b"), (8, "b")]  # 3 calls 1 and 6 calls 3; 5 and 8 call parts that aren't there
+    spark.createDataFrame(keys, "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    assert [tuple(r) for r in QUERIES["l7_deepest"](spark, str(tmp_path)).collect()] == [(6, 2), (3, 1), (1, 0), (5, 0), (8, 0)]
+    assert {tuple(r) for r in QUERIES["a12_module_level_pivot"](spark, str(tmp_path)).collect()} == {("a", 1, 1, 0), ("b", 2, 1, 0)}
+
+
 def test_transitive_pairs_have_no_loops_and_no_edges(spark):
     e = edge(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"))
     assert {(r[0], r[1]) for r in T.transitive_pairs(e).collect()} == {("a", "c"), ("a", "d"), ("b", "a"), ("b", "d"), ("c", "b")}
