@@ -7,11 +7,18 @@ over capacities finds that row's class in logarithmic time. Which piece goes whe
 lengths alone, so the search runs over counts of pieces by length (one number for each length,
 at most ``capacity`` of them, whatever the corpus): it yields row patterns (a multiset of
 lengths, and how many rows have it). Tasks then look up, from a piece's rank among those of its
-length, the row and place that the patterns give it. No table of pieces meets in one task.
+length, the row and place that the patterns give it. A piece's rank comes from its rank within
+its partition of the scan and the counts of that length in the partitions before; these are
+joined to the pieces' numbers alone, and the ids follow by a join on the row's own number. No
+side of a join is broadcast, and no table of pieces meets in one task or on the driver.
+
+``packed_matrix`` gathers the pieces of each packed row (at most ``capacity`` of them) into a
+matrix row: padded ids, cumulative segment lengths, and positions that restart at every segment.
 
 Defined cases: a null text is an empty text with the end id only; repeated rows are packed
-each; extra columns are ignored; an empty table gives an empty result. A packed row is padded
-to the capacity.
+each; pieces of equal length are taken in the order of their partitions and rows; a very long
+text is cut into full rows and a rest; extra columns are ignored; an empty table gives an empty
+result. A packed row is padded to the capacity.
 """
 
 from __future__ import annotations
@@ -28,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.packing import SEQUENCE, _encoder
-from loomgraph.store import staged
+from loomgraph.llm._store import staged
+from loomgraph.llm.packing import SEQUENCE, _encoder, slices
 
 
 class CapacityTree:
@@ -126,45 +133,50 @@ class Places:
         return row + (i - start) // len(own), own[(i - start) % len(own)]
 
 
+def _tokens(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
+    """part, row, doc_id, n, rest, rank (of the rest among the partition's of equal length), full (rows filled before it in its partition), ids: written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part, row, full = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        seen = np.zeros(capacity, np.int64)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                ids, sizes = encoder.encode_binary(batch.column("text"), end_id)
+                rests, fulls = sizes % capacity, sizes // capacity
+                order = np.argsort(rests, kind="stable")
+                run_start = np.searchsorted(rests[order], rests[order])
+                ranks = np.empty(len(sizes), np.int64)
+                ranks[order] = seen[rests[order]] + np.arange(len(sizes)) - run_start
+                seen += np.bincount(rests, minlength=capacity)
+                before = full + np.cumsum(fulls) - fulls
+                full += int(fulls.sum())
+                columns = [np.full(len(sizes), part, np.int32), np.arange(row, row + len(sizes)), batch.column("doc_id"), sizes, rests.astype(np.int32), ranks, before, ids]
+                row += len(sizes)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["part", "row", "doc_id", "n", "rest", "rank", "full", "ids"])
+
+    return staged(docs.select("doc_id", "text").mapInArrow(run, "part int, row long, doc_id long, n long, rest int, rank long, full long, ids binary"), "tokens")
+
+
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, segment_end, and the ids if asked for.
 
     segment_end is the piece's cumulative length within its row; positions restart at 0 at every
     offset. ``packed_matrix`` turns the rows into id matrices.
     """
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen, full = _encoder(tokenizer_path), TaskContext.get().partitionId(), Counter(), 0
-        end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                ids = [x + end for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
-                sizes = [len(x) // width for x in ids]
-                rests, ranks, fulls = [n % capacity for n in sizes], [], []
-                for n, rest in zip(sizes, rests):
-                    ranks.append(seen[rest])
-                    seen[rest] += rest > 0
-                    fulls.append(full)
-                    full += n // capacity
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(rests, pa.int32()), pa.array(ranks, pa.int64()), pa.array(fulls, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["part", "doc_id", "n", "rest", "rank", "full", "ids"],
-                )
-
-    held = staged(docs.select("doc_id", "text").mapInArrow(tokens, "part int, doc_id long, n long, rest int, rank long, full long, ids binary"), "tokens")
+    held = _tokens(docs, tokenizer_path, end_id, capacity)
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     by_rest = held.filter("rest > 0").groupBy("rest", "part").agg(F.count("*").alias("c"))
     base = staged(by_rest.select("rest", "part", "c", F.coalesce(F.sum("c").over(before.partitionBy("rest")), F.lit(0)).alias("base")), "bases")
     counts = {r["rest"]: r["c"] for r in base.groupBy("rest").agg(F.sum("c").alias("c")).collect()}  # at most ``capacity`` numbers
-    fulls = held.groupBy("part").agg(F.sum(F.expr(f"n div {capacity}")).alias("c"))
-    # One row for each partition of the scan.
-    full_base, total = {}, 0
-    for r in sorted(fulls.collect(), key=lambda r: r["part"]):
-        full_base[r["part"]], total = total, total + r["c"]
+    by_part = held.groupBy("part").agg(F.sum(F.expr(f"n div {capacity}")).alias("c"))
+    # One row for each partition of the scan, in one task.
+    filled = staged(by_part.select("part", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("filled")), "filled")
+    total = filled.agg(F.sum("c")).first()[0] or 0
     places = Places(patterns(counts, capacity), total)
-    placed = held.join(base.select(F.col("rest").alias("_r"), F.col("part").alias("_p"), "base"), (F.col("rest") == F.col("_r")) & (F.col("part") == F.col("_p")), "left")
-    placed = placed.select("part", "doc_id", "n", "rest", (F.col("rank") + F.coalesce("base", F.lit(0))).alias("rank"), "full", "ids")
+    numbers = held.select("part", "row", "rest", "rank", "full").hint("merge").join(base.select("rest", "part", "base"), ["rest", "part"], "left")
+    numbers = numbers.hint("merge").join(filled.select("part", "filled"), "part")
+    numbers = numbers.select("part", "row", (F.col("rank") + F.coalesce("base", F.lit(0))).alias("rank"), (F.col("full") + F.col("filled")).alias("full"))
+    placed = held.select("part", "row", "doc_id", "n", "rest", "ids").hint("merge").join(numbers, ["part", "row"]).select("doc_id", "n", "rest", "rank", "full", "ids")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "segment_end", *["ids"] * with_ids]
     types = [*[pa.int64()] * 8, *[pa.binary()] * with_ids]
 
@@ -173,9 +185,9 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacit
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch, rows = whole.slice(at, 2048), []
-                for part, doc, n, rest, rank, full, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n", "rest", "rank", "full")), batch.column("ids")):
+                for doc, n, rest, rank, full, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "rest", "rank", "full")), batch.column("ids")):
                     ids = np.frombuffer(raw.as_buffer(), width).astype("<u4")
-                    spots = [(i * capacity, capacity, full_base[part] + full + i, 0) for i in range(n // capacity)]
+                    spots = [(i * capacity, capacity, full + i, 0) for i in range(n // capacity)]
                     if rest:
                         spots.append((n - rest, rest, *places(rest, rank)))
                     for start, length, row, offset in spots:
@@ -187,28 +199,39 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacit
 
 
 def packed_matrix(pieces: DataFrame, capacity: int = SEQUENCE, pad_id: int = 0) -> DataFrame:
-    """sequence_id, ids, segment_ends, positions of each packed row. A row holds at most ``capacity`` pieces."""
-    rows = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "segment_end", "ids"))).alias("pieces"))
+    """sequence_id, ids, segment_ends, positions, doc_ids, starts of each packed row.
+
+    ids and positions are of ``capacity``; segment_ends, doc_ids and starts (the document's ids
+    before the segment) have an entry for each segment. Padding has position 0.
+    """
+    rows = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "segment_end", "doc_id", "start", "ids"))).alias("pieces"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ends, positions = [], [], []
-            for pieces_ in batch.column("pieces").to_pylist():
-                row, at = np.full(capacity, pad_id, np.int32), np.zeros(capacity, np.int32)
-                for p in pieces_:
-                    row[p["offset"] : p["segment_end"]] = np.frombuffer(p["ids"], "<u4")
-                    at[p["offset"] : p["segment_end"]] = np.arange(p["segment_end"] - p["offset"])
-                ids.append(row)
-                positions.append(at)
-                ends.append([p["segment_end"] for p in pieces_])
-            int_list = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array(ids, int_list), pa.array(ends, int_list), pa.array(positions, int_list)], names=["sequence_id", "ids", "segment_ends", "positions"])
-
-    return rows.mapInArrow(build, "sequence_id long, ids array<int>, segment_ends array<int>, positions array<int>")
+        one, count = pa.list_(pa.int32()), np.arange(capacity, dtype=np.int32)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                lists = batch.column("pieces")
+                bounds = lists.offsets.to_numpy()
+                p = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
+                begin, end = p.field("offset").to_numpy(), p.field("segment_end").to_numpy()
+                bounds = bounds - bounds[0]
+                row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+                ids, positions = np.full((batch.num_rows, capacity), pad_id, np.int32), np.zeros((batch.num_rows, capacity), np.int32)
+                for r, s, e, raw in zip(row.tolist(), begin.tolist(), end.tolist(), p.field("ids")):
+                    ids[r, s:e] = np.frombuffer(raw.as_buffer(), "<u4")
+                    positions[r, s:e] = count[: e - s]
+                matrix = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * capacity), pa.array(x.ravel()))
+                segments = lambda x, t: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), x.cast(t))
+                columns = [batch.column("sequence_id"), matrix(ids), segments(p.field("segment_end"), pa.int32()), matrix(positions), segments(p.field("doc_id"), pa.int64()), segments(p.field("start"), pa.int64())]
+                yield pa.RecordBatch.from_arrays([columns[0], columns[1].cast(one), *columns[2:]], names=["sequence_id", "ids", "segment_ends", "positions", "doc_ids", "starts"])
+
+    return rows.mapInArrow(build, "sequence_id long, ids array<int>, segment_ends array<int>, positions array<int>, doc_ids array<long>, starts array<long>")
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents packed by best fit decreasing into rows of 4096 ids."""
+    """The id matrix of all documents, packed by best fit decreasing into rows of 4096 ids."""
     import public_tokenizers as vocabularies
 
-    return best_fit_pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabularies.path("word_bpe_49k.json"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return packed_matrix(best_fit_pack(docs, vocabularies.path("word_bpe_49k.json"), with_ids=True))

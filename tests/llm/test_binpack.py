@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as vocabularies
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,21 +64,31 @@ def test_layout_is_lossless(spark, small):
     matrix = {r["sequence_id"]: r for r in binpack.packed_matrix(pieces, 256).collect()}
     for row, own in rows.items():
         assert matrix[row]["segment_ends"] == [e for _, e in sorted(own)] and len(matrix[row]["ids"]) == 256
-        assert all(matrix[row]["positions"][s] == 0 for s, _ in own)
+        assert all(matrix[row]["positions"][s:e] == list(range(e - s)) for s, e in own)
+        for (s, e), d, start in zip(sorted(own), matrix[row]["doc_ids"], matrix[row]["starts"]):
+            assert matrix[row]["ids"][s:e] == want[d][start : start + e - s]
+        assert not any(matrix[row]["ids"][max(e for _, e in own) :])
 
 
 def test_empty_table(spark):
-    assert binpack.best_fit_pack(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).collect() == []
+    none = binpack.best_fit_pack(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER, with_ids=True)
+    assert none.collect() == [] and binpack.packed_matrix(none).collect() == []
 
 
 ENCODER = None
 
 
-@given(st.lists(st.sampled_from(["a", "The", "ß", "É", "é", "ſ", "K", "İ", "Σ", "ς", " ", " ", "\x0b", "\x1c", "\x85", " ", "　", "\xa0", "'s", "'", "’", ".", ",", "!!", "-", "1", "٢", "²", "ª", "µ", "́", "ﬁ", "日", "😀", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "_", "$"]), max_size=30))
+@given(st.lists(st.sampled_from(["a", "The", "ß", "É", "é", "ſ", "K", "İ", "Σ", "ς", " ", " ", "\x0b", "\x1c", "\x85", " ", "　", "\xa0", "'s", "'", "’", ".", ",", "!!", "-", "1", "٢", "²", "ª", "µ", "́", "ﬁ", "日", "😀", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "<|ENDOFTEXT|>", "H", "\u0331", "_", "$"]), max_size=30))
 @settings(max_examples=600, deadline=None)
 def test_cached_words_encode_as_the_library_does(parts):
     global ENCODER
     ENCODER = ENCODER or WordEncoder(TOKENIZER)
     text = "".join(parts)
     want = np.array(ENCODER.library.encode(text, add_special_tokens=False).ids, ENCODER.dtype).tobytes()
-    assert ENCODER.encode([text]) == [want]
+    # Alone, and among other texts.
+    texts = pa.array([text, None, "plain " + text, text.upper()], pa.string())
+    alone = np.array([*ENCODER.library.encode(text, add_special_tokens=False).ids, 2], ENCODER.dtype).tobytes()
+    assert alone[: -ENCODER.dtype.itemsize] == want and ENCODER.encode_binary(texts.slice(0, 1), 2)[0].to_pylist() == [alone]
+    ids = [np.array([*ENCODER.library.encode(t or "", add_special_tokens=False).ids, 2], ENCODER.dtype).tobytes() for t in texts.to_pylist()]
+    found, sizes = ENCODER.encode_binary(texts.slice(1), 2)
+    assert found.to_pylist() == ids[1:] and sizes.tolist() == [len(x) // ENCODER.dtype.itemsize for x in ids[1:]]

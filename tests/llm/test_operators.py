@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -154,15 +155,60 @@ def test_schedule_against_a_walk_over_the_windows():
         assert sorted(x for w in used if w >= full for x in used[w]) == list(range(sum(sizes) % 128))
 
 
-def test_mixture_holds_in_every_window():
+def walked_round_robin(sizes, weights, window):
+    """{(window, source): tokens} by a walk that keeps each source's deficit."""
+    live, left, deficit, out, at = [j for j, n in enumerate(sizes) if n], list(sizes), Counter(), {}, 0
+    while live:
+        own = {j: max(weights[j], 1) for j in live}
+        floor = -(-2 * sum(own.values()) // window)
+        own = {j: max(w, floor) for j, w in own.items()}
+        credit, sent, send = Fraction(0), 0, {}
+        for j in live:  # what the sources up to this one earned and didn't send yet, in whole tokens
+            credit += Fraction(window * own[j], sum(own.values())) + deficit[j]
+            send[j] = int(credit) - sent
+            sent = int(credit)
+        if all(send[j] <= left[j] for j in live):
+            deficit = Counter({j: deficit[j] + Fraction(window * own[j], sum(own.values())) - send[j] for j in live})
+        else:  # a source runs dry: what room is left goes to the others in turn
+            send = {j: min(n, left[j]) for j, n in send.items()}
+            for j in live:
+                send[j] += min(left[j] - send[j], window - sum(send.values()))
+            deficit, live = Counter(), [j for j in live if left[j] > send[j]]
+        for j, n in send.items():
+            if n:
+                out[at, j] = n
+            left[j] -= n
+        at += 1
+    return out
+
+
+def test_schedule_is_the_walked_deficit_round_robin():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        sizes = rng.integers(0, 4000, rng.integers(1, 8)).tolist()
+        weights = rng.integers(1, 90, len(sizes)).tolist() if rng.random() < 0.7 else packing.target_weights(sizes, 0.7)
+        found = Counter()
+        s = packing.Schedule(sizes, weights, 128)
+        for j, n in enumerate(sizes):
+            for window, _, length in s.pieces(j, 0, n):
+                found[window, j] += length
+        assert found == walked_round_robin(sizes, weights, 128)
+
+
+def test_targets_hold_in_every_window_until_a_source_runs_dry(spark):
     sizes = [30_000, 10_000, 5_000, 333]
-    s = packing.Schedule(sizes, None, 1024)
+    weights = packing.target_weights(sizes, 0.7)
+    s = packing.Schedule(sizes, weights, 1024)
     counts = defaultdict(Counter)
     for j, n in enumerate(sizes):
         for window, _, length in s.pieces(j, 0, n):
             counts[window][j] += length
-    for w in range(s.windows - 3):
-        assert all(abs(counts[w][j] - 1024 * n / sum(sizes)) < 2 for j, n in enumerate(sizes))
+    first_dry = min(n * sum(weights) // (1024 * w) for n, w in zip(sizes, weights))
+    assert first_dry > 3 and weights[3] / sum(weights) > 2 * 333 / sum(sizes)
+    for w in range(first_dry):
+        assert all(abs(counts[w][j] - 1024 * x / sum(weights)) < 2 for j, x in enumerate(weights))
+    with pytest.raises(ValueError):
+        packing.Schedule([5] * 33, None, 128)
 
 
 def jaccard_components(texts, k, percent):
