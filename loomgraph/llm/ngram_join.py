@@ -6,23 +6,31 @@
    order of shingles: rare buckets first, then by hash. Any total order is valid; this one
    puts what many documents share last.
 3. Two sets of the wanted similarity share a shingle among the first n - ceil(t n) + 1 of each
-   (prefix filter). Every such shingle is a bucket. In each bucket one class is the hub; all
-   others are compared with it only: as many comparisons as there are entries.
-4. Pairs that the counts of their shingles by 256 classes of hashes exclude are dropped; the
+   (prefix filter). The prefixes travel once, as packed arrays by ranges of hashes; a range
+   gives back the entries whose shingle another class has too. A range has a bounded number of
+   entries on average, and shingles that the count table calls hot pass it by, so that no shingle
+   brings more than HOT entries to one task.
+4. Every such shingle is a bucket. In each bucket one class is the hub; all others are compared
+   with it only: as many comparisons as there are entries.
+5. Pairs that the counts of their shingles by 256 classes of hashes exclude are dropped; the
    other comparisons are counted by vertical partitioning: the global order is cut into fragments of
    equal weight, overlaps of a pair are counted fragment by fragment and summed per pair.
-5. Linked classes form components. Left over are pairs of a bucket in different components.
-   Further hub rounds may run among those outside the bucket's main component; then every pair
-   left over is compared, save those that the distance to a common hub excludes: Jaccard
-   distance is a metric, so |d(x, hub) - d(y, hub)| > 1 - t proves that x and y have no link.
-   Pairs within a component need no comparison. No link between components is lost.
+6. Linked classes form components; a component's label is its least (doc_id, class), carried
+   through the rounds. Left over are pairs of a bucket in different components, of which one is
+   outside the bucket's main component: each is compared, save those that the places of the common
+   shingle or the distance to a common hub exclude (Jaccard distance is a metric, so
+   |d(x, hub) - d(y, hub)| > 1 - t proves that x and y have no link). Pairs within a component
+   need no comparison. No link between components is lost.
 
-No step brings a bucket, a component or a set of copies to one task.
+Copies of a text are one class: a task emits a class once. Joins on a class, a bucket or a hub
+that holds a large share of the rows are split by Spark's handling of skewed joins; aggregates
+are combined before they are shuffled.
 
 Defined cases: a null text, or one without words, has an empty set, n_shingles 0, links with
 nothing and is its own component; repeated rows share a class, hence a component; rows of one
-doc_id and different texts are separate documents under one number; extra columns are
-ignored; an empty table gives an empty result.
+doc_id and different texts are separate documents under one number, and a null doc_id counts as the largest one; hubs and main components that tie are taken by their hash
+or class; a very long text is a set like any other, handled in a slice of its own; extra columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +54,8 @@ COUNT_BITS = 20
 CHUNKS = 64
 FRAGMENTS = 4
 OUTLINE = 256
+RANGE_ENTRIES = 250_000  # entries of a range of hashes, on average
+HOT = 65_536
 
 
 def _class_id(shingles: np.ndarray) -> int:
@@ -90,15 +100,17 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
         counts, part = np.zeros(1 << COUNT_BITS, np.int32), TaskContext.get().partitionId()
         names = ["doc_id", "text_hash", "n", "sid", "outline", "chunk", "part", "counts"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-        seen = False
+        seen: set[int] = set()
         for batch in batches:
             sizes, sids, outlines = [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), k):
+                sid = _class_id(s) if len(s) else None
                 sizes.append(len(s))
-                sids.append(_class_id(s) if len(s) else None)
+                sids.append(sid)
                 outlines.append(_outline(s))
-                np.add.at(counts, _bucket(s), 1)
-                seen = seen or len(s) > 0
+                if sid is not None and sid not in seen:
+                    seen.add(sid)
+                    np.add.at(counts, _bucket(s), 1)
             none = [None] * len(sizes)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([batch.column("doc_id"), batch.column("text_hash"), sizes, sids, outlines, none, none, none], types)], names=names)
         if seen:
@@ -156,31 +168,61 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _postings(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
-    """token, sid, n, pos for each shingle of each set's prefix in the global order."""
+def _postings(docs: DataFrame, k: int, percent: int, counts, ranges: int) -> DataFrame:
+    """range, and arrays tokens, sids, n, pos: the entries of each class's prefix in the global order, by ranges of token hashes.
+
+    Entries of hot tokens lie in ranges from ``ranges`` on, one for each partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
+        table, hot_range, seen = counts.value, ranges + TaskContext.get().partitionId(), set()
+        held, size = ([], [], [], []), 0
+
+        def rows() -> pa.RecordBatch:
+            token, sid, n, pos = (np.concatenate(x) for x in held)
+            where = (((token >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+            where[table[_bucket(token)] > HOT] = hot_range
+            order = np.argsort(where, kind="stable")
+            cuts = np.flatnonzero(np.diff(where[order])) + 1
+            parts = [np.split(x[order], cuts) for x in (token.view(np.int64), sid, n.astype(np.uint32), pos.astype(np.uint32))]
+            first = where[order][np.concatenate([[0], cuts])]
+            return pa.RecordBatch.from_arrays([pa.array(first), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in parts)], names=["range", "tokens", "sids", "n", "pos"])
+
         for batch in batches:
-            tokens, sids, sizes, places = [], [], [], []
-            held = 0
             for s in shingle_sets(batch.column("text").to_pylist(), k):
-                if not len(s):
+                sid = _class_id(s) if len(s) else None
+                if sid is None or sid in seen:
                     continue
+                seen.add(sid)
                 p = _prefix_length(len(s), percent)
-                first = s[np.lexsort((s, table[_bucket(s)]))[:p]]
-                tokens.append(first.view(np.int64))
-                sids.append(np.full(p, _class_id(s)))
-                sizes.append(np.full(p, len(s)))
-                places.append(np.arange(p))
-                held += p
-                if held > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((tokens, np.int64), (sids, np.int64), (sizes, np.int32), (places, np.int32))], names=["token", "sid", "n", "pos"])
-                    tokens, sids, sizes, places, held = [], [], [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((tokens, np.int64), (sids, np.int64), (sizes, np.int32), (places, np.int32))], names=["token", "sid", "n", "pos"])
+                for x, v in zip(held, (s[np.lexsort((s, table[_bucket(s)]))[:p]], np.full(p, sid), np.full(p, len(s)), np.arange(p))):
+                    x.append(v)
+                size += p
+                if size > 1_000_000:
+                    yield rows()
+                    held, size = ([], [], [], []), 0
+        if size:
+            yield rows()
+
+    return docs.select("text").mapInArrow(run, "range long, tokens binary, sids binary, n binary, pos binary")
+
+
+def _shared_entries(postings: DataFrame, ranges: int) -> DataFrame:
+    """token, sid, n, pos of the entries whose token several classes have (of hot tokens: all)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        token, sid, n, pos = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in rows.column(c)]) for c, t in (("tokens", "<i8"), ("sids", "<i8"), ("n", "<u4"), ("pos", "<u4")))
+        order = np.lexsort((sid, token))
+        t, c = token[order], sid[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])  # a class comes once from each task that has a copy
+        order, t = order[new], t[new]
+        if rows.column("range")[0].as_py() < ranges:
+            same = t[1:] == t[:-1]
+            order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(t) > 1 else order[:0]
+        return pa.table({"token": token[order], "sid": sid[order], "n": n[order].astype(np.int32), "pos": pos[order].astype(np.int32)})
 
-    return docs.select("text").mapInArrow(run, "token long, sid long, n int, pos int")
+    return postings.groupBy("range").applyInArrow(run, "token long, sid long, n int, pos int")
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, k: int, counts, pivots: np.ndarray) -> DataFrame:
@@ -192,7 +234,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, k: int, counts, pivots: np.nda
     flags = docs.sparkSession.sparkContext.broadcast(marks)  # one bit for each of 2^20 buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, marked = counts.value, np.unpackbits(flags.value)
+        table, marked, seen = counts.value, np.unpackbits(flags.value), set()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 sids, frags, parts = [], [], []
@@ -201,8 +243,9 @@ def _segments(docs: DataFrame, wanted: DataFrame, k: int, counts, pivots: np.nda
                     if not len(s):
                         continue
                     sid = _class_id(s)
-                    if not marked[_mark(np.array([sid]), docs_at[i : i + 1])[0]]:
+                    if sid in seen or not marked[_mark(np.array([sid]), docs_at[i : i + 1])[0]]:
                         continue
+                    seen.add(sid)
                     where = np.searchsorted(pivots, table[_bucket(s)], side="right")
                     for f in np.unique(where).tolist():
                         sids.append(sid)
@@ -214,9 +257,9 @@ def _segments(docs: DataFrame, wanted: DataFrame, k: int, counts, pivots: np.nda
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, counts, pivots: np.ndarray) -> DataFrame:
-    """a, b, na, nb, common for each pair: overlaps counted by fragment and summed per pair. Written."""
+    """a, b, na, nb, da, db, common for each pair, with the sizes and least documents of both: overlaps counted by fragment and summed per pair. Written."""
     pairs = staged(_possible(pairs.select("a", "b").distinct(), classes, percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct().join(classes, "sid")
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct().hint("merge").join(classes.select("sid", "doc_id", "n"), "sid")
     wanted = staged(wanted.select("sid", "doc_id", "n"), "wanted")
     segments = staged(_segments(docs, wanted, k, counts, pivots), "segments")
     left = segments.select(F.col("sid").alias("a"), "fragment", F.col("shingles").alias("x"))
@@ -226,10 +269,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, per
     partial = both.select("a", "b", "fragment", F.size(F.array_intersect("x", "y")).alias("c"))
     once = partial.groupBy("a", "b", "fragment").agg(F.max("c").alias("c"))  # a repeated row's fragments count once
     common = once.groupBy("a", "b").agg(F.sum("c").alias("common"))
-    sizes = wanted.select("sid", "n")
-    out = common.join(sizes.withColumnsRenamed({"sid": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"sid": "b", "n": "nb"}), "b")
-    out = staged(out, "overlaps")
-    dropped(segments)
+    side = lambda c: wanted.toDF(c, f"d{c}", f"n{c}")
+    out = staged(common.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b"), "overlaps")
+    for table in (segments, wanted, pairs):
+        dropped(table)
     return out
 
 
@@ -246,18 +289,30 @@ def _fits(percent: int, x: str, y: str):
 
 def _main_and_rest(postings: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries of buckets that span components, with their root; and those outside their bucket's main component."""
-    named = postings.join(roots, postings.sid == roots.node, "left").select("token", "sid", "n", "pos", "rank", F.coalesce("root", "sid").alias("root"))
+    named = postings.hint("merge").join(roots, postings.sid == roots.node, "left").select("token", "sid", "n", "pos", "rank", F.coalesce("root", "sid").alias("root"))
     held = named.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token")
     held = held.agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main")).filter("roots > 1").select("token", "main")
-    mixed = staged(named.join(held, "token"), "mixed")
+    mixed = staged(named.hint("merge").join(held, "token"), "mixed")
     return mixed, mixed.filter("root <> main")
 
 
-def near_duplicate_classes(docs: DataFrame, k: int, percent: int, hub_rounds: int = 1) -> DataFrame:
+LAST = (1 << 63) - 1
+
+
+def _components(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sid, label, root of each linked class: label is the least document of its component and root that document's class; node, root alone)."""
+    node = lambda c: F.struct(F.coalesce(f"d{c}", F.lit(LAST)).alias("d"), F.col(c).alias("s"))
+    roots = components(links.select(node("a").alias("a"), node("b").alias("b"))).select(F.col("node.s").alias("node"), F.col("root.s").alias("root"), F.col("root.d").alias("label"))
+    roots = staged(roots, "roots")
+    return roots, roots.select("node", "root")
+
+
+def near_duplicate_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, root (the component's class; null without words) for each row: linked where 100 * common >= percent * union."""
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     profiles = _profiles(docs, k)
     rows = profiles.filter("chunk IS NULL").select("doc_id", "text_hash", "n", "sid", "outline")
     table = _add_up(profiles.filter("chunk IS NOT NULL").select("chunk", "part", "counts"))
@@ -266,68 +321,69 @@ def near_duplicate_classes(docs: DataFrame, k: int, percent: int, hub_rounds: in
     # Places in the global order that cut the corpus's shingles into fragments of about equal weight.
     pivots = np.unique(heavy[np.searchsorted(weight, weight[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)]) if len(heavy) else np.empty(0, np.int64)
     counts = spark.sparkContext.broadcast(table)  # 2^20 numbers, whatever the corpus
-    classes = staged(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("outline").alias("outline")), "classes")
-
-    postings = _postings(docs, k, percent, counts)
-    postings = staged(postings, "postings")
-    repeated = postings.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high").select("token")
-    ranked = postings.hint("merge").join(repeated, "token").distinct().withColumn("rank", F.row_number().over(W.partitionBy("sid").orderBy("pos", "token")) - 1)
+    classes = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("outline").alias("outline"), F.count("*").alias("copies"))
+    classes = staged(classes, "classes")
+    total = classes.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100) + 1"))).first()[0] or 0
+    ranges = max(1, -(-int(total) // RANGE_ENTRIES))
+
+    found = staged(_shared_entries(_postings(docs, k, percent, counts, ranges), ranges), "shared")
+    # A hot token's class comes once from each task that has a copy.
+    ranked = found.dropDuplicates(["token", "sid"]).withColumn("rank", F.row_number().over(W.partitionBy("sid").orderBy("pos", "token")) - 1)
     # An entry after too many shingles of its own class alone can't belong to a link.
     entries = staged(ranked.filter(100 * (F.col("rank") + F.col("n") - F.col("pos")) >= percent * F.col("n")), "entries")
+    dropped(found)
     # A hub for each bucket: whoever has the fewest shingles of its own before this one.
     early = F.shiftleft((F.col("pos") - F.col("rank")).cast("long"), 40) + F.xxhash64("sid").bitwiseAND(F.lit((1 << 40) - 1))
     hub = [F.min_by(c, early).alias(f"hub_{c}") for c in ("sid", "n", "pos", "rank")]
-    shared = entries.join(entries.groupBy("token").agg(*hub), "token")
-    dropped(postings)
+    shared = entries.hint("merge").join(entries.groupBy("token").agg(*hub), "token")
     pairs = shared.filter((F.col("sid") != F.col("hub_sid")) & _fits(percent, "", "hub_")).select(F.col("sid").alias("a"), F.col("hub_sid").alias("b"))
     overlaps = _verified(docs, pairs, classes, k, percent, counts, pivots)
     linked = f"100 * common >= {percent} * (na + nb - common)"
-    links = overlaps.filter(linked).select("a", "b")
-    roots = components(links)
-
-    for _ in range(hub_rounds - 1):
-        mixed, rest = _main_and_rest(entries, roots)
-        hubs = rest.groupBy("token").agg(*hub, F.min_by("root", early).alias("hub_root"))
-        pairs = mixed.join(hubs, "token").filter((F.col("root") != F.col("hub_root")) & _fits(percent, "", "hub_"))
-        pairs = pairs.select(F.col("sid").alias("a"), F.col("hub_sid").alias("b")).join(overlaps.select("a", "b"), ["a", "b"], "left_anti")
-        found = _verified(docs, pairs, classes, k, percent, counts, pivots)
-        overlaps = overlaps.unionByName(found)
-        links = overlaps.filter(linked).select("a", "b")
-        roots = components(links)
-
-    mixed, rest = _main_and_rest(entries, roots)
+    links = overlaps.filter(linked).select("a", "b", "da", "db")
+    roots, plain = _components(links)
+
+    mixed, rest = _main_and_rest(entries, plain)
     x, y = rest.select("token", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "pos", "rank", "root"))), mixed.select("token", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "pos", "rank", "root")))
-    pairs = x.join(y, "token").filter((F.col("x_root") != F.col("y_root")) & _fits(percent, "x_", "y_"))
+    pairs = x.hint("merge").join(y, "token").filter((F.col("x_root") != F.col("y_root")) & _fits(percent, "x_", "y_"))
     pairs = staged(pairs.select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct(), "left")
+    for table in (mixed, entries):
+        dropped(table)
     known = overlaps.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
     known = known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.min("d").alias("d"))
-    pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = pairs.hint("merge").join(known.select("a", "b"), ["a", "b"], "left_anti")
     via = known.select("a", F.col("b").alias("hub"), F.col("d").alias("da"))
-    apart = pairs.join(via, "a").join(via.select(F.col("a").alias("b"), "hub", F.col("da").alias("db")), ["b", "hub"])
+    apart = pairs.hint("merge").join(via, "a").hint("merge").join(via.select(F.col("a").alias("b"), "hub", F.col("da").alias("db")), ["b", "hub"])
     apart = apart.filter(F.abs(F.col("da") - F.col("db")) > 1 - percent / 100 + 1e-9).select("a", "b").distinct()
-    found = _verified(docs, pairs.join(apart, ["a", "b"], "left_anti"), classes, k, percent, counts, pivots)
-    links = links.union(found.filter(linked).select("a", "b"))
-    roots = components(links)
+    found = _verified(docs, pairs.hint("merge").join(apart, ["a", "b"], "left_anti"), classes, k, percent, counts, pivots)
+    more = found.filter(linked).select("a", "b", "da", "db")
+    if not more.isEmpty():
+        roots, _ = _components(links.union(more))
 
-    named = classes.join(roots, classes.sid == roots.node, "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = staged(named.join(least, "root").select("sid", "root", "component_id"), "members")
-    return rows.drop("outline").join(named, "sid", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+    named = classes.select("sid", "doc_id").hint("merge").join(roots, classes.sid == roots.node, "left")
+    named = named.select("sid", F.coalesce("root", "sid").alias("root"), F.when(F.coalesce("label", "doc_id") != LAST, F.coalesce("label", "doc_id")).alias("component_id"))
+    named = staged(named, "members")
+    for table in (classes, overlaps, found):
+        dropped(table)
+    return rows.drop("outline").hint("merge").join(named, "sid", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows with the smallest (doc_id, text hash) of each component, once each, with their own columns.
+    """The rows with the smallest (doc_id, text hash) of each component, once each, with their own columns, whatever their names.
 
     Texts without words have no component and stay.
     """
+    columns = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    doc_id, text = (F.col(f"c{columns.index(c)}") for c in ("doc_id", "text"))
+    number = lambda c: F.coalesce(c, F.lit(LAST))
     classes = near_duplicate_classes(docs, k, percent)
-    number = F.coalesce("doc_id", F.lit(-(1 << 63) + 1))
-    found = classes.select(number.alias("_id"), F.col("text_hash").alias("_hash"), "root")
-    alone = found.filter("root IS NULL").select("_id", "_hash")
-    first = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("_id", "_hash")).alias("x")).select("x._id", "x._hash")
+    found = classes.select(number(F.col("doc_id")).alias("number"), F.col("text_hash").alias("hash"), "root")
+    alone = found.filter("root IS NULL").select("number", "hash")
+    first = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("number", "hash")).alias("x")).select("x.number", "x.hash")
     stay = staged(alone.union(first).distinct(), "stay")
-    keyed = docs.withColumns({"_id": number, "_hash": F.xxhash64("text")})
-    return keyed.join(stay, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    keyed = plain.withColumns({"number": number(doc_id), "hash": F.xxhash64(text)})
+    kept = keyed.hint("merge").join(stay, ["number", "hash"], "left_semi").dropDuplicates(["number", "hash"])
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
 
 
 def op5_ngram_vertical_join(spark, sf_dir: str) -> DataFrame:
