@@ -160,6 +160,8 @@ def _tokens(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, segment_end, and the ids if asked for.
 
+    The ids are little-endian, of two bytes each where the vocabulary allows it, else of four.
+
     segment_end is the piece's cumulative length within its row; positions restart at 0 at every
     offset. ``packed_matrix`` turns the rows into id matrices.
     """
@@ -186,13 +188,13 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacit
             for at in range(0, whole.num_rows, 2048):
                 batch, rows = whole.slice(at, 2048), []
                 for doc, n, rest, rank, full, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "rest", "rank", "full")), batch.column("ids")):
-                    ids = np.frombuffer(raw.as_buffer(), width).astype("<u4")
+                    ids = np.frombuffer(raw.as_buffer(), width)
                     spots = [(i * capacity, capacity, full + i, 0) for i in range(n // capacity)]
                     if rest:
                         spots.append((n - rest, rest, *places(rest, rank)))
                     for start, length, row, offset in spots:
-                        own = ids[start : start + length].tobytes()
-                        rows.append((doc, start, length, zlib.crc32(own), n, row, offset, offset + length, own)[: len(columns)])
+                        own = ids[start : start + length]
+                        rows.append((doc, start, length, zlib.crc32(own.astype("<u4").tobytes()), n, row, offset, offset + length, own.tobytes())[: len(columns)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=columns)
 
     return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment_end long" + ", ids binary" * with_ids)
@@ -219,7 +221,8 @@ def packed_matrix(pieces: DataFrame, capacity: int = SEQUENCE, pad_id: int = 0)
                 row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
                 ids, positions = np.full((batch.num_rows, capacity), pad_id, np.int32), np.zeros((batch.num_rows, capacity), np.int32)
                 for r, s, e, raw in zip(row.tolist(), begin.tolist(), end.tolist(), p.field("ids")):
-                    ids[r, s:e] = np.frombuffer(raw.as_buffer(), "<u4")
+                    own = raw.as_buffer()
+                    ids[r, s:e] = np.frombuffer(own, "<u2" if len(own) == 2 * (e - s) else "<u4")
                     positions[r, s:e] = count[: e - s]
                 matrix = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * capacity), pa.array(x.ravel()))
                 segments = lambda x, t: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), x.cast(t))

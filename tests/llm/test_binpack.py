@@ -48,8 +48,9 @@ def test_layout_is_lossless(spark, small):
     pieces = binpack.best_fit_pack(docs, TOKENIZER, capacity=256, with_ids=True)
     by, rows = defaultdict(list), defaultdict(list)
     for r in pieces.collect():
-        assert zlib.crc32(r["ids"]) == r["ids_crc32"] and r["segment_end"] == r["offset"] + r["length"] and r["doc_tokens"] == len(want[r["doc_id"]])
-        by[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
+        ids = np.frombuffer(r["ids"], "<u2").astype("<u4")
+        assert zlib.crc32(ids.tobytes()) == r["ids_crc32"] and r["segment_end"] == r["offset"] + r["length"] and r["doc_tokens"] == len(want[r["doc_id"]])
+        by[r["doc_id"]].append((r["start"], ids.tolist()))
         rows[r["sequence_id"]].append((r["offset"], r["segment_end"]))
     assert {d: [i for _, x in sorted(parts) for i in x] for d, parts in by.items()} == want
     assert sorted(rows) == list(range(len(rows)))
