@@ -10,10 +10,14 @@ References are means over the corpus's own documents of a language, save those t
 prose by their share of capitals or signs, computed in one pass over all of them (``fit_references``); whoever has trusted ones passes them instead. They are
 four rows of 24 numbers, whatever the corpus.
 
+The bound of the word distance lies below the distance of a text that has none of a language's
+common words (0.34 and more, as measured) and above that of short prose (up to 0.30).
+
 Defined cases: a null or empty text has zero counts and fails the base rules (fewer than 10
-words); repeated rows are judged each; a null or unknown lang adds to no reference, and such
-a document is compared with all of them; without any reference the base rules decide alone;
-extra columns are carried along by ``keep_documents`` and ignored otherwise.
+words); a very long text is counted whole; repeated rows are judged each; a null or unknown lang
+adds to no reference, and such a document is compared with all of them; of languages at the same
+distance the first by name is the nearest; without any reference the base rules decide alone;
+extra columns are carried along, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ class Bounds:
     most_repeat_percent: int = 20
     least_words_compared: int = 50
     most_char_distance: float = 0.20
-    most_word_distance: float = 0.45
+    most_word_distance: float = 0.32
     most_upper_percent_fitted: int = 20
     most_signs_percent_fitted: int = 2
 
@@ -91,13 +95,14 @@ def fit_references(docs: DataFrame, bounds: Bounds = Bounds()) -> dict[str, tupl
     """lang -> (shares of the character classes, shares of the common words and of the rest)."""
     text = _computed_once(_counted(docs.select("text", "lang").filter(F.col("lang").isin(sorted(COMMON_WORDS))))).filter((F.col("_row") >= 0) & (F.col("_n") >= bounds.least_words_compared))
     upper, signs = F.get("_classes", F.lit(list(CHAR_CLASSES).index("upper"))), F.get("_classes", F.lit(len(CHAR_CLASSES)))
-    text = text.filter((F.col("_row") >= 0) & (100 * upper <= bounds.most_upper_percent_fitted * F.col("_size")) & (100 * signs <= bounds.most_signs_percent_fitted * F.col("_size")))
+    text = text.filter((F.col("_row") >= 0) & (100 * upper.cast("long") <= bounds.most_upper_percent_fitted * F.col("_size").cast("long")) & (100 * signs.cast("long") <= bounds.most_signs_percent_fitted * F.col("_size").cast("long")))
     words = F.coalesce(*(F.when(F.col("lang") == lang, _word_counts(lang)) for lang in sorted(COMMON_WORDS)))
     text = text.select("lang", "_classes", "_size", "_n", words.alias("_own"))
     n_classes, n_words = len(CHAR_CLASSES) + 1, 17
+    whole = F.lit(10000).cast("long")  # a count of a very long text times that is no int
     # Whole ten-thousandths of each document, so that sums don't depend on their order.
-    shares = [F.sum(F.floor(10000 * F.get("_classes", F.lit(i)) / F.col("_size"))).alias(f"c{i}") for i in range(n_classes)]
-    shares += [F.sum(F.floor(10000 * F.get("_own", F.lit(i)) / F.col("_n"))).alias(f"w{i}") for i in range(n_words)]
+    shares = [F.sum(F.floor(whole * F.get("_classes", F.lit(i)) / F.col("_size"))).alias(f"c{i}") for i in range(n_classes)]
+    shares += [F.sum(F.floor(whole * F.get("_own", F.lit(i)) / F.col("_n"))).alias(f"w{i}") for i in range(n_words)]
     out = {}
     for row in text.groupBy("lang").agg(*shares).collect():
         chars, own = [row[f"c{i}"] for i in range(n_classes)], [row[f"w{i}"] for i in range(n_words)]
@@ -130,7 +135,7 @@ def _windows(words: Column, n: Column) -> tuple[Column, Column]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """The input's columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the histograms."""
+    """The input's columns (none named like those of this module) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the histograms."""
     text = _counted(docs)
     hashes, ordered = _windows(F.col("_words"), F.col("_n"))
     text = text.withColumn("_again", F.when(F.col("_n") >= 6, F.size(F.array_distinct(hashes)) < F.col("_n") - 4).otherwise(False))
@@ -154,13 +159,15 @@ def measure(docs: DataFrame) -> DataFrame:
     })
 
 
-def judge(docs: DataFrame, references: dict[str, tuple[list[float], list[float]]] | None = None, bounds: Bounds = Bounds()) -> DataFrame:
-    """The input's columns with the counts, base_failed, nearest_lang, char_distance, word_distance, kept.
+VERDICT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "nearest_lang", "char_distance", "word_distance", "kept"]
 
-    The distances are those of the nearest language, null where the text isn't compared.
-    """
+
+def _judged(docs: DataFrame, references: dict[str, tuple[list[float], list[float]]] | None, bounds: Bounds) -> DataFrame:
+    """The input's columns as c0, c1, ..., then those of VERDICT."""
     references = fit_references(docs, bounds) if references is None else references
-    text = measure(docs)
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*columns)
+    text = measure(plain.withColumn("text", F.col(columns[docs.columns.index("text")])))
     text = text.withColumn("base_failed", (F.col("n_words") < bounds.min_words) | (100 * F.col("n_repeat_words") > bounds.most_repeat_percent * F.col("n_words")))
     if references:
         each = [
@@ -172,21 +179,28 @@ def judge(docs: DataFrame, references: dict[str, tuple[list[float], list[float]]
     else:
         text = text.withColumn("_near", F.lit(None).cast("struct<sum: double, lang: string, chars: double, words: double>"))
     far = (F.col("_near.chars") > bounds.most_char_distance) | (F.col("_near.words") > bounds.most_word_distance)
-    return text.withColumns({
+    text = text.withColumns({
         "nearest_lang": F.col("_near.lang"), "char_distance": F.round("_near.chars", 4), "word_distance": F.round("_near.words", 4),
         "kept": ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)),
     })
+    return text.select(*columns, *VERDICT)
+
+
+def judge(docs: DataFrame, references: dict[str, tuple[list[float], list[float]]] | None = None, bounds: Bounds = Bounds()) -> DataFrame:
+    """The input's columns, then the counts, base_failed, nearest_lang, char_distance, word_distance, kept.
+
+    The distances are those of the nearest language, null where the text isn't compared.
+    """
+    return _judged(docs, references, bounds).toDF(*docs.columns, *VERDICT)
 
 
 def keep_documents(docs: DataFrame, references: dict | None = None, bounds: Bounds = Bounds()) -> DataFrame:
     """The rows that the rules keep, with their own columns."""
-    judged = _computed_once(judge(docs.withColumn("_text", F.col("text")), references, bounds))
-    return judged.filter("kept AND _row >= 0").withColumn("text", F.col("_text")).select(*docs.columns)
+    judged = _computed_once(_judged(docs, references, bounds)).filter("kept AND _row >= 0")
+    return judged.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op1_distribution_divergence(spark, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return judge(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest_lang", "char_distance", "word_distance"
-    )
+    return judge(docs).select("doc_id", *VERDICT)
