@@ -48,13 +48,13 @@ covered AS (SELECT k, count(DISTINCT i + j) AS r FROM again, range(0, 5) x(j) GR
 lines AS (SELECT k, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
 f AS (SELECT m.*, coalesce(r, 0) AS r, len(lines) - len(list_distinct(lines)) AS dup, length(r1) - length(regexp_replace(r1, '[#*$%&|<>]', '', 'g')) AS symbols FROM m JOIN lines USING (k) LEFT JOIN covered USING (k))
 SELECT doc_id, n AS n_words, size - classes[{classes.index('space') + 1}] AS word_chars, symbols AS n_symbols, dup AS n_dup_lines, r AS n_repeat_words, n < 10 OR 100 * r > 20 * n AS base_failed,
-  NOT (n < 10 OR 100 * r > 20 * n) AND NOT coalesce(chars > 0.2 OR wds > 0.45, false) AS kept, best.lang AS nearest_lang, round(chars, 4) AS char_distance, round(wds, 4) AS word_distance
+  NOT (n < 10 OR 100 * r > 20 * n) AND NOT coalesce(chars > {Q.Bounds().most_char_distance} OR wds > {Q.Bounds().most_word_distance}, false) AS kept, best.lang AS nearest_lang, round(chars, 4) AS char_distance, round(wds, 4) AS word_distance
 FROM f LEFT JOIN best USING (k)
 """
 
 
 def op2() -> str:
-    """Base spans; the candidates of weak kinds with their complements."""
+    """Base spans; the candidates of weak kinds with their complements; the credentials that they make."""
     found = "\nUNION ALL ".join(
         f"SELECT k, '{kind}' AS kind, {rank} AS rank, list_transform(string_split_regex(text, p), lambda x: length(x)) AS gaps, regexp_extract_all(text, p, 0) AS whole, regexp_extract_all(text, p, {group}) AS part, {least} AS least "
         f"FROM (SELECT k, text, '{pattern.replace(chr(39), chr(39) * 2)}' AS p FROM t)"
@@ -64,6 +64,8 @@ def op2() -> str:
     roles = " ".join(f"WHEN '{k}' THEN '{r}'" for k, r in S.ROLES.items())
     near = lambda role: f"EXISTS (SELECT 1 FROM parts q WHERE q.k = w.k AND q.role = '{role}' AND q.s < w.e + {S.SCOPE} AND w.s < q.e + {S.SCOPE})"
     linked = " OR ".join(f"(kind = '{kind}' AND {' AND '.join(near(r) for r in needs)})" for kind, needs in S.NEEDS.items())
+    nearest = lambda role: f"(SELECT arg_min(q.kind || ':' || q.s || ':' || q.e, (greatest(0, q.s - w.e, w.s - q.e), q.s, q.kind, q.e)) FROM parts q WHERE q.k = w.k AND q.role = '{role}' AND q.s < w.e + {S.SCOPE} AND w.s < q.e + {S.SCOPE})"
+    part = lambda role: f"CASE WHEN w.role = '{role}' THEN w.kind || ':' || w.s || ':' || w.e ELSE {nearest(role)} END AS {role}_"
     text = lambda where: f"coalesce((SELECT string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FROM spans WHERE spans.k = t.k{where}), '')"
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
@@ -74,8 +76,11 @@ p AS (SELECT k, kind, rank, CAST(list_sum(gaps[1:i]) + coalesce(list_sum(list_tr
 every AS (SELECT k, kind, rank, s, s + size AS e, kind IN ({base}) AS base FROM p),
 clear AS (SELECT * FROM every x WHERE base OR NOT EXISTS (SELECT 1 FROM every b WHERE b.base AND b.k = x.k AND b.s < x.e AND x.s < b.e)),
 parts AS (SELECT *, CASE kind {roles} END AS role FROM clear),
-spans AS (SELECT k, kind, rank, s, e, base FROM parts w WHERE base OR {linked})
-SELECT doc_id, {', '.join(f"(SELECT count(*) FROM spans WHERE spans.k = t.k AND kind = '{b}') AS n_{b}" for b in S.BASE)}, sha256({text(' AND base')}) AS base_sha256, {text('')} AS spans FROM t
+spans AS (SELECT k, kind, rank, s, e, base FROM parts w WHERE base OR {linked}),
+asked AS (SELECT k, {part("id")}, {part("secret")}, {part("address")} FROM parts w WHERE kind NOT IN ('assign', 'hex')),
+credentials AS (SELECT DISTINCT k, id_ || '+' || secret_ || '+' || coalesce(address_, '-') AS c FROM asked WHERE id_ IS NOT NULL AND secret_ IS NOT NULL)
+SELECT doc_id, {', '.join(f"(SELECT count(*) FROM spans WHERE spans.k = t.k AND kind = '{b}') AS n_{b}" for b in S.BASE)}, sha256({text(' AND base')}) AS base_sha256, {text('')} AS spans,
+  coalesce((SELECT string_agg(c, ',' ORDER BY c) FROM credentials WHERE credentials.k = t.k), '') AS credentials FROM t
 """
 
 
