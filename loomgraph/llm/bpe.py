@@ -1,7 +1,7 @@
 """BPE encoding and decoding of whole texts by tree concatenation.
 
-A long text is halved until a leaf is short; leaves are encoded in one batch, in parallel
-where the library may use several cores. Two neighbours are then joined bottom-up: a window
+A long text is halved until a leaf is short; all leaves of a text are encoded in one batch, by
+``THREADS`` threads of the libraries (which don't hold Python's lock). Two neighbours are then joined bottom-up: a window
 of tokens around the join is encoded again, and grows until its first token equals the left
 side's and its last token the right side's, at edges where that proves the whole join exact:
 
@@ -16,7 +16,8 @@ of the library. Documents are spread over tasks; only one text at a time lies in
 
 Defined cases: a null text is an empty text (0 tokens, hash of the empty string); the special
 token's string in a text becomes the special id and decodes to itself; repeated rows are
-encoded alike; extra columns are ignored; an empty table gives an empty result.
+encoded alike; a very long text is a tree of many leaves; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LEAF_CHARS = 16_384
+LEAF_CHARS = 8_192
+THREADS = 4
 SPECIAL = "<|endoftext|>"
 
 
@@ -73,7 +75,14 @@ class Codec:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def encode_leaves(self, texts: list[str]) -> list[list[int]]:
-        return [self.encode_leaf(t) for t in texts]
+        """The ids of some texts, encoded in parallel."""
+        if len(texts) == 1:
+            return [self.encode_leaf(texts[0])]
+        ranked = [self.ranked is not None and (t.isascii() or max(t) < "\u0100") for t in texts]
+        fast, other = [t for t, r in zip(texts, ranked) if r], [t for t, r in zip(texts, ranked) if not r]
+        found = iter(self.ranked.encode_batch(fast, num_threads=THREADS, allowed_special={SPECIAL})) if fast else iter(())
+        rest = iter([e.ids for e in self.library.encode_batch(other, add_special_tokens=False)])
+        return [next(found) if r else next(rest) for r in ranked]
 
     def encode(self, text: str, leaf: int = LEAF_CHARS) -> list[int]:
         return encode_tree(text, self.encode_leaves, self.pieces, leaf)
