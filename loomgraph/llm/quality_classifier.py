@@ -7,14 +7,16 @@ passages by a learned gate, and scores the weighted mean: labels are given for d
 only, the weights of passages are learned from them.
 
 The network is fitted on the driver from a bounded sample: at most ``train_documents``
-labelled rows (lowest hash of doc_id) and ``train_passages`` evenly spaced passages of each.
+labelled rows (those of the lowest hash of doc_id), with all passages of each.
 Scoring covers every passage of every document, where the rows lie.
 
 Only the text enters a score. Defined cases: a null or empty text, or one without words, is
-one empty passage and gets that passage's score; a null doc_id is hashed as the empty string;
-several labels of one doc_id count as the lowest; without any label every score is 0.5;
-repeated rows score alike; extra columns are carried along by ``keep_documents``, whatever
-their names, and ignored otherwise.
+one empty passage and gets that passage's score; a very long text has as many passages as it
+needs; a null doc_id is hashed as the empty string;
+several labels of one doc_id count as the lowest; of several texts of one labelled doc_id the one
+of the least features trains; ids of equal hash are taken in order; without any label every score is
+0.5; repeated rows score alike; extra columns are carried along by ``score_documents`` and
+``keep_documents``, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +32,9 @@ from pyspark.sql.types import StructType
 from loomgraph.llm._words import _word_hashes, mix64
 
 PASSAGE = 64
-TRAIN_DOCUMENTS, TRAIN_PASSAGES = 6000, 48
+TRAIN_DOCUMENTS = 6000
 THRESHOLD = 0.3
-HASHED = 16
+HASHED = 48
 FEATURES = 18 + HASHED
 HIDDEN = 16
 
@@ -176,7 +178,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, train_documents: int = TRAIN_DOCUMENTS, train_passages: int = TRAIN_PASSAGES) -> AttentionScorer | None:
+def fit_classifier(docs: DataFrame, labels: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> AttentionScorer | None:
     """The network fitted on labelled rows outside the held-out fold, or None without any."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sample = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_documents)
@@ -188,16 +190,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, train_documents: int = TR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at, bags = batch.column("doc_id"), 0, []
-            for x, counts in encode_passages(batch.column("text").to_pylist()):
-                for own in np.split(x, np.cumsum(counts)[:-1]):
-                    pick = np.unique(np.linspace(0, len(own) - 1, min(len(own), train_passages)).astype(int))
-                    bags.append(own[pick].tobytes())
-                    at += 1
-            yield pa.RecordBatch.from_arrays([ids, pa.array(bags, pa.binary())], names=["doc_id", "bag"])
+            bags = [own.tobytes() for x, counts in encode_passages(batch.column("text").to_pylist()) for own in np.split(x, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bags, pa.binary())], names=["doc_id", "bag"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi").mapInArrow(run, "doc_id long, bag binary")
-    rows = sorted({(r["doc_id"], bytes(r["bag"])) for r in texts.dropDuplicates(["doc_id"]).collect()})
+    rows = sorted((r["doc_id"], bytes(r["bag"])) for r in texts.groupBy("doc_id").agg(F.min("bag").alias("bag")).collect())
     bags = [np.frombuffer(bag, np.float32).reshape(-1, FEATURES) for _, bag in rows]
     return AttentionScorer().fit(bags, np.array([chosen[i] for i, _ in rows], np.float32))
 
