@@ -3,6 +3,14 @@
 Every stage takes the documents that its predecessor kept, written as Parquet, and its
 decisions take effect: rejected documents and all but one document of each near-duplicate
 group go, secrets are replaced in the texts, and the last stage packs what is left.
+
+Defined cases, in every stage: null and empty texts have no words, so that the quality rules
+reject them; later stages on their own keep them (the classifier scores them like an empty
+passage, they are nobody's near duplicate, have no secrets and pack as an end id). Repeated rows
+are judged alike, and one of them stays after the near duplicates. Of near duplicates the one of
+the least doc_id stays. Very long texts are handled whole. Columns that a stage doesn't know are
+carried along whatever their names, up to the packing, which returns pieces. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import ngram_join, packing, quality_classifier, quality_rules, secrets
-from loomgraph.llm._store import staged
+from loomgraph.llm._store import dropped, staged
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +64,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = staged(docs, f"stage{i + 1}")
+        if 0 < i < len(STAGES) - 1:
+            dropped(before)
     return docs
