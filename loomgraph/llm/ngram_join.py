@@ -39,7 +39,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -125,15 +124,15 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
 def _add_up(parts: DataFrame, fan_in: int = 64) -> np.ndarray:
     """The sum of all partitions' tables (chunk, part, counts), merged as a tree. Its size is fixed."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "<i8") for x in pdf["counts"])
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "part": [pdf["part"].iloc[0] // fan_in], "counts": [total.tobytes()]})
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), "<i8") for x in rows.column("counts"))
+        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "part": pa.array([rows.column("part")[0].as_py() // fan_in], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     most = parts.agg(F.max("part")).first()[0]
     if most is None:
         return np.zeros(1 << COUNT_BITS, np.int64)
     while True:
-        parts = parts.groupBy("chunk", F.expr(f"part div {fan_in}").alias("up")).applyInPandas(lambda pdf: add(pdf), "chunk int, part int, counts binary")
+        parts = parts.groupBy("chunk", F.expr(f"part div {fan_in}").alias("up")).applyInArrow(lambda rows: add(rows), "chunk int, part int, counts binary")
         most //= fan_in
         if not most:
             break
@@ -198,7 +197,7 @@ def _postings(docs: DataFrame, k: int, percent: int, counts, ranges: int) -> Dat
                 for x, v in zip(held, (s[np.lexsort((s, table[_bucket(s)]))[:p]], np.full(p, sid), np.full(p, len(s)), np.arange(p))):
                     x.append(v)
                 size += p
-                if size > 1_000_000:
+                if size > 200_000:
                     yield rows()
                     held, size = ([], [], [], []), 0
         if size:

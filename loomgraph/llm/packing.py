@@ -45,8 +45,8 @@ from loomgraph.llm._store import dropped, staged
 SEQUENCE = 4096
 WINDOW_SEQUENCES = 16
 TEMPERATURE = 0.7
-CACHED_WORDS = 600_000
-SLICE_BYTES = 4 << 20
+CACHED_WORDS = 150_000
+SLICE_BYTES = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, most_rows: int = 8192, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
