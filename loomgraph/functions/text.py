@@ -23,9 +23,35 @@ def whole_word(term: Column, flat: Column) -> Column:
 
 
 def sql_tables(statement: Column) -> Column:
-    """The distinct tables after FROM, JOIN, INTO and UPDATE, lower-cased, in order."""
-    found = F.regexp_extract_all(statement, F.lit(r"(?i)\b(?:from|join|into|update)\s+([A-Za-z_][A-Za-z0-9_.]*)"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda t: F.lower(t)))
+    """The distinct tables after FROM, JOIN, INTO, UPDATE and TABLE, lower-cased, in order; back-quoted or not, with their schema."""
+    name = r"(`?[A-Za-z_]\w*`?(?:\.`?[A-Za-z_]\w*`?)*)"
+    found = F.regexp_extract_all(statement, F.lit(rf"(?i)\b(?:from|join|into|update|table)\s+{name}"), F.lit(1))
+    plain = F.transform(found, lambda t: F.lower(F.replace(t, F.lit("`"), F.lit(""))))
+    return F.array_distinct(F.filter(plain, lambda t: ~t.isin("select", "where", "and", "or", "on")))
+
+
+def sql_columns(statement: Column, op: Column, most: int = 50) -> Column:
+    """The columns that a select, update or insert names, in order; none where it selects * or counts."""
+    flat = F.trim(F.regexp_replace(statement, r"\s+", " "))
+    words = lambda part: F.regexp_extract_all(part, F.lit(r"`?(\w+)`?"), F.lit(1))
+    chosen = F.regexp_extract(flat, r"(?i)SELECT\s+(.+?)\s+FROM", 1)
+    selected = F.when(F.lower(chosen).contains("count(") | chosen.contains("*"), F.array().cast("array<string>")).otherwise(F.filter(words(chosen), lambda w: ~F.upper(w).isin("AS", "DISTINCT", "FROM")))
+    updated = F.regexp_extract_all(F.regexp_extract(flat, r"(?i)SET\s+(.+?)(?:WHERE|$)", 1), F.lit(r"`?(\w+)`?\s*="), F.lit(1))
+    inserted = F.filter(words(F.regexp_extract(flat, r"(?i)INSERT\s+INTO\s+\w+\s*\((.+?)\)", 1)), lambda w: F.upper(w) != "VALUES")
+    low = F.lower(op)
+    return F.slice(F.when(low == "select", selected).when(low == "update", updated).when(low == "insert", inserted).otherwise(F.array().cast("array<string>")), 1, most)
+
+
+def dao_key(class_name: Column) -> Column:
+    """One key for a data-access class and its mapper: the simple name without Dao or Mapper."""
+    return F.lower(F.regexp_replace(F.element_at(F.split(class_name, r"\."), -1), "(Dao|DAO|Mapper)$", ""))
+
+
+def json_of(text: Column) -> Column:
+    """The first JSON object or array in a generated text, code fences aside; null without one."""
+    bare = F.regexp_replace(text, r"(?s)```(?:json)?", "")
+    found = F.regexp_extract(bare, r"(?s)([\[{].*[\]}])", 1)
+    return F.when(found != "", found)
 
 
 def one_line(text: Column, limit: int) -> Column:

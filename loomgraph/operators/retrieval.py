@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import soft_tokens, whole_word
-from loomgraph.functions.vectors import cosine
+from loomgraph.functions.vectors import cosine, hash_embedding
 
 TEXT_WEIGHT, IDENT_WEIGHT = 0.42, 0.28
 
@@ -23,6 +24,43 @@ def top_k(vectors: DataFrame, query: list[float], k: int, key: str, column: str)
     return vectors.select(key, F.round(cosine(F.col(column), q), 4).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def merge_best(*hits: DataFrame, most: int | None = None) -> DataFrame:
+    """id, score: the best score of each id over some hit lists, 0 at least."""
+    every = hits[0].select("id", "score")
+    for more in hits[1:]:
+        every = every.union(more.select("id", "score"))
+    best = every.groupBy("id").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("score"))
+    return best.orderBy(F.desc("score"), "id").limit(most) if most else best
+
+
+def search_text(texts: DataFrame, query: str, k: int, key: str = "id") -> DataFrame:
+    """key, score of the k texts nearest to a query by their hash embeddings. texts: key, text."""
+    q = hash_embedding(F.lit(query))
+    return texts.select(key, F.round(cosine(hash_embedding(F.col("text")), q), 4).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
+def hybrid_search(hits: list[DataFrame], texts: DataFrame, terms: list[str], k: int, recall: int = 9, pool: int = 160) -> DataFrame:
+    """id, score: hit lists merged into a pool of min(max(recall * k, k), pool), then reranked by the terms. texts: id, text, ident."""
+    merged = merge_best(*hits, most=min(max(recall * k, k), pool))
+    return rerank(merged.join(texts, "id", "left").select("id", "score", "text", "ident"), terms, k)
+
+
+def top_k_of_queries(vectors: DataFrame, asked: DataFrame, k: int, key: str, column: str, at_once: int = 1024) -> DataFrame:
+    """item, key, score: the k nearest of every asked row (item, q) among all others, by exact cosine.
+
+    The asked rows are dealt into blocks of about ``at_once``, each of which is sent to all tasks;
+    a task keeps k hits of an item before they are shuffled.
+    """
+    blocks = max(1, -(-asked.count() // at_once))
+    out = None
+    for block in range(blocks):
+        some = F.broadcast(asked.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block))  # about at_once vectors
+        scored = vectors.join(some, F.col(key) != F.col("item")).select("item", key, F.round(cosine(F.col(column), F.col("q")), 4).alias("score"))
+        best = scored.withColumn("rn", F.row_number().over(W.partitionBy("item").orderBy(F.desc("score"), key))).filter(F.col("rn") <= k).drop("rn")
+        out = best if out is None else out.union(best)
+    return out
+
+
 def rerank(hits: DataFrame, terms: list[str], k: int) -> DataFrame:
     """id, score: vector score plus weighted shares of the terms found as whole words in text and identifier.
 

@@ -11,12 +11,10 @@ from loomgraph.session import table
 from loomgraph.sources.tables import CALLS_SQL, calls
 
 
-@query("x19_sql_tables", """SELECT l_orderkey, l_linenumber, 'part_' || l_returnflag || ',supp_' || l_linestatus AS tables FROM lineitem""")
+@query("x19_sql_tables", """SELECT l_orderkey, l_linenumber, 'db.part_' || lower(l_returnflag) || ',supp_' || lower(l_linestatus) || ',log' AS tables FROM lineitem""")
 def x19(spark, d):
-    statement = F.concat(F.lit("SELECT a FROM Part_"), "l_returnflag", F.lit(" p JOIN supp_"), "l_linestatus", F.lit(" s ON 1=1"))
-    lower = F.concat(F.lit("part_"), "l_returnflag", F.lit(",supp_"), "l_linestatus")
-    found = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(sql_tables(statement), ",").alias("t"), lower.alias("tables"))
-    return found.filter(F.col("t") == F.lower("tables")).select("l_orderkey", "l_linenumber", "tables")
+    statement = F.concat(F.lit("INSERT INTO `Db`.Part_"), "l_returnflag", F.lit(" SELECT a FROM `supp_"), "l_linestatus", F.lit("` s JOIN (select 1 from where) x; truncate TABLE Log"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(sql_tables(statement), ",").alias("tables"))
 
 
 @query("a10_access_groups", """SELECT l_suppkey AS "table", l_returnflag AS op, min(l_linenumber) AS min_hop, max(l_linenumber) AS max_hop, count(DISTINCT l_partkey) AS methods FROM lineitem GROUP BY ALL""")

@@ -154,10 +154,10 @@ def j10(spark, d):
     return G.induced_edges(edges(spark, d), nodes(spark, d).filter("module_id = 'ASIA' OR id = 'service://ASIA'"))
 
 
-@query("j12_by_id_or_name", """SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey OR (l_suppkey = p_partkey AND l_returnflag = 'R') WHERE l_linenumber = 1""")
+@query("j12_by_id_or_name", """SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey OR (l_suppkey = p_partkey AND l_returnflag = 'R')""")
 def j12(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_name")
-    lines = table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
     by_id = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     by_name = lines.filter("l_returnflag = 'R'").join(part, F.col("l_suppkey") == F.col("p_partkey"))
     return by_id.union(by_name).select("l_orderkey", "l_partkey", "l_suppkey", "p_name").distinct()

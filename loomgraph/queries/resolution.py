@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.functions.lexical import query_terms
 from loomgraph.functions.vectors import cosine
+from loomgraph.operators.semantic import capability_of
 from loomgraph.operators.traverse import bfs
 from loomgraph.queries._registry import query
 from loomgraph.session import table
@@ -74,10 +76,10 @@ def a16(spark, d):
     return found.select("id", "coverage", "total", (10 * F.col("level") + 5 * F.col("coverage") + 2 * F.col("total")).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
-@query("a19_benefit_of_inference", f"""WITH RECURSIVE {CALLS_SQL}, r AS (SELECT 'method://p' || p_partkey AS start_id, 'method://p' || p_partkey AS id FROM part WHERE p_partkey % 100 = 99 UNION SELECT start_id, target_id FROM r JOIN calls ON source_id = id)
+@query("a19_benefit_of_inference", f"""WITH RECURSIVE {CALLS_SQL}, r AS (SELECT 'method://p' || p_partkey AS start_id, 'method://p' || p_partkey AS id FROM part UNION SELECT start_id, target_id FROM r JOIN calls ON source_id = id)
   SELECT start_id, count(*) - 1 AS reached, count(*) - 2 AS gained FROM r GROUP BY 1 ORDER BY gained DESC, start_id LIMIT 8""")
 def a19(spark, d):
-    starts = table(spark, d, "part").filter("p_partkey % 100 = 99").select(F.concat(F.lit("method://p"), "p_partkey").alias("start_id"))
+    starts = table(spark, d, "part").select(F.concat(F.lit("method://p"), "p_partkey").alias("start_id"))
     reached = bfs(calls(spark, d), starts.select("start_id", F.col("start_id").alias("node_id")))
     sizes = reached.groupBy("start_id").agg((F.count("*") - 1).alias("reached"), F.count_if(F.col("hop") > 1).alias("gained"))
     return sizes.orderBy(F.desc("gained"), "start_id").limit(8)
@@ -92,14 +94,15 @@ def a21(spark, d):
 @query("x4_capability_links", """SELECT p_partkey, CASE WHEN regexp_matches(p_type, 'STEEL.*') THEN 'metal' WHEN regexp_matches(p_type, 'BRUSHED.*') THEN 'finish' ELSE 'first' END AS capability,
   CASE WHEN regexp_matches(p_type, 'STEEL.*') OR regexp_matches(p_type, 'BRUSHED.*') THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM part""")
 def x4(spark, d):
-    metal, finish = F.col("p_type").rlike("STEEL.*"), F.col("p_type").rlike("BRUSHED.*")
-    return table(spark, d, "part").select("p_partkey", F.when(metal, "metal").when(finish, "finish").otherwise("first").alias("capability"), F.when(metal | finish, 0.9).otherwise(0.5).alias("confidence"))
+    capability, confidence = capability_of(F.col("p_type"), [("metal", "STEEL**"), ("finish", "BRUSHED**")], "first")
+    return table(spark, d, "part").select("p_partkey", capability.alias("capability"), confidence.alias("confidence"))
 
 
-@query("x10_query_terms", "SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{3,}'))), ' ') AS terms FROM benchmark")
+@query("x10_query_terms", """SELECT item_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:60], ' ') AS terms FROM
+  (SELECT item_id, list_concat(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]{2,}'), lambda x: lower(x)), ['订单取消', '步骤']) AS l FROM benchmark)""")
 def x10(spark, d):
-    terms = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{3,}"), F.lit(0))))
-    return table(spark, d, "benchmark").select("item_id", F.array_join(terms, " ").alias("terms"))
+    asked = F.concat("text", F.lit(" 请问 订单取消的步骤？"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(query_terms(asked), " ").alias("terms"))
 
 
 @query("x25_summaries", r"SELECT doc_id, substr(regexp_extract(text, '^\s*([^\n]{5,})', 1), 1, 50) AS summary FROM documents")

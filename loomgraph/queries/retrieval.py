@@ -51,12 +51,10 @@ def v8(spark, d):
 
 
 @query("v15_batch_recall", f"""SELECT item, vec_id, score FROM (SELECT b.vec_id AS item, a.vec_id, round({_COSINE}, 4) AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY round({_COSINE}, 4) DESC, a.vec_id) AS rn
-  FROM embeddings a JOIN embeddings b ON b.vec_id < 5 AND a.vec_id <> b.vec_id) WHERE rn <= 3""")
+  FROM embeddings a JOIN embeddings b ON b.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) WHERE rn <= 3""")
 def v15(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = F.broadcast(e.filter("vec_id < 5").select(F.col("vec_id").alias("item"), F.col("embedding").alias("q")))  # five query vectors
-    scored = e.join(asked, F.col("vec_id") != F.col("item")).select("item", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
-    return scored.withColumn("rn", F.row_number().over(W.partitionBy("item").orderBy(F.desc("score"), "vec_id"))).filter("rn <= 3").drop("rn")
+    return R.top_k_of_queries(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("item"), F.col("embedding").alias("q")), 3, "vec_id", "embedding")
 
 
 _FLAT = "' ' || trim(regexp_replace(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g')) || ' '"
@@ -109,9 +107,10 @@ def x21(spark, d):
     return table(spark, d, "documents").select("doc_id", X.one_line(F.col("text"), 120).alias("line"))
 
 
-@query("x24_without_thoughts", r"SELECT doc_id, length(trim(replace(text, 'zzz', ''))) AS size FROM (SELECT doc_id, regexp_replace('zzz' || substr(text, 1, 50), '^\s+|\s+$', '', 'g') AS text FROM documents)")
+@query("x24_without_thoughts", r"SELECT doc_id, length(regexp_replace(text || 'x', '^\s+|\s+$', '', 'g')) AS size FROM documents")
 def x24(spark, d):
-    text = F.concat(F.lit("<think>a\nb</think>"), F.substring("text", 1, 50))
+    half = F.floor(F.length("text") / 2).cast("int")
+    text = F.concat(F.lit("<think>a\nb</think>"), F.substr("text", F.lit(1), half), F.lit("<think>c</think>"), F.substr("text", half + 1), F.lit("x<think>d</think>"))
     return table(spark, d, "documents").select("doc_id", F.length(X.without_thoughts(text)).alias("size"))
 
 

@@ -37,10 +37,10 @@ def w6(spark, d):
     return table(spark, d, "conversations").withColumn("rn", rn).filter("rn <= 10").select("conv_id", "turn", "role")
 
 
-@query("o10_prompts", "SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 80), chr(10) ORDER BY turn, role, text) AS prompt FROM conversations GROUP BY 1")
+@query("o10_prompts", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS prompt FROM conversations GROUP BY 1")
 def o10(spark, d):
     lines = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    prompt = F.array_join(F.transform(lines, lambda x: F.concat(x["role"], F.lit(": "), F.substring(x["text"], 1, 80))), "\n")
+    prompt = F.array_join(F.transform(lines, lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")
     return table(spark, d, "conversations").groupBy("conv_id").agg(prompt.alias("prompt"))
 
 

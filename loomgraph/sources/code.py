@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -59,23 +60,61 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with rows of the same keys replaced by new ones; created tells rows that are new."""
-    created = new.join(old.select(*keys).withColumn("_old", F.lit(True)), keys, "left").withColumn("created", F.col("_old").isNull()).drop("_old")
-    return old.join(new.select(*keys), keys, "left_anti").withColumn("created", F.lit(False)).unionByName(created)
+    """old with rows of the same keys replaced by new ones; created tells rows that are new. Of equal keys in new the last in the order of all columns wins."""
+    order = F.struct(*(F.col(c) for c in new.columns))
+    last = new.groupBy(*keys).agg(F.max(order).alias("_last")).select("_last.*")
+    created = last.join(old.select(*keys).distinct().withColumn("_old", F.lit(True)), keys, "left").withColumn("created", F.col("_old").isNull()).drop("_old")
+    return old.join(last.select(*keys), keys, "left_anti").withColumn("created", F.lit(False)).unionByName(created)
+
+
+def without_orphans(stored: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """The stored rows whose key the facts still have."""
+    return stored.join(facts.select(key).distinct(), key, "left_semi")
+
+
+def write_facts(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The facts as JSON lines: entities and relations in folders of their own."""
+    nodes.write.mode("overwrite").json(f"{path}/entities")
+    edges.write.mode("overwrite").json(f"{path}/relations")
+
+
+def write_stats(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """nodes, edges: their numbers, as one JSON line."""
+    nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges"))).coalesce(1).write.mode("overwrite").json(path)
+
+
+_QUOTES = "'\"`"
+
+
+def _outside_quotes(text: str) -> list[bool]:
+    """Whether each character lies outside of quotes (and is none)."""
+    out, quote = [], ""
+    for c in text:
+        if quote:
+            out.append(False)
+            quote = "" if c == quote else quote
+        else:
+            out.append(c not in _QUOTES)
+            quote = c if c in _QUOTES else ""
+    return out
 
 
 def _columns_of(body: str) -> list[tuple[str, str]]:
+    """(column, type) of the parts of a CREATE TABLE: parentheses and commas count outside of quotes only."""
+    plain = _outside_quotes(body + ",")
     parts, depth, start = [], 0, 0
     for i, c in enumerate(body + ","):
+        if not plain[i]:
+            continue
         depth += (c == "(") - (c == ")")
         if c == "," and depth == 0:
             parts.append(body[start:i].strip())
             start = i + 1
     out = []
     for part in parts:
-        words = part.split(None, 2)
-        if len(words) >= 2 and words[0].strip("`\"").upper() not in {"PRIMARY", "KEY", "UNIQUE", "INDEX", "CONSTRAINT", "FOREIGN", "FULLTEXT", "CHECK"}:
-            out.append((words[0].strip("`\""), " ".join(words[1:2])))
+        m = re.match(r"(`[^`]+`|\"[^\"]+\"|\S+)\s+([\w.]+(?:\s*\([^)]*\))?)", part)
+        if m and m[1].upper() not in {"PRIMARY", "KEY", "UNIQUE", "INDEX", "CONSTRAINT", "FOREIGN", "FULLTEXT", "CHECK"}:
+            out.append((m[1].strip("`\""), m[2]))
     return out
 
 
@@ -83,16 +122,14 @@ def ddl_columns(files: DataFrame) -> DataFrame:
     """table, ordinal, column, type of every CREATE TABLE in the text column; parentheses are balanced."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         head = re.compile(r"(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?[`\"]?([\w.]+)[`\"]?\s*\(")
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
                 for m in head.finditer(text or ""):
-                    depth, end = 1, m.end()
+                    plain, depth, end = _outside_quotes(text[m.end() :]), 1, m.end()
                     while end < len(text) and depth:
-                        depth += (text[end] == "(") - (text[end] == ")")
+                        depth += plain[end - m.end()] * ((text[end] == "(") - (text[end] == ")"))
                         end += 1
                     rows += [(m[1], i, c, t) for i, (c, t) in enumerate(_columns_of(text[m.end() : end - 1]))]
             columns = list(zip(*rows)) or [[], [], [], []]

@@ -17,9 +17,8 @@ def follow(spark: SparkSession, folder: str, schema: StructType, target: str, ke
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.orderBy(*batch.columns).dropDuplicates(keys)
-        if number:
-            new = upsert(spark.read.parquet(f"{target}/v{number - 1}"), new, keys).drop("created")
+        old = spark.read.schema(schema).parquet(f"{target}/v{number - 1}") if number else batch.limit(0)
+        new = upsert(old, batch, keys).drop("created")
         new.write.mode("overwrite").parquet(f"{target}/v{number}")
 
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -57,6 +57,9 @@ def test_ddl_and_mapper(spark):
     ddl = "CREATE TABLE `t` (id bigint, price decimal(10,2) NOT NULL, PRIMARY KEY (id));"
     files = spark.createDataFrame([(ddl,), (None,)], "text string")
     assert [(r["column"], r["type"]) for r in code.ddl_columns(files).orderBy("ordinal").collect()] == [("id", "bigint"), ("price", "decimal(10,2)")]
+    odd = "create table if not exists shop (`key` int comment 'a (b', price decimal(10, 2), \"order\" text, KEY k (price)); create table u (x int)"
+    found = code.ddl_columns(spark.createDataFrame([(odd,)], "text string")).orderBy("table", "ordinal").collect()
+    assert [(r["table"], r["column"], r["type"]) for r in found] == [("shop", "key", "int"), ("shop", "price", "decimal(10, 2)"), ("shop", "order", "text"), ("u", "x", "int")]
     xml = '<mapper namespace="a.B"><select id="q">SELECT 1 <if test="x">FROM t</if> END</select><update id="e"></update></mapper>'
     files = spark.createDataFrame([(xml,), ("<broken",)], "text string")
     assert [r["sql"] for r in code.mapper_statements(files).collect()] == ["SELECT 1 FROM t END"]
@@ -78,3 +81,45 @@ def test_streamed_upserts(spark, tmp_path):
         put(batch)
         follow(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), ["k"], str(tmp_path / "ck")).awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "v1")).collect()} == {(1, "a"), (2, "c")}
+    put([(1, "b"), (1, "d"), (1, "c")])  # of equal keys the last wins
+    follow(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), ["k"], str(tmp_path / "ck")).awaitTermination()
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "v2")).collect()} == {(1, "d"), (2, "c")}
+
+
+def test_sinks_and_orphans(spark, tmp_path):
+    nodes, edges = spark.createDataFrame([("m", "method")], "id string, entity_type string"), spark.createDataFrame([("m", "n")], "source_id string, target_id string")
+    code.write_facts(nodes, edges, str(tmp_path / "facts"))
+    assert spark.read.json(str(tmp_path / "facts" / "entities")).first()["id"] == "m" and spark.read.json(str(tmp_path / "facts" / "relations")).first()["target_id"] == "n"
+    code.write_stats(nodes, edges, str(tmp_path / "stats"))
+    assert tuple(spark.read.json(str(tmp_path / "stats")).select("nodes", "edges").first()) == (1, 1)
+    stored = spark.createDataFrame([("m", 1), ("gone", 2)], "id string, v int")
+    assert [r["id"] for r in code.without_orphans(stored, nodes, "id").collect()] == ["m"]
+
+
+def test_question_terms(spark):
+    from loomgraph.functions import lexical
+
+    assert one(spark, lexical.query_terms(F.lit("请问 OrderService 的订单取消和退款流程是什么？"))) == ["orderservice", "订单取消", "退款流程是什么"]
+    long = one(spark, lexical.query_terms(F.lit("甲乙丙丁戊己庚辛壬癸子丑寅")))
+    assert long[:2] == ["甲乙", "乙丙"] and "甲乙丙" in long and len(long) == 12 + 11
+    assert one(spark, lexical.query_terms(F.lit(None).cast("string"))) == []
+    noise = lambda t, q: one(spark, lexical.is_noise(F.lit(t), F.lit(q), ["get", "order"], ["order"]))
+    assert noise("get", "how to cancel") and not noise("get", "how to get it") and not noise("order", "x") and not noise("订单", "x")
+
+
+def test_paths_ids_and_call_chains(spark):
+    from loomgraph.operators import walk
+    from loomgraph.operators.traverse import bfs
+
+    calls = spark.createDataFrame([("a", "i"), ("impl1", "b"), ("impl2", "get"), ("get", "c")], "source_id string, target_id string")
+    impl = spark.createDataFrame([("i", "impl1"), ("i", "impl2")], "interface_id string, id string")
+    chain = walk.call_chain(calls, impl, spark.createDataFrame([("get",)], "id string"), "a").collect()
+    assert [tuple(r) for r in chain] == [("a", 0), ("impl1", 1), ("impl2", 1), ("b", 2)]
+    start = spark.createDataFrame([("a", "a")], "start_id string, node_id string")
+    paths = {r["node_id"]: r["path"] for r in walk.with_paths(bfs(calls, start)).collect()}
+    assert paths == {"a": ["a"], "i": ["a", "i"]}
+    far = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "source_id string, target_id string")
+    assert {r["node_id"]: r["path"] for r in walk.with_paths(bfs(far, start), most_steps=1).collect()}["d"] == ["a", "d"]
+    known = spark.createDataFrame([("method//x",)], "id string"), spark.createDataFrame([("method://x",), ("method://y",)], "id string")
+    asked = spark.createDataFrame([("method://x",), ("method//y",), ("z",)], "asked string")
+    assert {tuple(r) for r in walk.resolve_ids(asked, *known).collect()} == {("method://x", "method//x"), ("method//y", "method://y"), ("z", "z")}
