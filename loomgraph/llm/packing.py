@@ -45,7 +45,7 @@ from loomgraph.llm._store import dropped, staged
 SEQUENCE = 4096
 WINDOW_SEQUENCES = 16
 TEMPERATURE = 0.7
-CACHED_WORDS = 150_000
+CACHED_WORDS = 400_000  # about 80 MB in each Python worker
 SLICE_BYTES = 2 << 20
 
 
@@ -88,9 +88,10 @@ class WordEncoder:
 
     SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
         from tokenizers import Tokenizer
 
+        self.cached_words = cached_words
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -144,7 +145,7 @@ class WordEncoder:
         again = pc.if_else(pa.array(as_is), words, pc.ascii_lower(words)).dictionary_encode()
         distinct, first, second = self._units(again.dictionary)
         units, plain = distinct.to_numpy(zero_copy_only=False).tolist(), pc.utf8_is_alpha(distinct).to_numpy(zero_copy_only=False) & _latin_1(distinct)
-        if len(self.words) > CACHED_WORDS:  # the words of these texts stay
+        if len(self.words) > self.cached_words:  # the words of these texts stay
             self.words = {w: self.words[w] for w in units if w in self.words} | {"": b""}
         self._learn([(w, p) for w, p in zip(units, plain.tolist()) if w not in self.words])
         own = list(map(self.words.__getitem__, units))
@@ -170,15 +171,15 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str, cached_words: int = CACHED_WORDS) -> WordEncoder:
+    return WordEncoder(path, cached_words)
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, cached_words: int = CACHED_WORDS) -> DataFrame:
     """part, source, doc_id, begin (tokens of that source before it in its partition), n, ids: written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, sent = _encoder(tokenizer_path), TaskContext.get().partitionId(), {}
+        encoder, part, sent = _encoder(tokenizer_path, cached_words), TaskContext.get().partitionId(), {}
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids, sizes = encoder.encode_binary(batch.column("text"), end_id)
@@ -301,14 +302,16 @@ def pack(
     shares: dict[str | None, int] | None = None,
     temperature: float = TEMPERATURE,
     with_ids: bool = False,
+    cached_words: int = CACHED_WORDS,
 ) -> DataFrame:
     """One row for each piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, window_id, and the piece's ids if asked for.
 
     shares: weight of each source in every window; sources that aren't named get weight 1. By
-    default a weight is the source's token count to the power of ``temperature``.
+    default a weight is the source's token count to the power of ``temperature``. cached_words:
+    how many encoded words a Python worker keeps, its memory against its time.
     """
     spark = docs.sparkSession
-    tokens = tokenize(docs, tokenizer_path, end_id)
+    tokens = tokenize(docs, tokenizer_path, end_id, cached_words)
     parts = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     bases = staged(parts.select("source", "part", "n", before.alias("base")), "bases")
@@ -320,7 +323,7 @@ def pack(
     number = {s: j for j, s in enumerate(sources)}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = _encoder(tokenizer_path).dtype
+        width = _encoder(tokenizer_path, cached_words).dtype
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
