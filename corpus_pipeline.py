@@ -45,7 +45,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The documents' tokens packed into sequences at the corpus's mixture of sources."""
     import public_tokenizers as vocabularies
 
-    return packing.pack(docs, vocabularies.path("word_bpe_49k.json"))
+    # Its workers have served four other stages: fewer words are kept.
+    return packing.pack(docs, vocabularies.path("word_bpe_49k.json"), cached_words=100_000)
 
 
 STAGES = [
