@@ -23,17 +23,19 @@ def bfs(edges: DataFrame, starts: DataFrame, max_hops: int | None = None, direct
     """start_id, node_id, hop, parent_id: the least hops to each node reached, the start itself at 0.
 
     edges: source_id, target_id. starts: start_id, node_id. direction: down, up or both.
-    The parent is the smallest id among those one hop nearer.
+    The parent is the smallest id among those one hop nearer. Along both directions, what a
+    frontier touches is at most one hop nearer than itself, so that the last two frontiers tell
+    what was seen; along one direction all of them do.
     """
     down = edges.select(F.col("source_id").alias("node_id"), F.col("target_id").alias("next_id"))
     up = edges.select(F.col("target_id").alias("node_id"), F.col("source_id").alias("next_id"))
     steps = {"down": down, "up": up, "both": down.unionByName(up)}[direction].distinct()
     steps = staged(steps, "steps")
     frontier = staged(starts.select("start_id", "node_id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent_id")).distinct(), "frontier")
-    seen = [frontier]
+    seen, near = [frontier], 2 if direction == "both" else 0  # 0: all
     while max_hops is None or len(seen) <= max_hops:
         found = frontier.join(steps, "node_id").groupBy("start_id", F.col("next_id").alias("id")).agg(F.min("node_id").alias("parent_id"))
-        found = found.withColumnRenamed("id", "node_id").join(_union(seen).select("start_id", "node_id"), ["start_id", "node_id"], "left_anti")
+        found = found.withColumnRenamed("id", "node_id").join(_union(seen[-near:]).select("start_id", "node_id"), ["start_id", "node_id"], "left_anti")
         frontier = staged(found.select("start_id", "node_id", F.lit(len(seen)).alias("hop"), "parent_id"), "frontier")
         if frontier.isEmpty():
             break
@@ -67,17 +69,37 @@ def transitive_pairs(edges: DataFrame) -> DataFrame:
     return known.join(base, ["source_id", "target_id"], "left_anti")
 
 
+def _without_ends(arcs: DataFrame) -> DataFrame:
+    """The arcs on cycles or on ways between cycles: ids that nothing calls, or that call nothing, leave until none is left."""
+    n = arcs.count()
+    while n:
+        kept = arcs.join(arcs.select(F.col("t").alias("s")), "s", "left_semi").join(arcs.select(F.col("s").alias("t")), "t", "left_semi")
+        kept = staged(kept.select("s", "t"), "arcs")
+        now = kept.count()
+        if now == n:
+            break
+        arcs, n = kept, now
+    return arcs
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, component of every node: the largest id of its strongly connected component.
 
-    Rounds of forward colouring: every node takes the largest id that reaches it; nodes of a
+    Ids that lie on no cycle and between none are trimmed first, a level of both ends in a round.
+    Then rounds of forward colouring: every node takes the largest id that reaches it; nodes of a
     colour that reach back to the colour's own node form a component and leave the graph.
     """
-    left = staged(nodes.select("id").distinct(), "left")
-    arcs = staged(edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).filter("s <> t").distinct(), "arcs")
+    every = staged(nodes.select("id").distinct(), "nodes")
+    arcs = edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).filter("s <> t").distinct()
+    for end in ("s", "t"):
+        arcs = arcs.join(every.select(F.col("id").alias(end)), end, "left_semi")
+    arcs = staged(arcs.select("s", "t"), "arcs")
     done: list[DataFrame] = []
-    while not left.isEmpty():
-        arcs = staged(arcs.join(left.select(F.col("id").alias("s")), "s", "left_semi").join(left.select(F.col("id").alias("t")), "t", "left_semi").select("s", "t"), "arcs")
+    while True:
+        arcs = _without_ends(arcs)
+        if arcs.isEmpty():
+            break
+        left = arcs.select(F.col("s").alias("id")).union(arcs.select("t")).distinct()
         colour = staged(left.select("id", F.col("id").alias("c")), "colour")
         while True:
             pushed = arcs.join(colour, arcs.s == colour.id).groupBy(F.col("t").alias("id")).agg(F.max("c").alias("p"))
@@ -91,8 +113,12 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         back = bfs(own.select(F.col("s").alias("source_id"), F.col("t").alias("target_id")), roots, direction="up")
         found = staged(back.select(F.col("node_id").alias("id"), F.col("start_id").alias("component")), "components")
         done.append(found)
-        left = staged(left.join(found, "id", "left_anti"), "left")
-    return _union(done)
+        for end in ("s", "t"):
+            arcs = arcs.join(found.select(F.col("id").alias(end)), end, "left_anti")
+        arcs = staged(arcs.select("s", "t"), "arcs")
+    if not done:
+        return every.select("id", F.col("id").alias("component"))
+    return every.join(_union(done), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -39,6 +39,24 @@ def test_components_and_levels_with_cycles(spark):
     assert {r["id"]: r["level"] for r in T.levels(e, n).collect()} == {"a": 2, "b": 2, "c": 1, "d": 1, "leaf": 0, "x": 0}
 
 
+def test_components_beside_long_chains(spark):
+    chain = [(f"m{i}", f"m{i + 1}") for i in range(10, 20)]  # m10 -> ... -> m20, with a cycle m14 <-> m15 and one at the end of a branch
+    e = edge(spark, *chain, ("m15", "m14"), ("m12", "q"), ("q", "r"), ("r", "q"), ("r", "ghost"), ("ghost", "r"))
+    n = node(spark, [f"m{i}" for i in range(10, 21)] + ["q", "r"])
+    parts = {r["id"]: r["component"] for r in T.strong_components(e, n).collect()}
+    assert parts == {f"m{i}": f"m{i}" for i in range(10, 21)} | {"m14": "m15", "q": "r", "r": "r"}
+    assert {r["id"]: r["component"] for r in T.strong_components(edge(spark, *chain), node(spark, ["m10", "m11"])).collect()} == {"m10": "m10", "m11": "m11"}
+    assert T.strong_components(e.limit(0), n.limit(0)).count() == 0
+
+
+def test_bfs_of_both_directions_and_several_starts(spark):
+    e = edge(spark, ("a", "b"), ("c", "b"), ("c", "d"), ("e", "d"), ("a", "e"), ("f", "f"))
+    starts = spark.createDataFrame([("x", "a"), ("x", "d"), ("y", "a"), ("z", "f")], "start_id string, node_id string")
+    found = {(r["start_id"], r["node_id"]): r["hop"] for r in T.bfs(e, starts, direction="both").collect()}
+    near = {"a": 0, "b": 1, "e": 1, "c": 2, "d": 2}
+    assert found == {("y", k): v for k, v in near.items()} | {("x", k): v for k, v in {"a": 0, "d": 0, "b": 1, "e": 1, "c": 1}.items()} | {("z", "f"): 0}
+
+
 def test_levels_of_parts_with_gaps_in_their_keys(spark, tmp_path):
     from loomgraph.queries import QUERIES
 
