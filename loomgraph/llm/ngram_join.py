@@ -22,9 +22,11 @@
    |d(x, hub) - d(y, hub)| > 1 - t proves that x and y have no link). Pairs within a component
    need no comparison. No link between components is lost.
 
-Copies of a text are one class: a task emits a class once. Joins on a class, a bucket or a hub
-that holds a large share of the rows are split by Spark's handling of skewed joins; aggregates
-are combined before they are shuffled.
+Copies of a text are one class: a task emits a class once. A hub's segments are copied once for
+every CROWD of its pairs, and the pairs dealt over the copies, so that no hub brings more than
+about that many rows to a task. Joins on another class or bucket that holds a large share of the
+rows are split by Spark's handling of skewed joins; aggregates are combined before they are
+shuffled.
 
 Defined cases: a null text, or one without words, has an empty set, n_shingles 0, links with
 nothing and is its own component; repeated rows share a class, hence a component; rows of one
@@ -55,6 +57,7 @@ FRAGMENTS = 4
 OUTLINE = 256
 RANGE_ENTRIES = 250_000  # entries of a range of hashes, on average
 HOT = 65_536
+CROWD = 512  # pairs of a class that share one copy of its segments
 
 
 def _class_id(shingles: np.ndarray) -> int:
@@ -262,15 +265,19 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, per
     wanted = staged(wanted.select("sid", "doc_id", "n"), "wanted")
     segments = staged(_segments(docs, wanted, k, counts, pivots), "segments")
     left = segments.select(F.col("sid").alias("a"), "fragment", F.col("shingles").alias("x"))
-    right = segments.select(F.col("sid").alias("b"), "fragment", F.col("shingles").alias("y"))
+    # Classes of many pairs; the table's own size decides whether it is sent to all tasks.
+    crowds = staged(pairs.groupBy("b").agg(F.ceil(F.count("*") / CROWD).cast("long").alias("copies")).filter("copies > 1"), "crowds")
+    right = segments.select(F.col("sid").alias("b"), "fragment", F.col("shingles").alias("y")).join(crowds, "b", "left")
+    right = right.select("b", "fragment", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    dealt = pairs.join(crowds, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).alias("copy"))
     # Every side grows with the corpus, so all are shuffled at any size and none is broadcast.
-    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, ["b", "fragment"])
+    both = dealt.hint("merge").join(left, "a").hint("merge").join(right, ["b", "fragment", "copy"])
     partial = both.select("a", "b", "fragment", F.size(F.array_intersect("x", "y")).alias("c"))
     once = partial.groupBy("a", "b", "fragment").agg(F.max("c").alias("c"))  # a repeated row's fragments count once
     common = once.groupBy("a", "b").agg(F.sum("c").alias("common"))
     side = lambda c: wanted.toDF(c, f"d{c}", f"n{c}")
     out = staged(common.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b"), "overlaps")
-    for table in (segments, wanted, pairs):
+    for table in (segments, wanted, crowds, pairs):
         dropped(table)
     return out
 

@@ -250,6 +250,16 @@ def test_targets_hold_in_every_window_until_a_source_runs_dry(spark):
         packing.Schedule([5] * 33, None, 128)
 
 
+def test_ngram_join_with_crowded_hubs(spark, monkeypatch):
+    """Links are the same when a hub's pairs are dealt over copies of its segments."""
+    monkeypatch.setattr(ngram_join, "CROWD", 3)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base, f"end{j}"]) for j in range(30)] + [" ".join(base[:30] + [f"x{i}" for i in range(30)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicate_classes(df, 3, 90).collect()}
+    assert found == {j: 0 for j in range(30)} | {30: 30}
+
+
 def jaccard_components(texts, k, percent):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
