@@ -62,3 +62,27 @@ def identifier_words(ident: Column) -> Column:
     flat = F.regexp_replace(F.trim(F.coalesce(ident, F.lit(""))), r"[_\-\s]+", " ")
     humps = F.regexp_replace(F.regexp_replace(flat, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
     return F.array_join(F.transform(F.filter(F.split(humps, r"\s+"), lambda w: F.length(w) >= 2), lambda w: F.lower(w)), " ")
+
+
+def expand_terms(question: Column, base: Column, vocabulary: list[str], entries: list[tuple[str, list[str]]] = (), most: int = 100) -> Column:
+    """The base terms, then what a configuration adds, ``most`` in all and each once.
+
+    First the vocabulary's phrases that the question holds, by name; then those that hold a base term of two
+    characters or more or are held by one, base term by base term; then the synonyms or ids of the entries whose name is
+    touched in either way. Latin additions of entries are lower-cased, single ones dropped.
+    """
+    none = F.array().cast("array<string>")
+    phrases = sorted({p.strip() for p in vocabulary if len(p.strip()) >= 2})
+    vocab = F.array(*map(F.lit, phrases)) if phrases else none
+    q, terms = F.trim(F.coalesce(question, F.lit(""))), F.filter(F.transform(base, F.trim), lambda t: t != "")
+    long = F.filter(terms, lambda t: F.length(t) >= 2)
+    near = lambda t, p: t.contains(p) | p.contains(t)
+    touched = lambda own: q.contains(own) | F.exists(long, lambda t: near(t, own))
+    held = F.filter(vocab, lambda p: q.contains(p))
+    related = F.flatten(F.transform(long, lambda t: F.filter(vocab, lambda p: near(t, p))))
+    added = [none]
+    for name, extras in entries:
+        kept = [x.lower() if x.isascii() else x for x in map(str.strip, extras) if x and not (len(x) == 1 and x.isascii())]
+        if len(name.strip()) >= 2 and kept:
+            added.append(F.when(touched(F.lit(name.strip())), F.array(*map(F.lit, kept))).otherwise(none))
+    return F.slice(F.array_distinct(F.concat(terms, held, related, *added)), 1, most)

@@ -128,3 +128,20 @@ def domain_docs(edges: DataFrame) -> DataFrame:
     roles = edges.select(F.when(rel == "contains_capability", F.col("source_id")).when(rel.isin("in_domain", "belongs_to_domain"), F.col("target_id")).alias("domain_id"), rel.alias("rel"), "source_id")
     service = (F.col("rel") == "belongs_to_domain") & F.col("source_id").startswith("service://")
     return roles.filter("domain_id IS NOT NULL").groupBy("domain_id").agg(F.count_if(F.col("rel") == "contains_capability").alias("n_capabilities"), F.count_if(F.col("rel") == "in_domain").alias("n_entities"), F.count_if(service).alias("n_services"))
+
+
+def counts_of_types(nodes: DataFrame, types: list[str]) -> DataFrame:
+    """entity_type, n of the wanted types that occur."""
+    return nodes.filter(F.col("entity_type").isin(types)).groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+def system_evidence(nodes: DataFrame, edges: DataFrame, types: list[str], most_modules: int = 12, most_edges: int = 10) -> DataFrame:
+    """section, line of a report: the first modules, counts of the wanted types, and the most frequent relations between modules."""
+    modules = nodes.filter("module_id <> ''").select("module_id").distinct().orderBy("module_id").limit(most_modules)
+    counts = counts_of_types(nodes, types).select(F.lit("counts"), F.concat("entity_type", F.lit("="), "n"))
+    owned = nodes.filter("module_id <> ''").select("id", "module_id")
+    end = lambda side: owned.select(F.col("id").alias(f"{side}_id"), F.col("module_id").alias(f"{side}_module"))
+    across = edges.join(end("source"), "source_id").join(end("target"), "target_id").filter("source_module <> target_module")
+    top = across.groupBy("source_module", "target_module", "rel_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_module", "target_module", "rel_type").limit(most_edges)
+    links = top.select(F.lit("dependencies"), F.concat("source_module", F.lit(" -> "), "target_module", F.lit(" "), "rel_type", F.lit(" x"), "n"))
+    return modules.select(F.lit("modules").alias("section"), F.col("module_id").alias("line")).union(counts).union(links)

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.ids import method_id
+from loomgraph.functions.predicates import is_method_node
 from loomgraph.operators.graph import neighbours, search_by_name
-from loomgraph.operators.traverse import bfs
+from loomgraph.operators.retrieval import search_text
+from loomgraph.operators.traverse import bfs, impact_closure
+from loomgraph.operators.walk import with_inferred
 
 
 def names_with_fallback(asked: DataFrame, nodes: DataFrame, store: DataFrame) -> DataFrame:
@@ -94,3 +98,33 @@ def vocabulary(names: DataFrame, synonyms: DataFrame) -> DataFrame:
 def listed(rows: DataFrame, condition: Column, key: str, most: int) -> DataFrame:
     """The first ``most`` rows, by key, that meet a condition: what a listing by level or scope shows."""
     return rows.filter(condition).orderBy(key).limit(most)
+
+
+def search(nodes: DataFrame, texts: DataFrame | None, text: str, types: list[str] | None = None, mode: str = "name", k: int = 20) -> DataFrame:
+    """id, score of at most ``k`` hits: semantic over texts (id, text) if asked for and there are any, else by name (no score, by name and id)."""
+    if mode == "semantic" and texts is not None and not texts.isEmpty():
+        return search_text(texts, text, k)
+    found = search_by_name(nodes, text, types).orderBy(F.coalesce("name", "id"), "id").limit(k)
+    return found.select("id", F.lit(None).cast("double").alias("score"))
+
+
+def impact_by_kind(edges: DataFrame, rel_type: str, start: str, max_hops: int | None = None) -> DataFrame:
+    """id, kind of what a start reaches: ``explicit`` by the edges alone, ``inferred`` only with those that the relation's transitivity adds."""
+    own = impact_closure(edges, start, max_hops=max_hops).select("id")
+    every = impact_closure(with_inferred(edges, rel_type), start, max_hops=max_hops).select("id")
+    return own.select("id", F.lit("explicit").alias("kind")).union(every.join(own, "id", "left_anti").select("id", F.lit("inferred").alias("kind")))
+
+
+def impact_rows(closure: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """id, entity_type, label of a closure's first ``most`` nodes by (type, label); a node without a name is labelled by its id."""
+    named = closure.select("id").distinct().join(nodes.select("id", "entity_type", "name"), "id", "left")
+    out = named.select("id", F.coalesce("entity_type", F.lit("")).alias("entity_type"), F.coalesce(F.nullif(F.trim("name"), F.lit("")), "id").alias("label"))
+    return out.orderBy("entity_type", "label", "id").limit(most)
+
+
+def with_intents(hits: DataFrame, technical: DataFrame, business: DataFrame) -> DataFrame:
+    """id, score, technical, business of hits (id, score): the stored texts (id, text) of methods, whose ids are spelled one way; null for other entities."""
+    key = F.when(is_method_node(F.col("id"), F.lit(None).cast("string")), method_id(F.col("id")))
+    keyed = hits.withColumn("key", key)
+    stored = lambda df, name: df.select(method_id(F.col("id")).alias("key"), F.col("text").alias(name))
+    return keyed.join(stored(technical, "technical"), "key", "left").join(stored(business, "business"), "key", "left").select("id", "score", "technical", "business")

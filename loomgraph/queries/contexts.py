@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions import code as C
+from loomgraph.functions import lexical as L
 from loomgraph.operators import context as X
 from loomgraph.operators import lookup as K
 from loomgraph.queries._registry import query
 from loomgraph.session import table
-from loomgraph.sources.tables import CALLS_SQL, EDGES_SQL, NODES_SQL, calls, edges, nodes
+from loomgraph.sources.tables import CALLS_SQL, EDGES_SQL, NODES_SQL, TRANSITIONS_SQL, calls, edges, nodes, transitions
 
 
 def _method(k):
@@ -224,3 +225,52 @@ def n21(spark, d):
     attribute = F.when(k == 0, F.concat(F.lit("method://a"), "o_orderkey")).when(k == 1, " ")
     endpoint = F.concat(_method(F.col("o_orderkey")), F.when(k < 2, "#api").otherwise("#"))
     return table(spark, d, "orders").select("o_orderkey", C.service_module(F.concat(F.when(k == 0, " service://").otherwise(""), F.lit("R"), "o_orderkey")).alias("module"), C.endpoint_method(endpoint, attribute).alias("method"))
+
+
+@query("x12_expanded_terms", """SELECT p_partkey, array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), '|') AS terms FROM (SELECT p_partkey, list_concat(base, held, flatten(list_transform(base, lambda t:
+  list_filter(['BRA', 'BRASS', 'NICKEL ORE', 'STEEL'], lambda p: contains(t, p) OR contains(p, t)) )), CASE WHEN len(list_filter(base, lambda t: contains('NICKEL', t) OR contains(t, 'NICKEL'))) > 0 THEN ['ni', '镍'] ELSE [] END) AS m FROM
+  (SELECT p_partkey, string_split(p_type, ' ') AS base, list_filter(['BRA', 'BRASS', 'NICKEL ORE', 'STEEL'], lambda p: contains(p_type, p)) AS held FROM part))""")
+def x12(spark, d):
+    terms = L.expand_terms(F.col("p_type"), F.split("p_type", " "), ["STEEL", " BRASS", "BRA", "NICKEL ORE", "x"], [("NICKEL", ["Ni", "镍", "n"])])
+    return table(spark, d, "part").select("p_partkey", F.array_join(terms, "|").alias("terms"))
+
+
+@query("a4_counts_of_types", f"WITH {NODES_SQL} SELECT entity_type, count(*) AS n FROM nodes WHERE entity_type IN ('class', 'method', 'interface') GROUP BY 1")
+def a4(spark, d):
+    return X.counts_of_types(nodes(spark, d), ["class", "method", "interface"])
+
+
+@query("n13_system_evidence", f"""WITH {NODES_SQL}, {EDGES_SQL}, m AS (SELECT id, module_id FROM nodes WHERE module_id <> '') SELECT 'modules' AS section, module_id AS line FROM (SELECT DISTINCT module_id FROM m ORDER BY 1 LIMIT 12)
+  UNION ALL SELECT 'counts', entity_type || '=' || count(*) FROM nodes WHERE entity_type IN ('class', 'method') GROUP BY entity_type
+  UNION ALL SELECT 'dependencies', a || ' -> ' || b || ' ' || rel_type || ' x' || n FROM (SELECT s.module_id AS a, t.module_id AS b, rel_type, count(*) AS n FROM edges JOIN m s ON s.id = source_id JOIN m t ON t.id = target_id
+    WHERE s.module_id <> t.module_id GROUP BY ALL ORDER BY n DESC, a, b, rel_type LIMIT 10)""")
+def n13(spark, d):
+    return X.system_evidence(nodes(spark, d), edges(spark, d), ["class", "method"])
+
+
+@query("n38_search", f"WITH {NODES_SQL} SELECT id, NULL::DOUBLE AS score FROM nodes WHERE entity_type = 'class' AND contains(lower(coalesce(name, '')), '00') ORDER BY name, id LIMIT 20")
+def n38(spark, d):
+    return K.search(nodes(spark, d), None, "00", ["class"], "semantic")
+
+
+@query("n40_impact_by_kind", f"""WITH RECURSIVE {TRANSITIONS_SQL}, r AS (SELECT target_id AS id FROM transitions WHERE source_id = 'event//click' UNION SELECT target_id FROM r JOIN transitions ON source_id = r.id),
+  own AS (SELECT 'event//click' AS id UNION SELECT target_id FROM transitions WHERE source_id = 'event//click') SELECT id, 'explicit' AS kind FROM own UNION ALL SELECT id, 'inferred' FROM r WHERE id NOT IN (FROM own)""")
+def n40(spark, d):
+    return K.impact_by_kind(transitions(spark, d).withColumn("rel_type", F.lit("calls")), "calls", "event//click", 1)
+
+
+@query("l4_impact_rows", f"""WITH RECURSIVE {NODES_SQL}, {CALLS_SQL}, r AS (SELECT 'method://p1' AS id UNION SELECT source_id FROM r JOIN calls ON target_id = r.id)
+  SELECT id, coalesce(entity_type, '') AS entity_type, coalesce(nullif(trim(name), ''), id) AS label FROM r LEFT JOIN nodes USING (id) ORDER BY 2, 3, 1 LIMIT 50""")
+def l4(spark, d):
+    from loomgraph.operators.traverse import impact_closure
+
+    return K.impact_rows(impact_closure(calls(spark, d), "method://p1", "up"), nodes(spark, d), 50)
+
+
+@query("v14_intents_of_hits", """SELECT CASE o_orderkey % 3 WHEN 0 THEN 'method//p' WHEN 1 THEN 'method://p' ELSE 'class//p' END || o_orderkey AS id, o_totalprice AS score, CASE WHEN o_orderkey % 3 < 2 AND o_orderkey % 2 = 0 THEN o_orderstatus END AS technical,
+  CASE WHEN o_orderkey % 3 < 2 AND o_orderkey % 5 = 0 THEN o_orderpriority END AS business FROM orders""")
+def v14(spark, d):
+    orders, k = table(spark, d, "orders"), F.col("o_orderkey") % 3
+    hits = orders.select(F.concat(F.when(k == 0, "method//p").when(k == 1, "method://p").otherwise("class//p"), "o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
+    own = orders.withColumn("id", F.concat(F.lit("method//p"), "o_orderkey"))
+    return K.with_intents(hits, own.filter("o_orderkey % 2 = 0").select("id", F.col("o_orderstatus").alias("text")), own.filter("o_orderkey % 5 = 0").select("id", F.col("o_orderpriority").alias("text")))

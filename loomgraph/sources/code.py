@@ -162,3 +162,17 @@ def mapper_statements(files: DataFrame, whole: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["namespace", "statement_id", "op", "sql"])
 
     return files.select("text").mapInArrow(parse, "namespace string, statement_id string, op string, sql string")
+
+
+def domain_tables(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
+    """The tables ``domains``, ``capabilities`` and ``terms`` of a project's configuration; sections that are missing give empty ones."""
+    own = config.get("domain") or {}
+    some = lambda key: [(i, x) for i, x in enumerate(own.get(key) or []) if isinstance(x, dict)]
+    text = lambda x, key: str(x.get(key) or "")
+    texts = lambda x, key: [str(v) for v in x.get(key) or []]
+    rows = {
+        "domains": ([(i, text(x, "id"), text(x, "name"), texts(x, "capability_ids")) for i, x in some("business_domains")], "capability_ids array<string>"),
+        "capabilities": ([(i, text(x, "id"), text(x, "name"), text(x, "path_pattern")) for i, x in some("capabilities")], "path_pattern string"),
+        "terms": ([(i, text(x, "id"), text(x, "name"), texts(x, "synonyms")) for i, x in some("terms")], "synonyms array<string>"),
+    }
+    return {name: spark.createDataFrame(held, f"ordinal int, id string, name string, {last}") for name, (held, last) in rows.items()}
