@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import binpack, bpe, near_vectors, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, sql, url_filters
+from loomgraph.llm import binpack, bpe, licenses, near_vectors, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, sql, url_filters
 
 
 def _pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ QUERIES = {
     "op6_feistel_sharding": sharding.op6_feistel_sharding,
     "op7_glob_url_filter": url_filters.op7_glob_url_filter,
     "op9_bpe_tree_encode": bpe.op9_bpe_tree_encode,
+    "op11_ordered_license_rules": licenses.op11_ordered_license_rules,
 }
 
 SQL = {
@@ -31,4 +32,5 @@ SQL = {
     "op5_ngram_vertical_join": sql.op5(),
     "op7_glob_url_filter": url_filters.op7_sql(),
     "op8_nn_descent": sql.op8(),
+    "op11_ordered_license_rules": licenses.op11_sql(),
 }
