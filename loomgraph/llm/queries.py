@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import binpack, bpe, licenses, near_vectors, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, sql, url_filters
+from loomgraph.llm import binpack, bpe, licenses, near_vectors, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, sql, turn_repair, url_filters
 
 
 def _pipeline(spark, sf_dir):
@@ -24,6 +24,7 @@ QUERIES = {
     "op7_glob_url_filter": url_filters.op7_glob_url_filter,
     "op9_bpe_tree_encode": bpe.op9_bpe_tree_encode,
     "op11_ordered_license_rules": licenses.op11_ordered_license_rules,
+    "op12_survivor_viterbi": turn_repair.op12_survivor_viterbi,
 }
 
 SQL = {
@@ -33,4 +34,5 @@ SQL = {
     "op7_glob_url_filter": url_filters.op7_sql(),
     "op8_nn_descent": sql.op8(),
     "op11_ordered_license_rules": licenses.op11_sql(),
+    "op12_survivor_viterbi": turn_repair.op12_sql(),
 }
