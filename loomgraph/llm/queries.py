@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import binpack, bpe, licenses, near_vectors, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, sql, turn_repair, url_filters
+from loomgraph.llm import binpack, bpe, licenses, near_vectors, ngram_join, packing, prefix_trie, quality_classifier, quality_rules, secrets, sharding, sql, turn_repair, url_filters
 
 
 def _pipeline(spark, sf_dir):
@@ -25,6 +25,7 @@ QUERIES = {
     "op9_bpe_tree_encode": bpe.op9_bpe_tree_encode,
     "op11_ordered_license_rules": licenses.op11_ordered_license_rules,
     "op12_survivor_viterbi": turn_repair.op12_survivor_viterbi,
+    "op13_monoid_prefix_trie": prefix_trie.op13_monoid_prefix_trie,
 }
 
 SQL = {
@@ -35,4 +36,5 @@ SQL = {
     "op8_nn_descent": sql.op8(),
     "op11_ordered_license_rules": licenses.op11_sql(),
     "op12_survivor_viterbi": turn_repair.op12_sql(),
+    "op13_monoid_prefix_trie": prefix_trie.op13_sql(),
 }
