@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.store import staged
+from loomgraph.store import dropped, staged
+
+FEW_HOPS = 3
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -25,12 +27,14 @@ def bfs(edges: DataFrame, starts: DataFrame, max_hops: int | None = None, direct
     edges: source_id, target_id. starts: start_id, node_id. direction: down, up or both.
     The parent is the smallest id among those one hop nearer. Along both directions, what a
     frontier touches is at most one hop nearer than itself, so that the last two frontiers tell
-    what was seen; along one direction all of them do.
+    what was seen; along one direction all of them do. A walk of few hops joins the edges as they
+    are; only longer ones write them once, without repeats.
     """
     down = edges.select(F.col("source_id").alias("node_id"), F.col("target_id").alias("next_id"))
     up = edges.select(F.col("target_id").alias("node_id"), F.col("source_id").alias("next_id"))
-    steps = {"down": down, "up": up, "both": down.unionByName(up)}[direction].distinct()
-    steps = staged(steps, "steps")
+    steps = {"down": down, "up": up, "both": down.unionByName(up)}[direction]
+    if max_hops is None or max_hops > FEW_HOPS:
+        steps = staged(steps.distinct(), "steps")
     frontier = staged(starts.select("start_id", "node_id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent_id")).distinct(), "frontier")
     seen, near = [frontier], 2 if direction == "both" else 0  # 0: all
     while max_hops is None or len(seen) <= max_hops:
@@ -69,23 +73,46 @@ def transitive_pairs(edges: DataFrame) -> DataFrame:
     return known.join(base, ["source_id", "target_id"], "left_anti")
 
 
+def unary_roots(arcs: DataFrame) -> DataFrame:
+    """v, root, dist of every node with a single arc: the first node on its way that has none or several, and how far it is.
+
+    arcs: s, t, each once. Pointers double in each round, so that a chain takes the logarithm of its length. Nodes
+    whose way runs into a cycle of such nodes have no row.
+    """
+    single = arcs.groupBy("s").agg(F.count("*").alias("n"), F.min("t").alias("t")).filter("n = 1")
+    now = staged(single.select(F.col("s").alias("v"), F.col("t").alias("root"), F.lit(1).cast("long").alias("dist")), "pointers")
+    open_ = now.join(now.select(F.col("v").alias("root")), "root", "left_semi")
+    rounds = now.count().bit_length() + 1
+    while rounds and not open_.isEmpty():
+        ahead = now.select(F.col("v").alias("root"), F.col("root").alias("next"), F.col("dist").alias("more"))
+        moved = now.join(ahead, "root", "left").select("v", F.coalesce("next", "root").alias("root"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"))
+        before, now = now, staged(moved, "pointers")
+        dropped(before)
+        open_ = now.join(now.select(F.col("v").alias("root")), "root", "left_semi")
+        rounds -= 1
+    return now.join(now.select(F.col("v").alias("root")), "root", "left_anti").select("v", "root", "dist")
+
+
 def _without_ends(arcs: DataFrame) -> DataFrame:
-    """The arcs on cycles or on ways between cycles: ids that nothing calls, or that call nothing, leave until none is left."""
+    """The arcs on cycles or on ways between cycles: ids that nothing calls, or that call nothing, leave with the chains that lead to them until none is left."""
     n = arcs.count()
     while n:
-        kept = arcs.join(arcs.select(F.col("t").alias("s")), "s", "left_semi").join(arcs.select(F.col("s").alias("t")), "t", "left_semi")
-        kept = staged(kept.select("s", "t"), "arcs")
-        now = kept.count()
+        for v, w in (("s", "t"), ("t", "s")):
+            ends = arcs.select(F.col(w).alias("id")).distinct().join(arcs.select(F.col(v).alias("id")), "id", "left_anti")
+            chains = unary_roots(arcs.select(F.col(v).alias("s"), F.col(w).alias("t"))).select("v", F.col("root").alias("id")).join(ends, "id", "left_semi")
+            gone = ends.union(chains.select("v"))
+            arcs = staged(arcs.join(gone.select(F.col("id").alias(w)), w, "left_anti").select("s", "t"), "arcs")
+        now = arcs.count()
         if now == n:
             break
-        arcs, n = kept, now
+        n = now
     return arcs
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, component of every node: the largest id of its strongly connected component.
 
-    Ids that lie on no cycle and between none are trimmed first, a level of both ends in a round.
+    Ids that lie on no cycle and between none are trimmed first, whole chains of both ends in a round.
     Then rounds of forward colouring: every node takes the largest id that reaches it; nodes of a
     colour that reach back to the colour's own node form a component and leave the graph.
     """
@@ -122,18 +149,33 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, component, level: components condensed, level = longest path down to one without callees."""
+    """id, component, level: components condensed, level = longest path down to one without callees.
+
+    Components with a single callee stand at their distance above the first one with none or
+    several, found by pointer doubling. Only the latter are placed round by round, each once, when
+    all its callees are.
+    """
     parts = staged(strong_components(edges, nodes), "parts")
     arcs = edges.join(parts.select(F.col("id").alias("source_id"), F.col("component").alias("s")), "source_id").join(parts.select(F.col("id").alias("target_id"), F.col("component").alias("t")), "target_id")
     arcs = staged(arcs.filter("s <> t").select("s", "t").distinct(), "arcs")
+    chained = staged(unary_roots(arcs), "chained")
+    out = arcs.groupBy("s").agg(F.count("*").alias("n"))
+    several = out.filter("n > 1").select("s")
+    jumps = arcs.join(several, "s", "left_semi").join(chained.select(F.col("v").alias("t"), "root", "dist"), "t", "left")
+    jumps = staged(jumps.select("s", F.coalesce("root", "t").alias("t"), (F.coalesce("dist", F.lit(0)) + 1).alias("far")).groupBy("s", "t").agg(F.max("far").alias("far")), "jumps")
+    need = staged(jumps.groupBy("s").agg(F.count("*").alias("need")), "need")
     every = parts.select(F.col("component").alias("c")).distinct()
-    placed = staged(every.join(arcs.select(F.col("s").alias("c")), "c", "left_anti").select("c", F.lit(0).alias("level")), "level")
-    frontier, rounds = placed, [placed]
+    frontier = staged(every.join(out.select(F.col("s").alias("c")), "c", "left_anti").select("c", F.lit(0).cast("long").alias("level")), "level")
+    rounds, waiting = [frontier], None
     while True:
-        up = arcs.join(frontier, arcs.t == frontier.c).select(F.col("s").alias("c")).distinct()
-        frontier = staged(up.select("c", F.lit(len(rounds)).alias("level")), "level")
+        reached = jumps.join(frontier, jumps.t == frontier.c).groupBy("s").agg(F.count("*").alias("got"), F.max(F.col("level") + F.col("far")).alias("level"))
+        both = reached if waiting is None else reached.unionByName(waiting)
+        met = staged(both.groupBy("s").agg(F.sum("got").alias("got"), F.max("level").alias("level")).join(need, "s"), "met")
+        frontier, waiting = met.filter("got = need").select(F.col("s").alias("c"), "level"), met.filter("got < need").select("s", "got", "level")
         if frontier.isEmpty():
             break
         rounds.append(frontier)
-    best = _union(rounds).groupBy("c").agg(F.max("level").alias("level"))
-    return parts.join(best, parts.component == best.c).select("id", "component", "level")
+    placed = _union(rounds)
+    above = chained.join(placed.select(F.col("c").alias("root"), "level"), "root").select(F.col("v").alias("c"), (F.col("level") + F.col("dist")).alias("level"))
+    best = placed.unionByName(above)
+    return parts.join(best, parts.component == best.c).select("id", "component", F.col("level").cast("int").alias("level"))

@@ -23,11 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
+def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again; ``by`` is a column whose values get folders of their own, for a table that is read by it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
