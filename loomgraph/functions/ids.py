@@ -36,8 +36,8 @@ def with_scheme(value: Column, scheme: str) -> Column:
 
 
 def uri_local(value: Column) -> Column:
-    """A name for the local part of a URI: anything but letters, digits, '_' and '-' becomes '_'."""
-    return F.regexp_replace(value, r"[^A-Za-z0-9_\-]", "_")
+    """A name for the local part of a URI: anything but letters, digits, '_', '.' and '-' becomes '_'; a null is empty."""
+    return F.regexp_replace(F.coalesce(value, F.lit("")), r"[^A-Za-z0-9_.\-]", "_")
 
 
 def relation_label(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import soft_tokens, whole_word
 
 # What separates the parts of a question, terms that say nothing, and generic pairs and words.
-SEPARATORS = r"[的了吗呢啊吧和与在为对从中到及、，。；：？！\?\!\s]+"
+SEPARATORS = r"(?U)[的了吗呢啊吧和与在为对从中到及、，。；：？！\?\!\s]+"
 SKIPPED = ["什么", "如何", "哪些", "是否", "怎么", "怎样", "请问", "这个", "那个", "一个"]
 GENERIC_PAIRS = [
     "管理", "流程", "场景", "处理", "数据", "信息", "系统", "服务", "模块", "相关", "功能", "接口", "业务", "代码", "方法",

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 # Folders of builds, of sources that they generate, and of what they compile.
 BUILD_DIRS = ["target", "build"]
-GENERATED_DIRS = ["generated-sources", "generated-test-sources", "generated"]
-ARTEFACT_DIRS = ["classes", "test-classes", "maven-status", "maven-archiver"]
+GENERATED_DIRS = ["generated-sources", "generated-test-sources", "generated", "apt"]
+ARTEFACT_DIRS = ["classes", "test-classes", "maven-status", "maven-archiver", "surefire-reports", "failsafe-reports", "site", "dependency", "antrun"]
+# Types of entities that stand for code.
+CODE_TYPES = ["file", "module", "package", "class", "interface", "method", "field", "parameter", "service", "api_endpoint"]
 
 
 def _below_build(path: Column) -> Column:
@@ -30,6 +32,11 @@ def is_source_path(path: Column, with_generated: bool = True) -> Column:
     return below.isNull() | F.coalesce(kept, F.lit(False))
 
 
+def is_code_type(entity_type: Column) -> Column:
+    """Whether an entity's type, in any case, stands for code."""
+    return F.coalesce(F.lower(entity_type).isin(CODE_TYPES), F.lit(False))
+
+
 def is_trivial_accessor(name: Column, signature: Column, flagged: Column) -> Column:
     """Whether a method is a getter or setter: flagged as one, or named and shaped like one."""
     sig = F.trim(F.coalesce(signature, name))

@@ -48,16 +48,22 @@ def dao_key(class_name: Column) -> Column:
 
 
 def json_of(text: Column) -> Column:
-    """The first JSON object or array in a generated text, code fences aside; null without one."""
-    bare = F.regexp_replace(text, r"(?s)```(?:json)?", "")
-    found = F.regexp_extract(bare, r"(?s)([\[{].*[\]}])", 1)
-    return F.when(found != "", found)
+    """A generated text, fences of code aside, if all of it is JSON, else what begins at its first bracket if that is; null otherwise."""
+    bare = F.btrim(F.regexp_replace(F.btrim(text), r"(?im)^```(?:json)?\s*|```$", ""), F.lit(" \t\r\n"))
+    begun = F.regexp_extract(bare, r"(?s)^[^\[{]*(.*)$", 1)
+    return F.coalesce(*(F.when(_is_json(x), x) for x in (bare, begun)))
+
+
+def _is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else: in an array it must still be one value."""
+    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$[1]", "variant").isNull()
+    return (text != "") & F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.coalesce(alone, F.lit(True))
 
 
 def one_line(text: Column, limit: int) -> Column:
-    """White space squeezed to single spaces, cut to ``limit`` characters with '...' for the rest."""
+    """White space squeezed to single spaces; of more than ``limit`` characters one less and an ellipsis."""
     flat = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^ | $", "")
-    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("..."))).otherwise(flat)
+    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))).otherwise(flat)
 
 
 def without_thoughts(text: Column) -> Column:
@@ -71,13 +77,21 @@ def bean_name(name: Column) -> Column:
 
 
 def simple_type(signature: Column) -> Column:
-    """A type without generics and package."""
-    return F.element_at(F.split(F.regexp_replace(signature, r"<[^<>]*>", ""), r"\."), -1)
+    """A type without generics, package and blanks: what stands before the first '<', after its last dot."""
+    raw = F.regexp_replace(signature, r"(?s)^([^<]+)<.*$", "$1")
+    return F.replace(F.regexp_replace(raw, r"(?s)^.+\.", ""), F.lit(" "), F.lit(""))
+
+
+# Roles of classes by the ends of their names.
+ROLE_SUFFIXES = {"Controller": ["Controller"], "Service": ["Service", "Facade", "Manager"], "Repository": ["Repository", "Dao", "Mapper"]}
 
 
 def class_role(name: Column) -> Column:
-    """Role of a class by its name's suffix."""
-    return F.when(name.endswith("Controller"), "Controller").when(name.endswith("Service") | name.endswith("ServiceImpl"), "Service").when(name.endswith("Repository") | name.endswith("Mapper") | name.endswith("Dao"), "Repository").otherwise("Other")
+    """Role of a class by its name's suffix, else Other."""
+    role = F.lit("Other")
+    for kind, suffixes in ROLE_SUFFIXES.items():
+        role = F.when(F.coalesce(name, F.lit("")).rlike(f"({'|'.join(suffixes)})$"), kind).otherwise(role)
+    return role
 
 
 def token_estimate(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.traverse import levels
-from loomgraph.store import dropped, staged
+from loomgraph.store import staged
 
 WORDS = 16
 
@@ -33,25 +33,22 @@ def reach_sizes(edges: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataF
     ends = edges.join(placed.select(F.col("id").alias("source_id"), F.col("component").alias("caller"), F.col("level").alias("caller_level")), "source_id").join(placed.select(F.col("id").alias("target_id"), "component", "level"), "target_id")
     arcs = staged(ends.filter("caller <> component").select("caller", "caller_level", "component", "level").distinct(), "arcs", "level")
     last = placed.agg(F.max("level")).first()[0]
-    sizes, handed = [], []
-    for level in range(0 if last is None else last + 1):
-        here = F.col("level") == level
-        parts = [x.filter(here).select("component", "block", *columns) for x in [own, *handed]]
+    handed: list[DataFrame] = []
+
+    def every(condition=None) -> DataFrame:
+        parts = [x.filter(condition) if condition is not None else x for x in [own, *handed]]
+        out = parts[0].select("component", "block", *columns)
         for more in parts[1:]:
-            parts[0] = parts[0].unionByName(more)
-        sets = staged(merged(parts[0]), "sets")
-        sizes.append(staged(sets.groupBy("component").agg(F.sum(sum((F.bit_count(c) for c in columns[1:]), F.bit_count(columns[0]))).alias("reached")), "sizes"))
-        up = arcs.filter(here).select("component", F.col("caller"), F.col("caller_level"))
-        if level < last:
-            given = up.join(sets, "component").select(F.col("caller").alias("component"), F.col("caller_level").alias("level"), "block", *columns)
-            handed.append(staged(given.groupBy("component", "level", "block").agg(*[F.bit_or(c).alias(c) for c in columns]), "handed", "level"))
-        dropped(sets)
-    if not sizes:
-        return placed.select("id", F.lit(0).cast("long").alias("reached"))
-    every = sizes[0]
-    for more in sizes[1:]:
-        every = every.unionByName(more)
-    return placed.join(every, "component").select("id", "reached")
+            out = out.unionByName(more.select("component", "block", *columns))
+        return merged(out)
+
+    for level in range(last or 0):
+        up = arcs.filter(F.col("level") == level).select("component", "caller", "caller_level")
+        given = up.join(every(F.col("level") == level), "component").select(F.col("caller").alias("component"), F.col("caller_level").alias("level"), "block", *columns)
+        handed.append(staged(given.groupBy("component", "level", "block").agg(*[F.bit_or(c).alias(c) for c in columns]), "handed", "level"))
+    held = sum((F.bit_count(c) for c in columns[1:]), F.bit_count(columns[0]))
+    sizes = every().groupBy("component").agg(F.sum(held).alias("reached"))
+    return placed.join(sizes, "component").select("id", "reached")
 
 
 def benefit_of_inference(edges: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:

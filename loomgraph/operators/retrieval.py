@@ -24,6 +24,13 @@ def top_k(vectors: DataFrame, query: list[float], k: int, key: str, column: str)
     return vectors.select(key, F.round(cosine(F.col(column), q), 4).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def nearest_to(vectors: DataFrame, asked: object, k: int, key: str, column: str) -> DataFrame:
+    """key, score of the k rows nearest to the row whose key is ``asked``; no row where there is none."""
+    one = vectors.filter(F.col(key) == asked).select(F.col(column).alias("_q")).limit(1)
+    scored = vectors.crossJoin(F.broadcast(one)).select(key, F.round(cosine(F.col(column), F.col("_q")), 4).alias("score"))  # one row
+    return scored.orderBy(F.desc("score"), key).limit(k)
+
+
 def merge_best(*hits: DataFrame, most: int | None = None) -> DataFrame:
     """id, score: the best score of each id over some hit lists, 0 at least."""
     every = hits[0].select("id", "score")

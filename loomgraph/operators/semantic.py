@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.predicates import is_controller_like
+
 
 def term_lookup(terms: DataFrame) -> DataFrame:
     """term, term_id: lower-cased names and synonyms of terms(id, name, synonyms, ordinal); the later term wins, its name before its synonyms."""
@@ -31,11 +33,15 @@ def term_matches(texts: DataFrame, lookup: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.transform(ordered, lambda x: x["term_id"]).alias("term_ids"))
 
 
-def capability_of(path: Column, capabilities: list[tuple[str, str]], default: str) -> tuple[Column, Column]:
-    """(capability, confidence) of a path: the first whose pattern ('**' for anything) is found in it, 0.9; else the default, 0.5."""
-    hits = [(path.rlike(pattern.replace("**", ".*")), name) for name, pattern in capabilities if pattern]
-    capability = F.coalesce(*(F.when(hit, name) for hit, name in hits), F.lit(default))
-    sure = hits[0][0] if hits else F.lit(False)
-    for hit, _ in hits[1:]:
-        sure = sure | hit
-    return capability, F.when(sure, 0.9).otherwise(0.5)
+def capability_links(methods: DataFrame, capabilities: list[tuple[str, str]]) -> DataFrame:
+    """id, capability, evidence, confidence: a link for every capability whose pattern ('**' for anything) is found in a path, 0.9;
+    without any, the first capability for methods of classes that take requests, 0.5.
+
+    methods: id, path, class_name. capabilities: (name, pattern) in their order; an empty pattern matches nothing.
+    """
+    hits = [F.when(F.col("path").rlike(pattern.replace("**", ".*")), name) for name, pattern in capabilities if pattern]
+    found = methods.select("id", "class_name", (F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")).alias("found"))
+    matched = found.select("id", F.explode("found").alias("capability"), F.lit("path_match").alias("evidence"), F.lit(0.9).alias("confidence"))
+    named = [n for n, _ in capabilities if n]
+    rest = found.filter((F.size("found") == 0) & is_controller_like(F.col("class_name"))).select("id", F.lit(named[0] if named else None).cast("string").alias("capability"), F.lit("class_naming").alias("evidence"), F.lit(0.5).alias("confidence"))
+    return matched.unionByName(rest.filter("capability IS NOT NULL"))

@@ -41,26 +41,6 @@ def resolve_ids(asked: DataFrame, *backends: DataFrame) -> DataFrame:
     return asked.select("asked").distinct().join(best, "asked", "left").select("asked", F.coalesce("x.id", "asked").alias("id"))
 
 
-def through_implementations(calls: DataFrame, implementations: DataFrame) -> DataFrame:
-    """Calls whose interface targets are replaced by their implementations(interface_id, id), all of them where there are several."""
-    impl = implementations.select(F.col("interface_id").alias("target_id"), F.col("id").alias("impl_id")).distinct()
-    return calls.join(impl, "target_id", "left").select("source_id", F.coalesce("impl_id", "target_id").alias("target_id")).distinct()
-
-
-def call_chain(calls: DataFrame, implementations: DataFrame, skipped: DataFrame, start: str, direction: str = "down", max_depth: int = 6, most_methods: int = 30) -> DataFrame:
-    """node_id, depth of the methods on the chains from (or to) a start, the start included: nearest first, then by id.
-
-    Interface methods give way to their implementations; skipped(id) methods (getters, setters) are neither
-    shown nor walked through. ``most_methods`` is what a chain shows.
-    """
-    walk = through_implementations(calls, implementations)
-    for side in ("source_id", "target_id"):
-        walk = walk.join(skipped.select(F.col("id").alias(side)), side, "left_anti")
-    begin = calls.sparkSession.createDataFrame([(start, start)], "start_id string, node_id string")
-    found = bfs(walk.select("source_id", "target_id"), begin, max_depth, direction)
-    return found.select("node_id", F.col("hop").alias("depth")).orderBy("depth", "node_id").limit(most_methods)
-
-
 def with_inferred(edges: DataFrame, rel_type: str) -> DataFrame:
     """source_id, target_id, rel_type, inferred: the edges, and those that the relation's transitivity adds."""
     own = edges.select("source_id", "target_id", "rel_type", F.lit(False).alias("inferred"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.queries import contexts, graphs, lineage, relational, vocabulary, resolution, retrieval, sessions  # noqa: F401
+from loomgraph.queries import contexts, graphs, lineage, relational, vocabulary, resolution, retrieval, sessions, structure  # noqa: F401
 from loomgraph.queries._registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

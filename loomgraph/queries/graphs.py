@@ -157,8 +157,8 @@ def g29(spark, d):
     return n.union(edges(spark, d).groupBy("rel_type").agg(F.count("*").alias("n")).select(F.lit("edge"), "rel_type", "n"))
 
 
-@query("k8_triples", f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT '<urn:' || regexp_replace(source_id, '[^A-Za-z0-9_-]', '_', 'g') || '> <urn:' || rel_type || '> <urn:' || regexp_replace(target_id, '[^A-Za-z0-9_-]', '_', 'g') || '> .' AS triple FROM edges
-  UNION ALL SELECT '<urn:' || regexp_replace(id, '[^A-Za-z0-9_-]', '_', 'g') || '> <rdf:type> <urn:' || entity_type || '> .' FROM nodes""")
+@query("k8_triples", f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT '<urn:' || regexp_replace(source_id, '[^A-Za-z0-9_.-]', '_', 'g') || '> <urn:' || rel_type || '> <urn:' || regexp_replace(target_id, '[^A-Za-z0-9_.-]', '_', 'g') || '> .' AS triple FROM edges
+  UNION ALL SELECT '<urn:' || regexp_replace(id, '[^A-Za-z0-9_.-]', '_', 'g') || '> <rdf:type> <urn:' || entity_type || '> .' FROM nodes""")
 def k8(spark, d):
     from loomgraph.functions.ids import uri_local
 

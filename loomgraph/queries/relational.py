@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.functions import predicates as P
 from loomgraph.functions import text as X
 from loomgraph.operators import graph as G
 from loomgraph.operators.traverse import levels
 from loomgraph.queries._registry import query
 from loomgraph.session import table
-from loomgraph.sources.tables import EDGES_SQL, NODES_SQL, calls, edges, nodes
+from loomgraph.sources.tables import EDGES_SQL, METHODS_SQL, NODES_SQL, calls, code_methods, edges, nodes
 
 NODES, EDGES, BOTH = f"WITH {NODES_SQL}", f"WITH {EDGES_SQL}", f"WITH {NODES_SQL}, {EDGES_SQL}"
 
@@ -70,18 +71,16 @@ def f12(spark, d):
     return nodes(spark, d).filter(~(F.col("id").startswith("order//") | F.col("id").startswith("class//c"))).select("id")
 
 
-@query("f13_class_roles", """SELECT CASE WHEN c_mktsegment LIKE '%Controller' THEN 'Controller' WHEN c_mktsegment LIKE '%Service' OR c_mktsegment LIKE '%ServiceImpl' THEN 'Service'
-  WHEN c_mktsegment LIKE '%Repository' OR c_mktsegment LIKE '%Mapper' OR c_mktsegment LIKE '%Dao' THEN 'Repository' ELSE 'Other' END AS role, count(*) AS n FROM
-  (SELECT c_mktsegment || CASE c_custkey % 4 WHEN 0 THEN 'Controller' WHEN 1 THEN 'ServiceImpl' WHEN 2 THEN 'Dao' ELSE '' END AS c_mktsegment FROM customer) GROUP BY 1""")
+@query("f13_class_roles", f"""WITH {METHODS_SQL} SELECT CASE WHEN class_name LIKE '%Controller' THEN 'Controller' WHEN regexp_matches(class_name, '(Service|Facade|Manager)$') THEN 'Service'
+  WHEN class_name LIKE '%Mapper' THEN 'Repository' ELSE 'Other' END AS role, count(*) AS n FROM methods GROUP BY 1""")
 def f13(spark, d):
-    k = F.col("c_custkey") % 4
-    name = F.concat("c_mktsegment", F.when(k == 0, "Controller").when(k == 1, "ServiceImpl").when(k == 2, "Dao").otherwise(""))
-    return table(spark, d, "customer").groupBy(X.class_role(name).alias("role")).agg(F.count("*").alias("n"))
+    return code_methods(spark, d).groupBy(X.class_role(F.col("class_name")).alias("role")).agg(F.count("*").alias("n"))
 
 
-@query("f16_code_types", f"{NODES} SELECT entity_type IN ('class', 'method', 'interface', 'field') AS is_code, count(*) AS n FROM nodes GROUP BY 1")
+@query("f16_code_types", f"{NODES} SELECT entity_type IN ('class', 'method', 'package', 'service', 'api_endpoint') AS is_code, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT false, count(*) FROM events")
 def f16(spark, d):
-    return nodes(spark, d).groupBy(F.col("entity_type").isin("class", "method", "interface", "field").alias("is_code")).agg(F.count("*").alias("n"))
+    types = nodes(spark, d).select("entity_type").union(table(spark, d, "events").select("event_type"))
+    return types.groupBy(P.is_code_type(F.col("entity_type")).alias("is_code")).agg(F.count("*").alias("n"))
 
 
 @query("f19_labels", f"{NODES} SELECT id, coalesce(class_name || '.', '') || coalesce(name, id) || coalesce(' : ' || signature, '') AS label FROM nodes WHERE entity_type IN ('method', 'package')")

@@ -6,13 +6,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.lexical import query_terms
-from loomgraph.functions.vectors import cosine
-from loomgraph.operators.semantic import capability_of
+from loomgraph.operators.containment import containing, first_containing
+from loomgraph.operators.retrieval import nearest_to
+from loomgraph.operators.semantic import capability_links
 from loomgraph.operators.traverse import bfs
 from loomgraph.queries._registry import query
 from loomgraph.session import table
 from loomgraph.sources.code import module_of
-from loomgraph.sources.tables import CALLS_SQL, calls
+from loomgraph.sources.tables import CALLS_SQL, METHODS_SQL, calls, code_methods
 
 
 @query("s4_page_modules", r"""SELECT page_id, CASE WHEN first = 'en' OR starts_with(p, 'en/') THEN 'en' WHEN first = 'docs' OR starts_with(p, 'fr/') THEN 'docs' ELSE first END AS module, regexp_extract(p, '\.([^./]+)$', 1) AS suffix
@@ -37,16 +38,17 @@ def j8(spark, d):
 @query("j11_name_in_name", "SELECT s_suppkey, min(c_custkey) AS first_hit FROM supplier JOIN customer ON s_nationkey = c_nationkey AND contains(c_name, substr(s_name, -2)) GROUP BY 1")
 def j11(spark, d):
     owners, names = table(spark, d, "supplier"), table(spark, d, "customer")
-    hit = (owners.s_nationkey == names.c_nationkey) & names.c_name.contains(F.substring(owners.s_name, -2, 2))
-    return owners.join(names, hit).groupBy("s_suppkey").agg(F.min("c_custkey").alias("first_hit"))
+    asked = owners.select("s_suppkey", F.col("s_nationkey").alias("nation"), F.substring("s_name", -2, 2).alias("pattern"))
+    first = first_containing(names.select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), "c_custkey"), asked, ["c_custkey"], "c_custkey", ["nation"])
+    return asked.join(first, ["nation", "pattern"]).select("s_suppkey", F.col("c_custkey").alias("first_hit"))
 
 
 @query("j14_implementations", """SELECT a.w AS interface, count(*) AS implementations FROM (SELECT DISTINCT substr(p_type, 1, 2) AS w FROM part) a JOIN (SELECT DISTINCT p_type FROM part) b
   ON b.p_type <> a.w AND contains(b.p_type, a.w) GROUP BY 1""")
 def j14(spark, d):
     types = table(spark, d, "part").select("p_type").distinct()
-    faces = types.select(F.substring("p_type", 1, 2).alias("interface")).distinct()
-    return types.join(faces, F.col("p_type").contains(F.col("interface")) & (F.col("p_type") != F.col("interface"))).groupBy("interface").agg(F.count("*").alias("implementations"))
+    pairs = containing(types.select(F.col("p_type").alias("name")), types.select(F.substring("p_type", 1, 2).alias("pattern")))
+    return pairs.filter("name <> pattern").groupBy(F.col("pattern").alias("interface")).agg(F.count("*").alias("implementations"))
 
 
 @query("j15_first_overload", "SELECT p_brand, p_name, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_type, p_partkey) AS rn FROM part) WHERE rn = 1")
@@ -91,17 +93,18 @@ def a21(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.bool_or(has("factory")).alias("factory"), F.bool_or(has("the")).alias("observer"), F.count_if(has("que")).alias("hits"))
 
 
-@query("x4_capability_links", """SELECT p_partkey, CASE WHEN regexp_matches(p_type, 'STEEL.*') THEN 'metal' WHEN regexp_matches(p_type, 'BRUSHED.*') THEN 'finish' ELSE 'first' END AS capability,
-  CASE WHEN regexp_matches(p_type, 'STEEL.*') OR regexp_matches(p_type, 'BRUSHED.*') THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM part""")
+@query("x4_capability_links", f"""WITH {METHODS_SQL}, c(capability, pattern) AS (VALUES ('small', 'small.*'), ('ring', 'ring$'), ('none', 'zebra.*')), m AS (SELECT id, capability FROM methods JOIN c ON regexp_matches(words, pattern))
+  SELECT id, capability, 'path_match' AS evidence, 0.9::DOUBLE AS confidence FROM m UNION ALL
+  SELECT id, 'small', 'class_naming', 0.5 FROM methods WHERE contains(class_name, 'Controller') AND id NOT IN (SELECT id FROM m)""")
 def x4(spark, d):
-    capability, confidence = capability_of(F.col("p_type"), [("metal", "STEEL**"), ("finish", "BRUSHED**")], "first")
-    return table(spark, d, "part").select("p_partkey", capability.alias("capability"), confidence.alias("confidence"))
+    methods = code_methods(spark, d).select("id", F.col("words").alias("path"), "class_name")
+    return capability_links(methods, [("small", "small**"), ("ring", "ring$"), ("none", "zebra**")])
 
 
 @query("x10_query_terms", """SELECT item_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:60], ' ') AS terms FROM
-  (SELECT item_id, list_concat(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]{2,}'), lambda x: lower(x)), ['订单取消', '步骤']) AS l FROM benchmark)""")
+  (SELECT item_id, list_concat(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]{2,}'), lambda x: lower(x)), ['订单取消', '步骤', '退款']) AS l FROM benchmark)""")
 def x10(spark, d):
-    asked = F.concat("text", F.lit(" 请问 订单取消的步骤？"))
+    asked = F.concat("text", F.lit(" 请问 订单取消的步骤？　退款"))
     return table(spark, d, "benchmark").select("item_id", F.array_join(query_terms(asked), " ").alias("terms"))
 
 
@@ -127,8 +130,7 @@ def g26(spark, d):
   FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 3) SELECT vec_id, source_id AS caller FROM (SELECT vec_id, source_id, row_number() OVER (PARTITION BY vec_id ORDER BY source_id) AS rn FROM h JOIN calls ON target_id = 'method://p' || vec_id) WHERE rn <= 5""")
 def v16(spark, d):
     e = table(spark, d, "embeddings")
-    q = F.array(*(F.lit(float(x)) for x in e.filter("vec_id = 5").first()["embedding"]))
-    hits = e.select("vec_id", F.round(cosine(F.col("embedding"), q), 4).alias("score")).orderBy(F.desc("score"), "vec_id").limit(3)
+    hits = nearest_to(e, 5, 3, "vec_id", "embedding")
     near = calls(spark, d).join(F.broadcast(hits.select("vec_id", F.concat(F.lit("method://p"), "vec_id").alias("target_id"))), "target_id")  # three rows
     return near.withColumn("rn", F.row_number().over(W.partitionBy("vec_id").orderBy("source_id"))).filter("rn <= 5").select("vec_id", F.col("source_id").alias("caller"))
 

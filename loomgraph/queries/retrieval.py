@@ -25,7 +25,7 @@ def v1(spark, d):
 @query("v2_top_k", f"SELECT a.vec_id, round({_COSINE}, 4) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 3 ORDER BY score DESC, a.vec_id LIMIT 10")
 def v2(spark, d):
     e = table(spark, d, "embeddings")
-    return R.top_k(e, e.filter("vec_id = 3").first()["embedding"], 10, "vec_id", "embedding")
+    return R.nearest_to(e, 3, 10, "vec_id", "embedding")
 
 
 @query("v7_rejected_sizes", "SELECT label, count(*) FILTER (len(embedding) >= 64) AS fit, count(*) FILTER (len(embedding) < 64) AS rejected FROM embeddings GROUP BY 1")
@@ -46,7 +46,7 @@ def v6(spark, d):
 @query("v8_search_joined", f"SELECT a.vec_id, a.label, d.lang, round({_COSINE}, 4) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = 11 LEFT JOIN documents d ON d.doc_id = a.vec_id ORDER BY score DESC, a.vec_id LIMIT 20")
 def v8(spark, d):
     e = table(spark, d, "embeddings")
-    hits = R.top_k(e, e.filter("vec_id = 11").first()["embedding"], 20, "vec_id", "embedding")
+    hits = R.nearest_to(e, 11, 20, "vec_id", "embedding")
     return hits.join(e.select("vec_id", "label"), "vec_id").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id", "left").select("vec_id", "label", "lang", "score")
 
 
@@ -102,7 +102,7 @@ def x18(spark, d):
     return table(spark, d, "region").select("r_regionkey", I.with_scheme(raw, "domain").alias("id"))
 
 
-@query("x21_one_line", r"SELECT doc_id, CASE WHEN length(f) > 120 THEN substr(f, 1, 120) || '...' ELSE f END AS line FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS f FROM documents)")
+@query("x21_one_line", r"SELECT doc_id, CASE WHEN length(f) > 120 THEN substr(f, 1, 119) || '…' ELSE f END AS line FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS f FROM documents)")
 def x21(spark, d):
     return table(spark, d, "documents").select("doc_id", X.one_line(F.col("text"), 120).alias("line"))
 
@@ -125,6 +125,6 @@ def x28(spark, d):
     return table(spark, d, "part").select("p_partkey", I.stable_id("class", F.col("p_name"), F.col("p_brand")).alias("id"), I.store_key(F.col("p_name")).alias("key"))
 
 
-@query("n1_simple_types", "SELECT p_partkey, list_extract(string_split(regexp_replace('java.util.List<' || p_brand || '>.' || p_name, '<[^<>]*>', '', 'g'), '.'), -1) AS type FROM part")
+@query("n1_simple_types", "SELECT p_partkey, p_type || '[]' AS type FROM part")
 def n1(spark, d):
-    return table(spark, d, "part").select("p_partkey", X.simple_type(F.concat(F.lit("java.util.List<"), "p_brand", F.lit(">."), "p_name")).alias("type"))
+    return table(spark, d, "part").select("p_partkey", X.simple_type(F.concat(F.lit("java.util."), "p_type", F.lit(" []<String, java.util.List<a."), "p_brand", F.lit(">>"))).alias("type"))

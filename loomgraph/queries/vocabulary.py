@@ -10,17 +10,22 @@ from loomgraph.functions import text as X
 from loomgraph.operators import retrieval as R
 from loomgraph.operators import semantic as S
 from loomgraph.operators import walk
+from loomgraph.operators.budget import call_chains
 from loomgraph.operators.traverse import bfs, impact_closure
 from loomgraph.queries._registry import query
 from loomgraph.session import table
 from loomgraph.sources.tables import CALLS_SQL, NODES_SQL, TRANSITIONS_SQL, calls, nodes, transitions
 
 
-@query("s2_source_paths", """SELECT page_id, page_id % 5 IN (0, 1, 4) AS kept, page_id % 5 IN (1, 2) AS generated FROM pages""")
+_FOLDERS = ["src/main", "target/generated-sources/x", "build/generated/classes", "target", "targets", "target/apt/y", "build/apt/site", "target/generated/dependency/z", "build/tmp/generated-sources", "a/target/surefire-reports/generated"]
+
+
+@query("s2_source_paths", f"""SELECT page_id, kept, generated FROM (SELECT page_id, CAST(round(length(html) + 7 * length(url)) AS BIGINT) % {len(_FOLDERS)} AS k FROM pages) JOIN
+  (VALUES (0, true, false), (1, true, true), (2, false, true), (3, false, false), (4, true, false), (5, true, true), (6, false, true), (7, false, true), (8, true, true), (9, false, true)) v(k, kept, generated) USING (k)""")
 def s2(spark, d):
-    k = F.col("page_id") % 5
-    path = F.when(k == 0, "m/src/main/A.java").when(k == 1, "m/target/generated-sources/x/A.java").when(k == 2, "m/build/generated/classes/A.java").when(k == 3, "m/target/A.java").otherwise("m/targets/A.java")
-    return table(spark, d, "pages").select("page_id", P.is_source_path(path).alias("kept"), P.is_generated(path).alias("generated"))
+    k = (F.length("html") + 7 * F.length("url")) % len(_FOLDERS)
+    path = F.concat(F.lit("m/"), F.element_at(F.array(*map(F.lit, _FOLDERS)), (k + 1).cast("int")), F.lit("/A.java"))
+    return table(spark, d, "pages").filter("html IS NOT NULL AND url IS NOT NULL").select("page_id", P.is_source_path(path).alias("kept"), P.is_generated(path).alias("generated"))
 
 
 @query("f10_trivial_accessors", """SELECT p_partkey, p_partkey % 6 IN (0, 2, 5) AS trivial FROM part""")
@@ -113,9 +118,12 @@ def x20(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.array_join(X.sql_columns(sql, op), ",").alias("columns"))
 
 
-@query("x30_json_of_answers", """SELECT conv_id, turn, '{"n": ' || length(text) || '}' AS found FROM conversations""")
+@query("x30_json_of_answers", """SELECT conv_id, turn, CASE role WHEN 'assistant' THEN '{"n": ' || length(text) || '}' WHEN 'system' THEN '[' || length(text) || ', {"a": null}]' END AS found FROM conversations""")
 def x30(spark, d):
-    answer = F.concat(F.lit("Here:\n```json\n{\"n\": "), F.length("text").cast("string"), F.lit("}\n```\nDone."))
+    n = F.length("text").cast("string")
+    object_ = F.concat(F.lit("{\"n\": "), n, F.lit("}"))
+    fenced = F.concat(F.lit("Here:\n```json\n"), object_, F.lit("\n```\n"))
+    answer = F.when(F.col("role") == "assistant", fenced).when(F.col("role") == "system", F.concat(F.lit("["), n, F.lit(", {\"a\": null}]"))).otherwise(F.concat(object_, F.lit(" then "), object_))
     return table(spark, d, "conversations").select("conv_id", "turn", X.json_of(answer).alias("found"))
 
 
@@ -139,15 +147,15 @@ def g6(spark, d):
     return walk.with_paths(bfs(calls(spark, d), start)).select("node_id", "hop", F.array_join("path", ">").alias("path"))
 
 
-@query("g12_call_chain", f"""WITH RECURSIVE {CALLS_SQL}, jumped AS (SELECT source_id, coalesce(i.id, target_id) AS target_id FROM calls LEFT JOIN
-  (SELECT 'method://p' || p_partkey AS interface_id, 'method://p' || (p_partkey - 1) AS id FROM part WHERE p_partkey % 10 = 0) i ON i.interface_id = target_id),
-  walk AS (SELECT DISTINCT * FROM jumped WHERE source_id NOT IN (SELECT 'method://p' || p_partkey FROM part WHERE p_partkey % 7 = 0) AND target_id NOT IN (SELECT 'method://p' || p_partkey FROM part WHERE p_partkey % 7 = 0)),
-  r AS (SELECT 'method://p3' AS node_id, 0 AS depth UNION SELECT source_id, depth + 1 FROM r JOIN walk ON target_id = node_id WHERE depth < 6)
-  SELECT node_id, min(depth) AS depth FROM r GROUP BY 1 ORDER BY 2, 1 LIMIT 30""")
+@query("g12_call_chain", f"""WITH RECURSIVE {CALLS_SQL}, skipped AS (SELECT 'method://p' || p_partkey AS id FROM part WHERE p_partkey % 7 = 0),
+  impl AS (SELECT 'method://p' || p_partkey AS interface_id, 'method://p' || (p_partkey - 1) AS id FROM part WHERE p_partkey % 10 = 0),
+  r AS (SELECT 'method://p3' AS node_id, 0 AS depth UNION SELECT coalesce(i.id, source_id), depth + 1 FROM r JOIN calls ON target_id = node_id LEFT JOIN impl i ON i.interface_id = source_id WHERE depth < 6 AND source_id NOT IN (SELECT id FROM skipped))
+  SELECT node_id, min(depth) AS depth FROM r JOIN part ON node_id = 'method://p' || p_partkey GROUP BY node_id, p_brand, p_name ORDER BY 2, p_brand, p_name, 1 LIMIT 30""")
 def g12(spark, d):
     part, name = table(spark, d, "part"), lambda k: F.concat(F.lit("method://p"), k)
     impl = part.filter("p_partkey % 10 = 0").select(name(F.col("p_partkey")).alias("interface_id"), name(F.col("p_partkey") - 1).alias("id"))
-    return walk.call_chain(calls(spark, d), impl, part.filter("p_partkey % 7 = 0").select(name(F.col("p_partkey")).alias("id")), "method://p3", "up")
+    skipped, start = part.filter("p_partkey % 7 = 0").select(name(F.col("p_partkey")).alias("id")), part.filter("p_partkey = 3").select(name(F.col("p_partkey")).alias("start_id"))
+    return call_chains(nodes(spark, d), calls(spark, d), impl, skipped, start, "up").select("node_id", "depth")
 
 
 _CLOSED = f"""WITH RECURSIVE {TRANSITIONS_SQL}, r AS (SELECT source_id, target_id FROM transitions UNION SELECT r.source_id, c.target_id FROM r JOIN transitions c ON c.source_id = r.target_id),

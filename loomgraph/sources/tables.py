@@ -58,6 +58,24 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.concat(F.lit("method://p"), F.col("p_partkey")).alias("source_id"), F.concat(F.lit("method://p"), F.floor(F.col("p_partkey") / 2)).alias("target_id"))
 
 
+#: What a class is called by a part's type; {0} is its base name and {1} its brand's.
+CLASS_NAMES = {"ECONOMY": "{0}Service", "STANDARD": "{0}ServiceImpl", "PROMO": "{1}{0}ServiceImpl", "MEDIUM": "{0}Mapper", "LARGE": "{0}Controller", "SMALL": "{0}Facade"}
+
+
+def code_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, package, class_name, name, signature, module_id, words of methods of classes whose names follow from the parts' names, types and brands."""
+    brand = F.initcap(F.replace("p_brand", F.lit("#"), F.lit("")))
+    base = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    name = F.lit(None).cast("string")
+    for kind, pattern in CLASS_NAMES.items():
+        name = F.when(F.col("p_type") == kind, F.replace(F.replace(F.lit(pattern), F.lit("{0}"), base), F.lit("{1}"), brand)).otherwise(name)
+    method = F.concat(F.lit("step"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("method://p"), F.col("p_partkey")).alias("id"), F.concat(F.lit("com."), F.lower(brand)).alias("package"), name.alias("class_name"), method.alias("name"),
+        F.concat(method, F.lit("("), "p_type", F.lit(")")).alias("signature"), F.col("p_brand").alias("module_id"), F.col("p_name").alias("words"),
+    )
+
+
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_id, target_id: event types that follow each other for some user. A cyclic graph."""
     after = F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -92,3 +110,6 @@ edges AS (
 )
 TRANSITIONS_SQL = """transitions AS (SELECT DISTINCT 'event//' || event_type AS source_id, 'event//' || nxt AS target_id FROM
   (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL AND nxt <> event_type)"""
+_BASE_SQL = "upper(p_name[1:1]) || split_part(p_name, ' ', 1)[2:] || upper(split_part(p_name, ' ', 2)[1:1]) || split_part(p_name, ' ', 2)[2:]"
+METHODS_SQL = f"""methods AS (SELECT 'method://p' || p_partkey AS id, 'com.' || lower(replace(p_brand, '#', '')) AS package, 'step' || p_size AS name, 'step' || p_size || '(' || p_type || ')' AS signature, p_brand AS module_id, p_name AS words,
+  CASE p_type {' '.join(f"WHEN '{kind}' THEN replace(replace('{pattern}', '{{0}}', {_BASE_SQL}), '{{1}}', replace(p_brand, '#', ''))" for kind, pattern in CLASS_NAMES.items())} END AS class_name, p_partkey FROM part)"""

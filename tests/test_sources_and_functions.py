@@ -107,14 +107,11 @@ def test_question_terms(spark):
     assert noise("get", "how to cancel") and not noise("get", "how to get it") and not noise("order", "x") and not noise("订单", "x")
 
 
-def test_paths_ids_and_call_chains(spark):
+def test_paths_and_ids(spark):
     from loomgraph.operators import walk
     from loomgraph.operators.traverse import bfs
 
     calls = spark.createDataFrame([("a", "i"), ("impl1", "b"), ("impl2", "get"), ("get", "c")], "source_id string, target_id string")
-    impl = spark.createDataFrame([("i", "impl1"), ("i", "impl2")], "interface_id string, id string")
-    chain = walk.call_chain(calls, impl, spark.createDataFrame([("get",)], "id string"), "a").collect()
-    assert [tuple(r) for r in chain] == [("a", 0), ("impl1", 1), ("impl2", 1), ("b", 2)]
     start = spark.createDataFrame([("a", "a")], "start_id string, node_id string")
     paths = {r["node_id"]: r["path"] for r in walk.with_paths(bfs(calls, start)).collect()}
     assert paths == {"a": ["a"], "i": ["a", "i"]}
