@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.store import dropped, staged
+from loomgraph.store import staged
 
 FEW_HOPS = 3
 
@@ -79,18 +79,17 @@ def unary_roots(arcs: DataFrame) -> DataFrame:
     arcs: s, t, each once. Pointers double in each round, so that a chain takes the logarithm of its length. Nodes
     whose way runs into a cycle of such nodes have no row.
     """
-    single = arcs.groupBy("s").agg(F.count("*").alias("n"), F.min("t").alias("t")).filter("n = 1")
-    now = staged(single.select(F.col("s").alias("v"), F.col("t").alias("root"), F.lit(1).cast("long").alias("dist")), "pointers")
-    open_ = now.join(now.select(F.col("v").alias("root")), "root", "left_semi")
-    rounds = now.count().bit_length() + 1
-    while rounds and not open_.isEmpty():
+    single = arcs.groupBy("s").agg(F.count("*").alias("n"), F.min("t").alias("root")).filter("n = 1").select(F.col("s").alias("v"), "root", F.lit(1).cast("long").alias("dist"))
+    now, rounds = single, None
+    while True:
         ahead = now.select(F.col("v").alias("root"), F.col("root").alias("next"), F.col("dist").alias("more"))
-        moved = now.join(ahead, "root", "left").select("v", F.coalesce("next", "root").alias("root"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"))
-        before, now = now, staged(moved, "pointers")
-        dropped(before)
-        open_ = now.join(now.select(F.col("v").alias("root")), "root", "left_semi")
-        rounds -= 1
-    return now.join(now.select(F.col("v").alias("root")), "root", "left_anti").select("v", "root", "dist")
+        now = now.join(ahead, "root", "left")  # next is null once the root has no single arc
+        now = staged(now.select("v", "root", "dist", "next", "more"), "pointers")
+        held = now.agg(F.count("*").alias("n"), F.count("next").alias("open")).first()
+        rounds = held["n"].bit_length() if rounds is None else rounds - 1
+        if not held["open"] or rounds < 0:
+            return now.filter("next IS NULL").select("v", "root", "dist")
+        now = now.select("v", F.coalesce("next", "root").alias("root"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"))
 
 
 def _without_ends(arcs: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.sources.merge import last_of_each
+
 FACTS_SCHEMA = (
     "entities array<struct<id: string, type: string, name: string, location: string, module_id: string, language: string, attributes: map<string, string>>>, "
     "relations array<struct<type: string, source_id: string, target_id: string, attributes: map<string, string>>>, meta map<string, string>"
@@ -60,11 +63,17 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with rows of the same keys replaced by new ones; created tells rows that are new. Of equal keys in new the last in the order of all columns wins."""
-    order = F.struct(*(F.col(c) for c in new.columns))
-    last = new.groupBy(*keys).agg(F.max(order).alias("_last")).select("_last.*")
-    created = last.join(old.select(*keys).distinct().withColumn("_old", F.lit(True)), keys, "left").withColumn("created", F.col("_old").isNull()).drop("_old")
-    return old.join(last.select(*keys), keys, "left_anti").withColumn("created", F.lit(False)).unionByName(created)
+    """old with rows of the same keys replaced by new ones; created tells rows that are new. Null keys are equal.
+
+    Of equal keys in new the last in the order of all columns but maps wins, then the last by its JSON.
+    """
+    plain = [F.col(f.name) for f in new.schema.fields if "map" not in f.dataType.simpleString()]
+    last = last_of_each(new, keys, plain)
+    known = old.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_old", F.lit(True))
+    same = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in keys))
+    created = last.join(known, same("", "_"), "left").select(*new.columns, F.col("_old").isNull().alias("created"))
+    replaced = last.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return old.join(replaced, same("", "_"), "left_anti").withColumn("created", F.lit(False)).unionByName(created)
 
 
 def without_orphans(stored: DataFrame, facts: DataFrame, key: str) -> DataFrame:

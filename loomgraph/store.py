@@ -39,3 +39,45 @@ def dropped(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a place that only Spark may be able to reach."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _folder(spark, path)
+    return files.exists(place)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if there is no such folder."""
+    files, place = _folder(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    files, place = _folder(spark, path)
+    files.delete(place, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written under another name first."""
+    files, place = _folder(spark, path)
+    _, draft = _folder(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    out = files.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.mkdirs(place.getParent())
+    files.rename(draft, place)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    files, place = _folder(spark, path)
+    held = files.open(place)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
+    held.close()
+    return text
