@@ -6,8 +6,8 @@ length times its target share, sends the whole tokens of its credit, and carries
 not send, its deficit, to the next window. After k windows the sources up to and including j
 have sent ``floor(k * window * share(1..j))`` tokens together: quanta and carried deficits in
 closed form, so that any document can be cut and placed from its source's running token count
-alone, in any partition, without walking the windows before it. When a source runs dry, one
-window is shared out among what is left, and the rest go on with their shares scaled up.
+alone, in any partition, without walking the windows before it. When a source runs dry, the rest go on with their shares scaled up from that
+token on. Sources too small for two tokens a window share queues.
 
 Targets: ``shares`` names a weight for each source, or they follow from the sources' token
 counts to the power of ``temperature``: 1 is the corpus's own mixture, 0 the same share for all.
@@ -21,8 +21,7 @@ Defined cases: a null text is an empty text and has the end id only; a null sour
 of its own; repeated rows are packed each; queues of equal length end in the order of their
 names; a very long text is cut like any other and tokenized in a batch of its own; extra
 columns are ignored; an empty table gives an empty result. Sequences are filled to the last,
-only the very last one can need padding (``padded_length``). A window must hold four tokens
-for each source.
+only the very last one can need padding (``padded_length``). There may be any number of sources.
 """
 
 from __future__ import annotations
@@ -30,7 +29,9 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -198,88 +199,83 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, cached_words: in
 class Schedule:
     """Which token of a source's queue lies in which window, in closed form.
 
-    sizes: tokens of each source; shares: its weight in every window (its size by default). No
-    source's quantum is less than a token.
+    sizes: tokens of each source; shares: its weight in every window (its size by default). A source
+    that would earn less than two tokens a window shares a queue with others of that kind, one after another in the
+    order in which they would end, so that every queue earns a token in each window. A queue of s tokens and weight w ends when s / w has been
+    earned for each unit of weight. In the order of those ends, the queues up to and including i have
+    sent after k windows what the ended ones held and, rounded down, their share of the rest. So a number for each queue's
+    end and sums along that order tell everything: what is held is linear in the sources.
     """
 
     def __init__(self, sizes: list[int], shares: list[int] | None, window: int) -> None:
-        if 4 * sum(n > 0 for n in sizes) > window:
-            raise ValueError(f"a window of {window} tokens is too short for {len(sizes)} sources: four tokens for each are needed")
-        self.window, self.phases = window, []
-        self.starts: list[list[int]] = [[] for _ in sizes]  # by source: tokens sent before each phase in which it sends
-        self.phase_of: list[list[int]] = [[] for _ in sizes]
-        sent, shares = [0] * len(sizes), list(shares or sizes)
-        at, live = 0, [j for j, n in enumerate(sizes) if n]
-        while live:
-            weights = [max(shares[j], 1) for j in live]
-            floor = -(-2 * sum(weights) // window)  # a quantum of one token at least
-            ends, total = [], 0
-            for w in weights:
-                total += max(w, floor)
-                ends.append(total)
-            phase = {"at": at, "live": live, "ends": ends, "total": total, "base": [sent[j] for j in live], "last": None}
-            n = sum(sizes[j] - sent[j] for j in live) // window
-            for i, j in enumerate(live):
-                low, high = 0, n
-                while low < high:
-                    mid = (low + high + 1) // 2
-                    low, high = (mid, high) if self._sent(phase, i, mid) <= sizes[j] - sent[j] else (low, mid - 1)
-                n = low
-            if n:
-                self._add(phase, n, [self._sent(phase, i, n) for i in range(len(live))], sent)
-                at += n
-            # one window in which a source runs dry: its share or its rest, then what room is left
-            left = [sizes[j] - sent[j] for j in live]
-            give = [min(r, self._sent(phase, i, n + 1) - self._sent(phase, i, n)) for i, r in enumerate(left)]
-            room = window - sum(give)
-            for i, r in enumerate(left):
-                more = min(room, r - give[i])
-                give[i] += more
-                room -= more
-            if sum(give):
-                self._add({"at": at, "live": live, "base": [sent[j] for j in live], "last": give}, 1, give, sent)
-                at += 1
-            live = [j for j in live if sent[j] < sizes[j]]
-        self.windows = at
-
-    def _add(self, phase: dict, n: int, gives: list[int], sent: list[int]) -> None:
-        phase["n"], phase["slot"] = n, {j: i for i, j in enumerate(phase["live"])}
-        for j, give in zip(phase["live"], gives):
-            if give:
-                self.starts[j].append(sent[j])
-                self.phase_of[j].append(len(self.phases))
-            sent[j] += give
-        self.phases.append(phase)
-
-    def _upto(self, phase: dict, i: int, k: int) -> int:
-        """Tokens of the phase's sources 0..i in its first k windows."""
+        self.window = window
+        weights = [max(w, 1) for w in shares or sizes]
+        live = [j for j, n in enumerate(sizes) if n]
+        least = -(-2 * sum(weights[j] for j in live) // window)
+        by_end = sorted(live, key=lambda j: (Fraction(sizes[j], weights[j]), j))
+        queues: list[list[int]] = [[j] for j in by_end if weights[j] >= least]
+        small: list[list[int]] = [[]]
+        for j in (j for j in by_end if weights[j] < least):
+            if sum(weights[i] for i in small[-1]) >= least:
+                small.append([])
+            small[-1].append(j)
+        if len(small) > 1 and sum(weights[i] for i in small[-1]) < least:
+            rest = small.pop()
+            small[-1] += rest
+        held = [(sum(sizes[j] for j in q), max(least, sum(weights[j] for j in q)), q) for q in [*queues, *small] if q]
+        held.sort(key=lambda x: (Fraction(x[0], x[1]), x[2][0]))
+        self.weights = [w for _, w, _ in held]
+        self.sent, self.weighed = list(accumulate(n for n, _, _ in held)), list(accumulate(self.weights))
+        total = self.weighed[-1] if held else 0
+        self.total, self.windows = total, -(-self.sent[-1] // window) if held else 0
+        #: By queue: windows after which it has ended, and what has been earned for a unit of weight by then.
+        self.ended = [-(-(sent * w + n * (total - upto)) // (w * window)) for (n, w, _), sent, upto in zip(held, self.sent, self.weighed)]
+        self.ends_at = [n / w for n, w, _ in held]
+        self.place_of: dict[int, tuple[int, int]] = {}  # by source: its queue and how many tokens come before it there
+        for i, (_, _, q) in enumerate(held):
+            before = 0
+            for j in q:
+                self.place_of[j] = i, before
+                before += sizes[j]
+
+    def _upto(self, i: int, k: int) -> int:
+        """Tokens of the queues 0..i in the first k windows."""
         if i < 0:
             return 0
-        return k * self.window * phase["ends"][i] // phase["total"]
-
-    def _sent(self, phase: dict, i: int, k: int) -> int:
-        return self._upto(phase, i, k) - self._upto(phase, i - 1, k)
+        ended = bisect_right(self.ended, k)
+        if i < ended:
+            return self.sent[i]
+        sent, weighed = (self.sent[ended - 1], self.weighed[ended - 1]) if ended else (0, 0)
+        return sent + (k * self.window - sent) * (self.weighed[i] - weighed) // (self.total - weighed)
+
+    def _sent(self, i: int, k: int) -> int:
+        return self._upto(i, k) - self._upto(i - 1, k)
+
+    def _window(self, i: int, token: int) -> int:
+        """The window in which a queue's token is sent: near where the queue has earned that much."""
+        earned = token / self.weights[i]
+        ended = bisect_right(self.ends_at, earned)
+        sent, weighed = (self.sent[ended - 1], self.weighed[ended - 1]) if ended else (0, 0)
+        k = max(0, min(self.windows - 1, int((sent + earned * (self.total - weighed)) / self.window)))
+        while self._sent(i, k) > token:
+            k -= 1
+        while self._sent(i, k + 1) <= token:
+            k += 1
+        return k
 
     def pieces(self, j: int, begin: int, n: int) -> Iterator[tuple[int, int, int]]:
-        """(window, place in the window, length) of the queue's tokens begin..begin+n, in order."""
+        """(window, place in the window, length) of the source's tokens begin..begin+n, in order."""
+        if not n:
+            return
+        i, before = self.place_of[j]
+        token = before + begin
         while n:
-            p = self.phases[self.phase_of[j][bisect_right(self.starts[j], begin) - 1]]
-            i = p["slot"][j]
-            rel = begin - p["base"][i]
-            if p["last"] is not None:
-                k, done, end, place = 0, 0, p["last"][i], sum(p["last"][:i])
-            else:
-                own = p["ends"][i] - (p["ends"][i - 1] if i else 0)
-                k = max(0, min(p["n"] - 1, rel * p["total"] // (self.window * own)))
-                while self._sent(p, i, k) > rel:
-                    k -= 1
-                while self._sent(p, i, k + 1) <= rel:
-                    k += 1
-                done, end = self._sent(p, i, k), self._sent(p, i, k + 1)
-                place = self._upto(p, i - 1, k + 1) - self._upto(p, i - 1, k)
-            length = min(n, end - rel)
-            yield p["at"] + k, place + rel - done, length
-            begin, n = begin + length, n - length
+            k = self._window(i, token)
+            place = self._upto(i - 1, k + 1) - self._upto(i - 1, k)
+            done, end = self._sent(i, k), self._sent(i, k + 1)
+            length = min(n, end - token)
+            yield k, place + token - done, length
+            token, n = token + length, n - length
 
 
 def padded_length(used: int, sequence: int = SEQUENCE) -> int:
