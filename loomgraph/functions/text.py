@@ -94,6 +94,20 @@ def class_role(name: Column) -> Column:
     return role
 
 
+# The marks of the parts of a generated text.
+SUMMARY, DETAIL = "[摘要]", "[详情]"
+
+
+def summary_of(text: Column, most: int = 50) -> Column:
+    """The summary in a generated text, cut to ``most`` characters: what stands after its mark up to the details' mark or, without one, the line's end; else the first line of five characters or more; else the text's begin."""
+    after = F.when(F.instr(text, SUMMARY) > 0, F.substr(text, F.instr(text, SUMMARY) + len(SUMMARY)))
+    told = F.when(F.instr(after, DETAIL) > 0, F.substr(after, F.lit(1), F.instr(after, DETAIL) - 1)).otherwise(F.substring_index(after, "\n", 1))
+    blank = F.lit(" \t\r\n\x0b\x0c")
+    lines = F.transform(F.split(F.btrim(text, blank), "\n"), lambda x: F.ltrim(F.btrim(x, blank), F.lit("#*- ")))
+    first = F.try_element_at(F.filter(lines, lambda x: F.length(x) >= 5), F.lit(1))
+    return F.substring(F.coalesce(F.nullif(F.btrim(told, blank), F.lit("")), first, text), 1, most)
+
+
 def token_estimate(text: Column) -> Column:
     """About how many model tokens a text takes: one for each 1.5 characters, one at least."""
     return F.greatest(F.lit(1), F.floor(F.length(text) / 1.5).cast("int"))
