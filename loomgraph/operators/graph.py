@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -67,3 +68,19 @@ def enriched_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     end = lambda side: nodes.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("entity_type").alias(f"{side}_type"))
     out = edges.join(end("source"), "source_id", "left").join(end("target"), "target_id", "left")
     return out.select("source_id", "target_id", "rel_type", *(F.coalesce(c, F.lit("unknown")).alias(c) for c in ("source_name", "source_type", "target_name", "target_type")))
+
+
+def samples_by_size(rows: DataFrame, group: str, size: str, key: str) -> DataFrame:
+    """group, key, size of the smallest, the middle and the largest row of each group, by size, then key; each once.
+
+    Sizes are counted first, and their places found among the counts; only rows of the wanted sizes are put in order.
+    """
+    counts = rows.groupBy(group, size).agg(F.count("*").alias("_n"))
+    upto = W.partitionBy(group).orderBy(size)
+    placed = counts.withColumns({"_last": F.sum("_n").over(upto.rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_n").over(W.partitionBy(group))})
+    asked = placed.withColumn("_place", F.explode(F.array_distinct(F.array(F.lit(1).cast("long"), F.expr("_all DIV 2 + 1"), F.col("_all")))))
+    wanted = asked.filter("_place <= _last AND _place > _last - _n").groupBy(group, size).agg(F.collect_set(F.col("_place") - F.col("_last") + F.col("_n")).alias("_ranks"))
+    same = (F.col(f"r.{group}").eqNullSafe(F.col(f"w.{group}"))) & (F.col(f"r.{size}").eqNullSafe(F.col(f"w.{size}")))
+    found = rows.select(group, key, size).alias("r").join(wanted.alias("w"), same).select(f"r.{group}", f"r.{key}", f"r.{size}", "_ranks")
+    rank = F.row_number().over(W.partitionBy(group, size).orderBy(key)).cast("long")
+    return found.withColumn("_rank", rank).filter(F.array_contains("_ranks", F.col("_rank"))).select(group, key, size)

@@ -249,9 +249,7 @@ def a13(spark, d):
 @query("a14_size_samples", """SELECT lang, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents)
   WHERE rn = 1 OR rn = n // 2 + 1 OR rn = n""")
 def a14(spark, d):
-    w = W.partitionBy("lang")
-    ranked = table(spark, d, "documents").select("lang", "doc_id", "n_chars", F.row_number().over(w.orderBy("n_chars", "doc_id")).alias("rn"), F.count("*").over(w).alias("n"))
-    return ranked.filter("rn = 1 OR rn = n div 2 + 1 OR rn = n").select("lang", "doc_id", "n_chars")
+    return G.samples_by_size(table(spark, d, "documents"), "lang", "n_chars", "doc_id")
 
 
 @query("a15_cost_estimate", "SELECT source, round(avg(n_chars), 6) AS avg_chars, CAST(sum(least(n_chars // 100, 10) * 300) AS BIGINT) AS context_chars FROM documents GROUP BY 1")

@@ -7,7 +7,10 @@ A written table cuts lineage and survives lost executors. The folder is the sess
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again; ``by`` is a column whose values get folders of their own, for a table that is read by it."""
+_scopes = threading.local()
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block go at its end, but those staged with ``keep``, which belong to what encloses it.
+
+    An operator's result reads its staged tables when it is used: use it, or stage it with ``keep``, inside the block.
+    """
+    folder = f"{shared_dir(spark)}/scope-{uuid.uuid4().hex}"
+    before = getattr(_scopes, "folders", [])
+    _scopes.folders = [*before, folder]
+    try:
+        yield
+    finally:
+        _scopes.folders = before
+        removed(spark, folder)
+
+
+def staged(df: DataFrame, label: str, by: str | None = None, keep: bool = False) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again; ``by`` is a column whose values get folders of their own, for a table that is read by it. keep: for use after the scope's end."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    folders = getattr(_scopes, "folders", [])
+    folders = folders[:-1] if keep else folders
+    path = f"{folders[-1] if folders else shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from loomgraph.functions.ids import uri_local
 from loomgraph.functions import predicates, text
 from loomgraph.operators import batch_search, propagate, semantic
 from loomgraph.sources import code, dynamic_sql, merge, node_link
-from loomgraph.store import listed
+from loomgraph.store import listed, scope, shared_dir, staged
 from loomgraph.streaming.upserts import follow_merged
 
 
@@ -173,3 +173,18 @@ def test_mended_functions(spark):
     assert one(spark, predicates.is_code_type(F.lit("Api_Endpoint"))) and not one(spark, predicates.is_code_type(F.lit("term")))
     methods = spark.createDataFrame([("1", "/order/pay", "X"), ("2", "/none", "OrderController"), ("3", "/none", "Order")], "id string, path string, class_name string")
     assert rows(semantic.capability_links(methods, [("orders", "/order/**"), ("pay", "pay"), ("", "")])) == [("1", "orders", "path_match", 0.9), ("1", "pay", "path_match", 0.9), ("2", "orders", "class_naming", 0.5)]
+
+
+def test_scopes_remove_their_tables(spark):
+    root = shared_dir(spark)
+    before = set(listed(spark, root))
+    with scope(spark):
+        first = staged(spark.range(3), "a")
+        with scope(spark):
+            inner = staged(first, "b")
+            kept = staged(inner.filter("id > 0"), "c", keep=True)
+        assert kept.count() == 2
+        out = staged(kept, "d", keep=True)
+    assert sorted(r["id"] for r in out.collect()) == [1, 2]
+    new = set(listed(spark, root)) - before
+    assert len(new) == 1 and new.pop().startswith("d-")
