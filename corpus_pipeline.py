@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import ngram_join, packing, quality_classifier, quality_rules, secrets
-from loomgraph.llm._store import dropped, staged
+from loomgraph.llm._store import dropped, scope, staged
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +65,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = staged(docs, f"stage{i + 1}")
-        if 0 < i < len(STAGES) - 1:
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        before = docs
+        with scope(spark):  # the stage's own tables go with it
+            docs = staged(stage(spark, docs, sf_dir), f"stage{i + 1}", keep=True)
+        if i:
             dropped(before)
     return docs

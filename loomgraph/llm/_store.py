@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from loomgraph.store import dropped, shared_dir, staged
+from loomgraph.store import dropped, scope, shared_dir, staged
 
-__all__ = ["dropped", "shared_dir", "staged"]
+__all__ = ["dropped", "scope", "shared_dir", "staged"]
