@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.queries import contexts, facts, graphs, lineage, relational, vocabulary, resolution, retrieval, sessions, stores, structure  # noqa: F401
+from loomgraph.queries import contexts, facts, graphs, lineage, relational, vocabulary, resolution, retrieval, sessions, stores, structure, views  # noqa: F401
 from loomgraph.queries._registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

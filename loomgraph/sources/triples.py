@@ -11,7 +11,7 @@ from loomgraph.functions.predicates import is_code_type
 # The vocabularies' names, and relations that carry over.
 BASE = "http://example.org/graph/"
 RDF, RDFS, OWL = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#"
-TRANSITIVE = ("calls", "depends_on", "extends", "contains")
+TRANSITIVE = ("calls", "extends", "implements", "depends_on", "belongs_to", "service_calls", "BELONGS_TO_DOMAIN", "CONTAINS_CAPABILITY")
 
 
 def _uri(text: Column | str) -> Column:
@@ -44,7 +44,7 @@ def ontology_triples(nodes: DataFrame, edges: DataFrame, base: str = BASE, trans
         said(types.filter("t <> 'Thing'"), class_uri(F.col("t")), label, _literal(F.col("t"))),
         said(kinds, relation, a, _uri(OWL + "ObjectProperty")),
         said(kinds, relation, label, _literal(F.col("rel_type"))),
-        said(kinds.filter(F.lower("rel_type").isin(*transitive)), relation, a, _uri(OWL + "TransitiveProperty")),
+        said(kinds.filter(F.col("rel_type").isin(*transitive)), relation, a, _uri(OWL + "TransitiveProperty")),
         said(nodes, individual("id"), a, class_uri(kind)),
         said(nodes.filter("name IS NOT NULL"), individual("id"), label, _literal(F.col("name"))),
         said(stated, individual("source_id"), relation, individual("target_id")),
