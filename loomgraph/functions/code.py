@@ -50,6 +50,13 @@ def method_name(name: Column, signature: Column) -> Column:
     return F.lower(F.coalesce(_filled(name), F.substring_index(word, ".", -1), F.lit("")))
 
 
+def snippet(text: Column, first: Column, last: Column, most: int = 12_000) -> Column:
+    """The lines from the first to the last, from one on, without outer blanks; cut to ``most`` characters with "..." for the rest. Null for no such range."""
+    lines = F.slice(F.split(text, "\n"), F.greatest(first, F.lit(1)), F.greatest(last - first + 1, F.lit(0)))
+    cut = F.btrim(F.array_join(lines, "\n"), F.lit(" \t\r\n\x0b\x0c"))
+    return F.when((first >= 1) & (last >= first), F.when(F.length(cut) > most, F.concat(F.substring(cut, 1, most), F.lit("..."))).otherwise(cut))
+
+
 def create_tables(text: Column) -> Column:
     """Array of (name, ddl) of the quoted CREATE TABLE statements that name an engine."""
     pattern = F.lit(r"(?s)CREATE TABLE\s+`(\w+)`\s*\(.*?\)\s*ENGINE")

@@ -84,3 +84,30 @@ def samples_by_size(rows: DataFrame, group: str, size: str, key: str) -> DataFra
     found = rows.select(group, key, size).alias("r").join(wanted.alias("w"), same).select(f"r.{group}", f"r.{key}", f"r.{size}", "_ranks")
     rank = F.row_number().over(W.partitionBy(group, size).orderBy(key)).cast("long")
     return found.withColumn("_rank", rank).filter(F.array_contains("_ranks", F.col("_rank"))).select(group, key, size)
+
+
+def graph_of(entities: DataFrame, relations: DataFrame, hidden: tuple[str, ...] = ("code_snippet",)) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of structure facts: attributes without a value and the hidden ones go; relations stay as they are, with ends that no entity has."""
+    kept = F.map_filter("attributes", lambda k, v: v.isNotNull() & ~k.isin(*hidden))
+    return entities.withColumn("attributes", F.coalesce(kept, F.create_map().cast("map<string, string>"))), relations
+
+
+def peers(edges: DataFrame, asked: DataFrame, direction: str = "down", rel_types: list[str] | None = None) -> DataFrame:
+    """id, peer, rel_type: the successors, or predecessors, of the asked ids (id), each once."""
+    near, far = ("source_id", "target_id") if direction == "down" else ("target_id", "source_id")
+    own = neighbours(edges, rel_types).select(F.col(near).alias("id"), F.col(far).alias("peer"), "rel_type").distinct()
+    return own.join(asked.select("id").distinct(), "id", "left_semi")
+
+
+def access_groups(details: DataFrame) -> DataFrame:
+    """table, op, min_hop, max_hop, items (hop, statement, source, in that order) of table accesses: table, op, hop, statement, source; each once."""
+    items = F.sort_array(F.collect_set(F.struct("hop", "statement", "source")))
+    return details.groupBy("table", "op").agg(F.min("hop").alias("min_hop"), F.max("hop").alias("max_hop"), items.alias("items"))
+
+
+def best_patterns(patterns: DataFrame, most: int, by: list[str] = ()) -> DataFrame:
+    """The ``most`` patterns of the greatest confidence, of each group of ``by`` if there is any; ties by name."""
+    order = [F.desc("confidence"), F.col("pattern_name")]
+    if not by:
+        return patterns.orderBy(*order).limit(most)
+    return patterns.withColumn("_rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_rank") <= most).drop("_rank")

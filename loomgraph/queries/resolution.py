@@ -16,7 +16,7 @@ from loomgraph.sources.code import module_of
 from loomgraph.sources.tables import CALLS_SQL, METHODS_SQL, calls, code_methods
 
 
-@query("s4_page_modules", r"""SELECT page_id, CASE WHEN first = 'en' OR starts_with(p, 'en/') THEN 'en' WHEN first = 'docs' OR starts_with(p, 'fr/') THEN 'docs' ELSE first END AS module, regexp_extract(p, '\.([^./]+)$', 1) AS suffix
+@query("s4_page_modules", r"""SELECT page_id, CASE WHEN first = 'en' OR starts_with(p, 'en') THEN 'en' WHEN first = 'docs' OR starts_with(p, 'fr') THEN 'docs' ELSE first END AS module, regexp_extract(p, '\.([^./]+)$', 1) AS suffix
   FROM (SELECT page_id, p, split_part(p, '/', 1) AS first FROM (SELECT page_id, regexp_extract(url, '^[^:]+://[^/]+/([^?#]*)', 1) AS p FROM pages))""")
 def s4(spark, d):
     p = F.regexp_extract("url", r"^[^:]+://[^/]+/([^?#]*)", 1)

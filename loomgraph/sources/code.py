@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import one_line, sql_columns, sql_tables
 from loomgraph.sources.merge import last_of_each
 
 FACTS_SCHEMA = (
@@ -34,11 +35,14 @@ def language(path: Column) -> Column:
 
 
 def module_of(path: Column, modules: list[tuple[str, str]]) -> Column:
-    """The first module whose id is the first segment or whose folder begins the path, else the first segment."""
-    first = F.substring_index(path, "/", 1)
-    out = first
+    """The first module whose id is the first segment or whose folder's name begins the path; else the only module there is, else the first segment; null without modules.
+
+    modules: (id, folder), the folder empty if it isn't known. Backslashes count as slashes in segments.
+    """
+    first = F.substring_index(F.translate(path, "\\", "/"), "/", 1)
+    out = F.lit(None).cast("string") if not modules else F.lit(modules[0][0]) if len(modules) == 1 else first
     for module, folder in reversed(modules):
-        out = F.when((first == module) | path.startswith(folder.rstrip("/") + "/"), module).otherwise(out)
+        out = F.when((first == module) | (path.startswith(folder) if folder else F.lit(False)), module).otherwise(out)
     return out
 
 
@@ -173,6 +177,15 @@ def mapper_statements(files: DataFrame, whole: bool = True) -> DataFrame:
     return files.select("text").mapInArrow(parse, "namespace string, statement_id string, op string, sql string")
 
 
+def statement_accesses(statements: DataFrame) -> DataFrame:
+    """namespace, statement_id, op, table, columns, sql of each table that a statement names; statements without a namespace or a table have no row.
+
+    statements: as ``mapper_statements`` gives them; sql is cut to 1200 characters.
+    """
+    named = statements.filter(F.trim("namespace") != "").withColumn("_tables", sql_tables(F.col("sql")))
+    return named.select("namespace", "statement_id", "op", F.explode("_tables").alias("table"), sql_columns(F.col("sql"), F.col("op")).alias("columns"), one_line(F.col("sql"), 1200).alias("sql"))
+
+
 def domain_tables(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
     """The tables ``domains``, ``capabilities`` and ``terms`` of a project's configuration; sections that are missing give empty ones."""
     own = config.get("domain") or {}

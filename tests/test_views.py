@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from loomgraph.operators import views
-from loomgraph.sources import triples
+from pyspark.sql import functions as F
+
+from loomgraph.functions.code import snippet
+from loomgraph.operators import graph, views
+from loomgraph.sources import code, triples
 
 
 def rows(df):
@@ -59,3 +62,30 @@ def test_ontology(spark, tmp_path):
     triples.write_ontology(nodes, edges, str(tmp_path / "o"))
     found = [r["value"] for r in spark.read.text(str(tmp_path / "o")).collect()]
     assert set(found) == want and len(found) == len(want)
+
+
+def test_modules_snippets_and_accesses(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(code.module_of(F.lit("a/b.java"), [("x", "")])) == "x" and one(code.module_of(F.lit("a/b.java"), [])) is None
+    assert one(code.module_of(F.lit("a\\b.java"), [("x", "y"), ("z", "a")])) == "z" and one(code.module_of(F.lit("q/b"), [("x", "y"), ("z", "a")])) == "q"
+    text = F.lit("one\n  two\nthree  \nfour")
+    assert one(snippet(text, F.lit(2), F.lit(3))) == "two\nthree" and one(snippet(text, F.lit(3), F.lit(99))) == "three  \nfour" and one(snippet(text, F.lit(0), F.lit(2))) is None and one(snippet(text, F.lit(3), F.lit(2))) is None
+    assert one(snippet(text, F.lit(1), F.lit(1), 2)) == "on..."
+    xml = '<mapper namespace="a.B"><select id="q">SELECT id, name FROM t JOIN u ON 1</select><update id="e">UPDATE v SET x = 1</update><delete id="n">nothing</delete></mapper>'
+    got = code.statement_accesses(code.mapper_statements(spark.createDataFrame([(xml,), ('<mapper><select id="z">SELECT 1 FROM t</select></mapper>',)], "text string")))
+    assert rows(got.select("namespace", "statement_id", "op", "table", F.array_join("columns", ",").alias("c"))) == [("a.B", "e", "update", "v", "x"), ("a.B", "q", "select", "t", "id,name"), ("a.B", "q", "select", "u", "id,name")]
+
+
+def test_graph_rules(spark):
+    entities = spark.createDataFrame([("m", {"a": "1", "b": None, "code_snippet": "x"}), ("n", None)], "id string, attributes map<string, string>")
+    edges = spark.createDataFrame([("m", "n", "calls"), ("m", "n", "calls"), ("m", "o", "uses"), ("p", "m", "CALLS")], "source_id string, target_id string, rel_type string")
+    nodes, same = graph.graph_of(entities, edges)
+    assert rows(nodes) == [("m", {"a": "1"}), ("n", {})] and same.count() == 4
+    asked = spark.createDataFrame([("m",)], "id string")
+    assert rows(graph.peers(edges, asked)) == [("m", "n", "calls"), ("m", "o", "uses")] and rows(graph.peers(edges, asked, "up", ["calls"])) == [("m", "p", "CALLS")]
+    details = spark.createDataFrame([("t", "r", 2, "s", "x"), ("t", "r", 1, "z", "y"), ("t", "r", 1, "z", "y"), ("t", "w", 0, "s", "x")], "table string, op string, hop int, statement string, source string")
+    assert rows(graph.access_groups(details)) == [("t", "r", 1, 2, [(1, "z", "y"), (2, "s", "x")]), ("t", "w", 0, 0, [(0, "s", "x")])]
+    patterns = spark.createDataFrame([("a", "p", 0.5), ("a", "q", 0.5), ("b", "r", 0.9)], "scope string, pattern_name string, confidence double")
+    assert [r["pattern_name"] for r in graph.best_patterns(patterns, 2).collect()] == ["r", "p"] and rows(graph.best_patterns(patterns, 1, ["scope"])) == [("a", "p", 0.5), ("b", "r", 0.9)]
+    sized = spark.createDataFrame([("g", i, n) for i, n in enumerate([5, 1, 5, 5, 9, 2])] + [("h", 9, 3)], "g string, k int, n int")
+    assert rows(graph.samples_by_size(sized, "g", "n", "k")) == [("g", 1, 1), ("g", 2, 5), ("g", 4, 9), ("h", 9, 3)]
