@@ -10,7 +10,7 @@ from loomgraph.operators import context as X
 from loomgraph.operators import lookup as K
 from loomgraph.queries._registry import query
 from loomgraph.session import table
-from loomgraph.sources.tables import CALLS_SQL, EDGES_SQL, NODES_SQL, TRANSITIONS_SQL, calls, edges, nodes, transitions
+from loomgraph.sources.tables import CALLS_SQL, EDGES_SQL, NODES_SQL, calls, edges, nodes
 
 
 def _method(k):
@@ -253,10 +253,10 @@ def n38(spark, d):
     return K.search(nodes(spark, d), None, "00", ["class"], "semantic")
 
 
-@query("n40_impact_by_kind", f"""WITH RECURSIVE {TRANSITIONS_SQL}, r AS (SELECT target_id AS id FROM transitions WHERE source_id = 'event//click' UNION SELECT target_id FROM r JOIN transitions ON source_id = r.id),
-  own AS (SELECT 'event//click' AS id UNION SELECT target_id FROM transitions WHERE source_id = 'event//click') SELECT id, 'explicit' AS kind FROM own UNION ALL SELECT id, 'inferred' FROM r WHERE id NOT IN (FROM own)""")
+@query("n40_impact_by_kind", f"""WITH RECURSIVE {CALLS_SQL}, r AS (SELECT target_id AS id FROM calls WHERE source_id = 'method://p100' UNION SELECT target_id FROM r JOIN calls ON source_id = r.id),
+  own AS (SELECT 'method://p100' AS id UNION SELECT target_id FROM calls WHERE source_id = 'method://p100') SELECT id, 'explicit' AS kind FROM own UNION ALL SELECT id, 'inferred' FROM r WHERE id NOT IN (FROM own)""")
 def n40(spark, d):
-    return K.impact_by_kind(transitions(spark, d).withColumn("rel_type", F.lit("calls")), "calls", "event//click", 1)
+    return K.impact_by_kind(calls(spark, d).withColumn("rel_type", F.lit("calls")), "calls", "method://p100", 1)
 
 
 @query("l4_impact_rows", f"""WITH RECURSIVE {NODES_SQL}, {CALLS_SQL}, r AS (SELECT 'method://p1' AS id UNION SELECT source_id FROM r JOIN calls ON target_id = r.id)

@@ -96,10 +96,10 @@ def x17(spark, d):
     return table(spark, d, "part").select("p_partkey", I.method_id(raw).alias("id"))
 
 
-@query("x18_schemes", "SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 'domain://' || r_name ELSE 'domain://' || r_name END AS id FROM region")
+@query("x18_schemes", "SELECT n_nationkey, 'domain://' || CASE WHEN n_name LIKE '%1%' THEN 'term://' ELSE '' END || n_name AS id FROM nation")
 def x18(spark, d):
-    raw = F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("domain://"), "r_name")).otherwise(F.col("r_name"))
-    return table(spark, d, "region").select("r_regionkey", I.with_scheme(raw, "domain").alias("id"))
+    raw = F.when(F.col("n_name").contains("1"), F.concat(F.lit("term://"), "n_name")).when(F.col("n_name").contains("2"), F.concat(F.lit("domain://"), "n_name")).otherwise(F.col("n_name"))
+    return table(spark, d, "nation").select("n_nationkey", I.with_scheme(raw, "domain").alias("id"))
 
 
 @query("x21_one_line", r"SELECT doc_id, CASE WHEN length(f) > 120 THEN substr(f, 1, 119) || '…' ELSE f END AS line FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS f FROM documents)")

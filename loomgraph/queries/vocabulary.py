@@ -14,7 +14,7 @@ from loomgraph.operators.budget import call_chains
 from loomgraph.operators.traverse import bfs, impact_closure
 from loomgraph.queries._registry import query
 from loomgraph.session import table
-from loomgraph.sources.tables import CALLS_SQL, NODES_SQL, TRANSITIONS_SQL, calls, nodes, transitions
+from loomgraph.sources.tables import CALLS_SQL, METHODS_SQL, NODES_SQL, calls, code_methods, nodes
 
 
 _FOLDERS = ["src/main", "target/generated-sources/x", "build/generated/classes", "target", "targets", "target/apt/y", "build/apt/site", "target/generated/dependency/z", "build/tmp/generated-sources", "a/target/surefire-reports/generated"]
@@ -36,11 +36,10 @@ def f10(spark, d):
     return table(spark, d, "part").select("p_partkey", P.is_trivial_accessor(name, signature, k == 5).alias("trivial"))
 
 
-@query("f14_controller_like", "SELECT c_custkey FROM customer WHERE c_custkey % 4 < 2")
+@query("f14_controller_like", f"WITH {METHODS_SQL}, e AS (SELECT 'event//' || event_id AS id, 'Api' || event_type AS class_name FROM events WHERE value > 50) SELECT id FROM methods WHERE contains(class_name, 'Controller') UNION ALL SELECT id FROM e")
 def f14(spark, d):
-    k = F.col("c_custkey") % 4
-    name = F.concat("c_mktsegment", F.when(k == 0, "ApiV2").when(k == 1, "ResourceImpl").when(k == 2, "Service"))
-    return table(spark, d, "customer").filter(P.is_controller_like(name)).select("c_custkey")
+    named = code_methods(spark, d).select("id", "class_name").union(table(spark, d, "events").select(F.concat(F.lit("event//"), "event_id"), F.when(F.col("value") > 50, F.concat(F.lit("Api"), "event_type")).otherwise(F.col("event_type"))))
+    return named.filter(P.is_controller_like(F.col("class_name"))).select("id")
 
 
 @query("f15_modules_of_domain", "SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND contains(lower(n_name), 'i')")
@@ -79,12 +78,13 @@ def x3(spark, d):
 
 
 @query("x2_terms_of_names", """SELECT id, array_to_string(list_transform(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: 'term//' || x), ',') AS terms FROM
-  (SELECT p_partkey AS id, string_split(lower(p_type), ' ') AS l FROM part)""")
+  (SELECT p_partkey AS id, [split_part(p_name, ' ', 2), lower(p_type), split_part(p_name, ' ', 1)] AS l FROM part)""")
 def x2(spark, d):
+    """Whole words first, here the name's last one and the type; then the parts of the camel-case name."""
     part = table(spark, d, "part")
-    words = part.select(F.explode(F.split("p_type", " ")).alias("name")).distinct()
+    words = part.select(F.explode(F.concat(F.split("p_name", " "), F.array(F.lower("p_type")))).alias("name")).distinct()
     lookup = S.term_lookup(words.select(F.concat(F.lit("term//"), F.lower("name")).alias("id"), "name", F.array().cast("array<string>").alias("synonyms"), F.lit(0).alias("ordinal")))
-    named = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("get_"), F.replace(F.initcap(F.lower("p_type")), F.lit(" "), F.lit(""))).alias("text"))
+    named = part.select(F.col("p_partkey").alias("id"), F.concat(F.substring_index("p_name", " ", -1), F.lit(" get_"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.lit(" "), "p_type").alias("text"))
     return S.term_matches(named, lookup).select("id", F.array_join("term_ids", ",").alias("terms"))
 
 
@@ -156,20 +156,20 @@ def g12(spark, d):
     return call_chains(nodes(spark, d), calls(spark, d), impl, skipped, start, "up").select("node_id", "depth")
 
 
-_CLOSED = f"""WITH RECURSIVE {TRANSITIONS_SQL}, r AS (SELECT source_id, target_id FROM transitions UNION SELECT r.source_id, c.target_id FROM r JOIN transitions c ON c.source_id = r.target_id),
-  more AS (SELECT source_id, target_id FROM r WHERE source_id <> target_id EXCEPT SELECT source_id, target_id FROM transitions)"""
+_CLOSED = f"""WITH RECURSIVE {CALLS_SQL}, r AS (SELECT source_id, target_id FROM calls UNION SELECT r.source_id, c.target_id FROM r JOIN calls c ON c.source_id = r.target_id),
+  more AS (SELECT source_id, target_id FROM r WHERE source_id <> target_id EXCEPT SELECT source_id, target_id FROM calls)"""
 
 
-@query("g16_inferred_edges", f"{_CLOSED} SELECT source_id, target_id, true AS inferred FROM more UNION ALL SELECT source_id, target_id, false FROM transitions")
+@query("g16_inferred_edges", f"{_CLOSED} SELECT source_id, target_id, true AS inferred FROM more UNION ALL SELECT source_id, target_id, false FROM calls")
 def g16(spark, d):
-    return walk.with_inferred(transitions(spark, d).withColumn("rel_type", F.lit("calls")), "calls").select("source_id", "target_id", "inferred")
+    return walk.with_inferred(calls(spark, d).withColumn("rel_type", F.lit("calls")), "calls").select("source_id", "target_id", "inferred")
 
 
-@query("u2_reach_by_inference", f"{_CLOSED} SELECT target_id AS id FROM (SELECT target_id FROM more WHERE source_id = 'event//click' UNION SELECT target_id FROM transitions WHERE source_id = 'event//click') EXCEPT SELECT target_id FROM transitions WHERE source_id = 'event//click'")
+@query("u2_reach_by_inference", f"{_CLOSED} SELECT target_id AS id FROM more WHERE source_id = 'method://p100' EXCEPT SELECT target_id FROM calls WHERE source_id = 'method://p100'")
 def u2(spark, d):
-    own = transitions(spark, d).withColumn("rel_type", F.lit("calls"))
-    one_hop = lambda e: impact_closure(e, "event//click", max_hops=1).select("id").filter("id <> 'event//click'")
-    return one_hop(walk.with_inferred(own, "calls")).join(own.filter("source_id = 'event//click'").select(F.col("target_id").alias("id")), "id", "left_anti")
+    own = calls(spark, d).withColumn("rel_type", F.lit("calls"))
+    one_hop = lambda e: impact_closure(e, "method://p100", max_hops=1).select("id").filter("id <> 'method://p100'")
+    return one_hop(walk.with_inferred(own, "calls")).join(own.filter("source_id = 'method://p100'").select(F.col("target_id").alias("id")), "id", "left_anti")
 
 
 @query("u5_all_hits", "SELECT o_custkey AS id, o_totalprice AS score FROM orders UNION ALL SELECT c_custkey, c_acctbal FROM customer")
