@@ -48,7 +48,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm._components import components
-from loomgraph.llm._store import dropped, staged
+from loomgraph.llm._store import dropped, small_batches, staged
 from loomgraph.llm._words import mix64, shingle_sets
 
 COUNT_BITS = 20
@@ -317,8 +317,12 @@ def near_duplicate_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, root (the component's class; null without words) for each row: linked where 100 * common >= percent * union."""
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
+    with small_batches(docs.sparkSession):  # all that reads texts is written inside
+        return _linked(docs.select("doc_id", "text"), k, percent)
+
+
+def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     profiles = _profiles(docs, k)
     rows = profiles.filter("chunk IS NULL").select("doc_id", "text_hash", "n", "sid", "outline")
     table = _add_up(profiles.filter("chunk IS NOT NULL").select("chunk", "part", "counts"))
