@@ -12,7 +12,7 @@ side's and its last token the right side's, at edges where that proves the whole
   occurs in some valid encoding of its own surroundings is the encoding.
 
 When no window qualifies, the window ends up as the whole text, so the result is always that
-of the library. Documents are spread over tasks; only one text at a time lies in a task.
+of the library. Documents are spread over tasks; a task holds an Arrow batch of texts and the ids of one of them.
 
 Defined cases: a null text is an empty text (0 tokens, hash of the empty string); the special
 token's string in a text becomes the special id and decodes to itself; repeated rows are

@@ -8,7 +8,8 @@ directions can be computed from the row number alone.
 
 Defined cases: a null text has size 1 and crc32 0; a null doc_id sorts first; repeated rows
 get consecutive row numbers (which of two equal rows gets which is immaterial, their output
-columns agree); an empty table gives an empty result; columns of the input besides doc_id
+columns agree); a very long text is measured and hashed where it lies and never moves; an empty
+table gives an empty result; columns of the input besides doc_id
 and text are ignored, so their names can't clash.
 """
 

@@ -12,7 +12,8 @@ fragment, tracking parameters and a trailing slash of the path dropped.
 Defined cases: a null URL, or one without '://', has an empty host, path and canonical form;
 no host rule fits it and globs see the empty string. Longest host rule first; else the longest
 matching glob (a block before an allow of equal length); else allow. Repeated rows are judged
-alike; extra columns are ignored.
+alike; a very long URL is stepped through to its end; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

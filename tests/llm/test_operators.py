@@ -76,6 +76,8 @@ def test_empty_tables(spark, docs):
     assert rows(packing.pack(none, vocabularies.path("word_bpe_49k.json"))) == []
     assert rows(ngram_join.near_duplicate_classes(none, 3, 90)) == []
     assert rows(near_vectors.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))) == []
+    assert rows(url_filters.filter_urls(spark.createDataFrame([], "page_id long, url string"))) == []
+    assert rows(bpe.encode_documents(none, vocabularies.path("byte_bpe_50k.json"))) == []
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_classifier.fit_classifier(docs, labels) is None
     assert {r["predicted"] for r in quality_classifier.score_documents(docs, None).collect()} == {1}
