@@ -58,19 +58,25 @@ def impact_closure(edges: DataFrame, start_id: str, direction: str = "down", max
 def transitive_pairs(edges: DataFrame) -> DataFrame:
     """source_id, target_id of pairs reachable in two hops or more that aren't edges and aren't loops.
 
-    Paths double in each round. The result can have the square of the nodes' number; bound the
-    relation before calling it on a large one.
+    Lengths double in each round: the pairs at a distance of exactly 2^k are joined with all nearer ones and with
+    themselves, so that where one way leads from node to node each pair is made once. The result can have the
+    square of the nodes' number; bound the relation before calling it on a large one.
     """
-    base = staged(edges.select("source_id", "target_id").filter("source_id <> target_id").distinct(), "pairs")
-    known, n = base, base.count()
+    at = staged(edges.select("source_id", "target_id").filter("source_id <> target_id").distinct(), "pairs")  # at a distance of 2^k
+    known, nearer = [at], []
     while True:
-        longer = known.select("source_id", F.col("target_id").alias("via")).join(known.select(F.col("source_id").alias("via"), "target_id"), "via").select("source_id", "target_id")
-        known = staged(known.union(longer.filter("source_id <> target_id")).distinct(), "pairs")
-        now = known.count()
-        if now == n:
+        ways = _union([p.select(F.col("source_id").alias("via"), "target_id", F.lit(i).alias("exact")) for i, parts in enumerate((nearer, [at])) for p in parts])
+        longer = at.select("source_id", F.col("target_id").alias("via")).hint("merge").join(ways, "via").filter("source_id <> target_id")
+        held = _union([p.select("source_id", "target_id", F.lit(-1).alias("exact")) for p in known])
+        least = longer.select("source_id", "target_id", "exact").union(held).groupBy("source_id", "target_id").agg(F.min("exact").alias("exact"))
+        new = staged(least.filter("exact >= 0"), "pairs", "exact")
+        nearer = list(known)
+        between, at = (new.filter(F.col("exact") == i).select("source_id", "target_id") for i in (0, 1))
+        known += [between, at]
+        nearer.append(between)
+        if at.isEmpty():
             break
-        n = now
-    return known.join(base, ["source_id", "target_id"], "left_anti")
+    return _union(known[1:])
 
 
 def unary_roots(arcs: DataFrame) -> DataFrame:
