@@ -27,10 +27,10 @@ def term_matches(texts: DataFrame, lookup: DataFrame) -> DataFrame:
     """
     whole = F.regexp_extract_all("text", F.lit(r"([A-Za-z][a-zA-Z0-9]*)"), F.lit(1))
     tokens = F.concat(F.transform(whole, lambda t: F.lower(t)), F.flatten(F.transform(whole, camel_tokens)))
-    placed = texts.select("id", F.posexplode(tokens).alias("at", "term")).groupBy("id", "term").agg(F.min("at").alias("at"))
-    found = placed.join(lookup, "term").groupBy("id", "term_id").agg(F.min("at").alias("at"))
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # texts are short before they are exploded: dealt by number, not by size
+    placed = texts.select("id", "text").repartition(tasks, "id").select("id", F.posexplode(tokens).alias("at", "term"))  # repeats go at the end, so that nothing is grouped by word
     ordered = F.sort_array(F.collect_list(F.struct("at", "term_id")))
-    return found.groupBy("id").agg(F.transform(ordered, lambda x: x["term_id"]).alias("term_ids"))
+    return placed.join(lookup, "term").groupBy("id").agg(F.array_distinct(F.transform(ordered, lambda x: x["term_id"])).alias("term_ids"))
 
 
 def capability_links(methods: DataFrame, capabilities: list[tuple[str, str]]) -> DataFrame:
