@@ -23,7 +23,7 @@ def callee_lines(calls: DataFrame, texts: DataFrame, budget: int = 2000, left_ou
     lines as could ever fit before they are sorted.
     """
     known = texts.filter("text <> ''").select(F.col("id").alias("target_id"), F.concat(F.lit("- "), "name", F.lit(": "), "text").alias("line"))
-    lines = calls.select("source_id", "target_id").filter("source_id <> target_id").distinct().join(known, "target_id")
+    lines = calls.select("source_id", "target_id").filter("source_id <> target_id").distinct().join(known.hint("merge"), "target_id")
     in_order = W.partitionBy("source_id").orderBy("target_id")
     first = lines.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= budget // SHORTEST_LINE + 1)
     spent = first.withColumn("spent", F.sum(F.length("line")).over(in_order.rowsBetween(W.unboundedPreceding, 0)))
@@ -32,7 +32,7 @@ def callee_lines(calls: DataFrame, texts: DataFrame, budget: int = 2000, left_ou
     more = F.col("n") - F.coalesce("kept", F.lit(0))
     before, after = left_out.split("{}")
     rest = F.when(more > 0, F.array(F.concat(F.lit(before), more.cast("string"), F.lit(after)))).otherwise(F.array().cast("array<string>"))
-    return every.join(kept, "source_id", "left").select(F.col("source_id").alias("id"), F.array_join(F.concat(F.coalesce("lines", F.array().cast("array<string>")), rest), "\n").alias("callees"))
+    return every.join(kept.hint("merge"), "source_id", "left").select(F.col("source_id").alias("id"), F.array_join(F.concat(F.coalesce("lines", F.array().cast("array<string>")), rest), "\n").alias("callees"))
 
 
 def write_bottom_up(methods: DataFrame, calls: DataFrame, text: Callable[[Column, Column], Column], store: str, budget: int = 2000, left_out: str = LEFT_OUT) -> DataFrame:
@@ -43,8 +43,8 @@ def write_bottom_up(methods: DataFrame, calls: DataFrame, text: Callable[[Column
     methods and calls must be the same ones. Methods of a cycle share a level and don't see each other's texts.
     """
     spark = methods.sparkSession
-    known = calls.join(methods.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(methods.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-    placed = staged(methods.select("id", "name", "code").join(levels(known, methods.select("id")).select("id", "level"), "id"), "placed", "level")
+    known = calls.join(methods.select(F.col("id").alias("source_id")).hint("merge"), "source_id", "left_semi").join(methods.select(F.col("id").alias("target_id")).hint("merge"), "target_id", "left_semi")
+    placed = staged(methods.select("id", "name", "code").join(levels(known, methods.select("id")).select("id", "level").hint("merge"), "id"), "placed", "level")
     last = placed.agg(F.max("level")).first()[0]
     schema = "id string, name string, text string"
     done: list[DataFrame] = []
@@ -56,7 +56,7 @@ def write_bottom_up(methods: DataFrame, calls: DataFrame, text: Callable[[Column
                 below = done[0]
                 for more in done[1:]:
                     below = below.unionByName(more)
-                own = own.join(callee_lines(known.join(own.select(F.col("id").alias("source_id")), "source_id", "left_semi"), below, budget, left_out), "id", "left")
+                own = own.join(callee_lines(known.join(own.select(F.col("id").alias("source_id")).hint("merge"), "source_id", "left_semi"), below, budget, left_out).hint("merge"), "id", "left")
             else:
                 own = own.withColumn("callees", F.lit(""))
             own.select("id", "name", text(F.coalesce("code", F.lit("")), F.coalesce("callees", F.lit(""))).alias("text")).write.mode("overwrite").parquet(path)

@@ -29,8 +29,8 @@ def reach_sizes(edges: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataF
     merged = lambda df: df.groupBy("component", "block").agg(*[F.bit_or(c).alias(c) for c in columns])
     own = merged(numbered.select("component", F.expr(f"number DIV {size}").alias("block"), *bits))
     level_of = placed.select("component", "level").distinct()
-    own = staged(own.join(level_of, "component"), "own", "level")
-    ends = edges.join(placed.select(F.col("id").alias("source_id"), F.col("component").alias("caller"), F.col("level").alias("caller_level")), "source_id").join(placed.select(F.col("id").alias("target_id"), "component", "level"), "target_id")
+    own = staged(own.join(level_of.hint("merge"), "component"), "own", "level")
+    ends = edges.join(placed.select(F.col("id").alias("source_id"), F.col("component").alias("caller"), F.col("level").alias("caller_level")).hint("merge"), "source_id").join(placed.select(F.col("id").alias("target_id"), "component", "level").hint("merge"), "target_id")
     arcs = staged(ends.filter("caller <> component").select("caller", "caller_level", "component", "level").distinct(), "arcs", "level")
     last = placed.agg(F.max("level")).first()[0]
     handed: list[DataFrame] = []
@@ -44,15 +44,15 @@ def reach_sizes(edges: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataF
 
     for level in range(last or 0):
         up = arcs.filter(F.col("level") == level).select("component", "caller", "caller_level")
-        given = up.join(every(F.col("level") == level), "component").select(F.col("caller").alias("component"), F.col("caller_level").alias("level"), "block", *columns)
+        given = up.join(every(F.col("level") == level).hint("merge"), "component").select(F.col("caller").alias("component"), F.col("caller_level").alias("level"), "block", *columns)
         handed.append(staged(given.groupBy("component", "level", "block").agg(*[F.bit_or(c).alias(c) for c in columns]), "handed", "level"))
     held = sum((F.bit_count(c) for c in columns[1:]), F.bit_count(columns[0]))
     sizes = every().groupBy("component").agg(F.sum(held).alias("reached"))
-    return placed.join(sizes, "component").select("id", "reached")
+    return placed.join(sizes.hint("merge"), "component").select("id", "reached")
 
 
 def benefit_of_inference(edges: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
     """id, explicit, reached, gained: nodes reached by the edges that aren't inferred, by all, and the difference. edges: source_id, target_id, inferred."""
     ends = edges.select("source_id", "target_id")
     own = reach_sizes(edges.filter("NOT inferred").select("source_id", "target_id"), nodes, words).withColumnRenamed("reached", "explicit")
-    return own.join(reach_sizes(ends, nodes, words), "id").select("id", "explicit", "reached", (F.col("reached") - F.col("explicit")).alias("gained"))
+    return own.join(reach_sizes(ends, nodes, words).hint("merge"), "id").select("id", "explicit", "reached", (F.col("reached") - F.col("explicit")).alias("gained"))

@@ -1,7 +1,8 @@
 """Fixed-point operators: reachability, shortest hops, transitive closure, components, levels.
 
 Each round is one join and one anti-join, written to the shared folder, so that lineage stays
-short and a lost executor costs one round. All traversals are batched by start.
+short and a lost executor costs one round. All traversals are batched by start. Components and levels
+merge: a written table's small files hide how large its rows are, and a broadcast of them passes the driver.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def unary_roots(arcs: DataFrame) -> DataFrame:
     now, rounds = single, None
     while True:
         ahead = now.select(F.col("v").alias("root"), F.col("root").alias("next"), F.col("dist").alias("more"))
-        now = now.join(ahead, "root", "left")  # next is null once the root has no single arc
+        now = now.join(ahead.hint("merge"), "root", "left")  # next is null once the root has no single arc
         now = staged(now.select("v", "root", "dist", "next", "more"), "pointers")
         held = now.agg(F.count("*").alias("n"), F.count("next").alias("open")).first()
         rounds = held["n"].bit_length() if rounds is None else rounds - 1
@@ -103,10 +104,10 @@ def _without_ends(arcs: DataFrame) -> DataFrame:
     n = arcs.count()
     while n:
         for v, w in (("s", "t"), ("t", "s")):
-            ends = arcs.select(F.col(w).alias("id")).distinct().join(arcs.select(F.col(v).alias("id")), "id", "left_anti")
-            chains = unary_roots(arcs.select(F.col(v).alias("s"), F.col(w).alias("t"))).select("v", F.col("root").alias("id")).join(ends, "id", "left_semi")
+            ends = arcs.select(F.col(w).alias("id")).distinct().join(arcs.select(F.col(v).alias("id")).hint("merge"), "id", "left_anti")
+            chains = unary_roots(arcs.select(F.col(v).alias("s"), F.col(w).alias("t"))).select("v", F.col("root").alias("id")).join(ends.hint("merge"), "id", "left_semi")
             gone = ends.union(chains.select("v"))
-            arcs = staged(arcs.join(gone.select(F.col("id").alias(w)), w, "left_anti").select("s", "t"), "arcs")
+            arcs = staged(arcs.join(gone.select(F.col("id").alias(w)).hint("merge"), w, "left_anti").select("s", "t"), "arcs")
         now = arcs.count()
         if now == n:
             break
@@ -124,7 +125,7 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     every = staged(nodes.select("id").distinct(), "nodes")
     arcs = edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).filter("s <> t").distinct()
     for end in ("s", "t"):
-        arcs = arcs.join(every.select(F.col("id").alias(end)), end, "left_semi")
+        arcs = arcs.join(every.select(F.col("id").alias(end)).hint("merge"), end, "left_semi")
     arcs = staged(arcs.select("s", "t"), "arcs")
     done: list[DataFrame] = []
     while True:
@@ -134,23 +135,23 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         left = arcs.select(F.col("s").alias("id")).union(arcs.select("t")).distinct()
         colour = staged(left.select("id", F.col("id").alias("c")), "colour")
         while True:
-            pushed = arcs.join(colour, arcs.s == colour.id).groupBy(F.col("t").alias("id")).agg(F.max("c").alias("p"))
-            new = staged(colour.join(pushed, "id", "left").select("id", "c", F.greatest("c", F.coalesce("p", "c")).alias("n")), "colour")
+            pushed = arcs.join(colour.hint("merge"), arcs.s == colour.id).groupBy(F.col("t").alias("id")).agg(F.max("c").alias("p"))
+            new = staged(colour.join(pushed.hint("merge"), "id", "left").select("id", "c", F.greatest("c", F.coalesce("p", "c")).alias("n")), "colour")
             moved = not new.filter("n <> c").isEmpty()
             colour = new.select("id", F.col("n").alias("c"))
             if not moved:
                 break
-        own = arcs.join(colour.select(F.col("id").alias("s"), F.col("c").alias("cs")), "s").join(colour.select(F.col("id").alias("t"), F.col("c").alias("ct")), "t").filter("cs = ct").select("s", "t")
+        own = arcs.join(colour.select(F.col("id").alias("s"), F.col("c").alias("cs")).hint("merge"), "s").join(colour.select(F.col("id").alias("t"), F.col("c").alias("ct")).hint("merge"), "t").filter("cs = ct").select("s", "t")
         roots = colour.filter("id = c").select(F.col("id").alias("start_id"), F.col("id").alias("node_id"))
         back = bfs(own.select(F.col("s").alias("source_id"), F.col("t").alias("target_id")), roots, direction="up")
         found = staged(back.select(F.col("node_id").alias("id"), F.col("start_id").alias("component")), "components")
         done.append(found)
         for end in ("s", "t"):
-            arcs = arcs.join(found.select(F.col("id").alias(end)), end, "left_anti")
+            arcs = arcs.join(found.select(F.col("id").alias(end)).hint("merge"), end, "left_anti")
         arcs = staged(arcs.select("s", "t"), "arcs")
     if not done:
         return every.select("id", F.col("id").alias("component"))
-    return every.join(_union(done), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return every.join(_union(done).hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -161,26 +162,26 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     all its callees are.
     """
     parts = staged(strong_components(edges, nodes), "parts")
-    arcs = edges.join(parts.select(F.col("id").alias("source_id"), F.col("component").alias("s")), "source_id").join(parts.select(F.col("id").alias("target_id"), F.col("component").alias("t")), "target_id")
+    arcs = edges.join(parts.select(F.col("id").alias("source_id"), F.col("component").alias("s")).hint("merge"), "source_id").join(parts.select(F.col("id").alias("target_id"), F.col("component").alias("t")).hint("merge"), "target_id")
     arcs = staged(arcs.filter("s <> t").select("s", "t").distinct(), "arcs")
     chained = staged(unary_roots(arcs), "chained")
     out = arcs.groupBy("s").agg(F.count("*").alias("n"))
     several = out.filter("n > 1").select("s")
-    jumps = arcs.join(several, "s", "left_semi").join(chained.select(F.col("v").alias("t"), "root", "dist"), "t", "left")
+    jumps = arcs.join(several.hint("merge"), "s", "left_semi").join(chained.select(F.col("v").alias("t"), "root", "dist").hint("merge"), "t", "left")
     jumps = staged(jumps.select("s", F.coalesce("root", "t").alias("t"), (F.coalesce("dist", F.lit(0)) + 1).alias("far")).groupBy("s", "t").agg(F.max("far").alias("far")), "jumps")
     need = staged(jumps.groupBy("s").agg(F.count("*").alias("need")), "need")
     every = parts.select(F.col("component").alias("c")).distinct()
-    frontier = staged(every.join(out.select(F.col("s").alias("c")), "c", "left_anti").select("c", F.lit(0).cast("long").alias("level")), "level")
+    frontier = staged(every.join(out.select(F.col("s").alias("c")).hint("merge"), "c", "left_anti").select("c", F.lit(0).cast("long").alias("level")), "level")
     rounds, waiting = [frontier], None
     while True:
-        reached = jumps.join(frontier, jumps.t == frontier.c).groupBy("s").agg(F.count("*").alias("got"), F.max(F.col("level") + F.col("far")).alias("level"))
+        reached = jumps.join(frontier.hint("merge"), jumps.t == frontier.c).groupBy("s").agg(F.count("*").alias("got"), F.max(F.col("level") + F.col("far")).alias("level"))
         both = reached if waiting is None else reached.unionByName(waiting)
-        met = staged(both.groupBy("s").agg(F.sum("got").alias("got"), F.max("level").alias("level")).join(need, "s"), "met")
+        met = staged(both.groupBy("s").agg(F.sum("got").alias("got"), F.max("level").alias("level")).join(need.hint("merge"), "s"), "met")
         frontier, waiting = met.filter("got = need").select(F.col("s").alias("c"), "level"), met.filter("got < need").select("s", "got", "level")
         if frontier.isEmpty():
             break
         rounds.append(frontier)
     placed = _union(rounds)
-    above = chained.join(placed.select(F.col("c").alias("root"), "level"), "root").select(F.col("v").alias("c"), (F.col("level") + F.col("dist")).alias("level"))
+    above = chained.join(placed.select(F.col("c").alias("root"), "level").hint("merge"), "root").select(F.col("v").alias("c"), (F.col("level") + F.col("dist")).alias("level"))
     best = placed.unionByName(above)
-    return parts.join(best, parts.component == best.c).select("id", "component", F.col("level").cast("int").alias("level"))
+    return parts.join(best.hint("merge"), parts.component == best.c).select("id", "component", F.col("level").cast("int").alias("level"))

@@ -225,7 +225,7 @@ def a8(spark, d):
 def _part_levels(spark, d):
     """p_partkey, p_brand, level of every part: its method's level in the call graph."""
     part = table(spark, d, "part").select("p_partkey", "p_brand", F.concat(F.lit("method://p"), "p_partkey").alias("id"))
-    return part.join(levels(calls(spark, d), part.select("id")).select("id", "level"), "id").select("p_partkey", "p_brand", "level")
+    return part.join(levels(calls(spark, d), part.select("id")).select("id", "level").hint("merge"), "id").select("p_partkey", "p_brand", "level")
 
 
 @query("a12_module_level_pivot", """SELECT p_brand AS module_id, count(*) FILTER (level = 0) AS l0, count(*) FILTER (level BETWEEN 1 AND 5) AS low, count(*) FILTER (level > 5) AS high FROM
