@@ -74,9 +74,10 @@ def bean_calls(code: Column) -> Column:
     declared = F.filter(F.arrays_zip(part(typed, 2).alias("v"), part(typed, 1).alias("t")), lambda x: x["t"].rlike("^[A-Z]"))
     known = F.concat(news, declared)
     uses = F.arrays_zip(part(used, 1).alias("v"), part(used, 2).alias("f"))
-    own = lambda u: F.get(F.filter(known, lambda x: x["v"] == u["v"]), 0)["t"]
+    own = lambda k, u: F.get(F.filter(k, lambda x: x["v"] == u["v"]), 0)["t"]
     field = lambda f: F.when(f.rlike("^[A-Z][a-z]"), F.concat(F.lower(F.substring(f, 1, 1)), F.substr(f, F.lit(2)))).otherwise(f)
-    return F.filter(F.transform(uses, lambda u: F.struct(own(u).alias("class_name"), field(u["f"]).alias("field"))), lambda x: x["class_name"].isNotNull())
+    found = lambda k: F.filter(F.transform(uses, lambda u: F.struct(own(k, u).alias("class_name"), field(u["f"]).alias("field"))), lambda x: x["class_name"].isNotNull())
+    return F.get(F.transform(F.array(known), found), 0)  # what is known is made out once a text, not once a use
 
 
 def embed_text(name: Column, kind: Column, owner: Column, *more: Column) -> Column:

@@ -54,7 +54,8 @@ def bean_contexts(codes: DataFrame, comments: DataFrame, most_chars: int = 1500)
 
     codes: id, code; comments: class_name, field, comment.
     """
-    uses = codes.select("id", F.posexplode(bean_calls(F.col("code"))).alias("pos", "use")).select("id", "pos", "use.class_name", "use.field")
+    tasks = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # all that follows goes by id and finds it dealt
+    uses = codes.select("id", "code").repartition(tasks, "id").select("id", F.posexplode(bean_calls(F.col("code"))).alias("pos", "use")).select("id", "pos", "use.class_name", "use.field")
     once = uses.groupBy("id", "class_name", "field").agg(F.min("pos").alias("pos"))
     lines = once.join(comments.filter("comment <> ''"), ["class_name", "field"]).select("id", "pos", F.concat("class_name", F.lit("."), "field", F.lit(": "), "comment").alias("line"))
     total = F.sum(F.length("line")).over(W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
