@@ -9,7 +9,7 @@ from loomgraph.functions.lexical import query_terms
 from loomgraph.operators.containment import containing, first_containing
 from loomgraph.operators.retrieval import nearest_to
 from loomgraph.operators.semantic import capability_links
-from loomgraph.operators.traverse import bfs
+from loomgraph.operators.traverse import transitive_pairs
 from loomgraph.queries._registry import query
 from loomgraph.session import table
 from loomgraph.sources.code import module_of
@@ -82,8 +82,10 @@ def a16(spark, d):
   SELECT start_id, count(*) - 1 AS reached, count(*) - 2 AS gained FROM r GROUP BY 1 ORDER BY gained DESC, start_id LIMIT 8""")
 def a19(spark, d):
     starts = table(spark, d, "part").select(F.concat(F.lit("method://p"), "p_partkey").alias("start_id"))
-    reached = bfs(calls(spark, d), starts.select("start_id", F.col("start_id").alias("node_id")))
-    sizes = reached.groupBy("start_id").agg((F.count("*") - 1).alias("reached"), F.count_if(F.col("hop") > 1).alias("gained"))
+    direct = calls(spark, d).filter("source_id <> target_id").distinct().select(F.col("source_id").alias("start_id"), F.lit(False).alias("far"))
+    ways = direct.union(transitive_pairs(calls(spark, d)).select("source_id", F.lit(True))).groupBy("start_id").agg(F.count("*").alias("reached"), F.count_if("far").alias("gained"))
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    sizes = starts.distinct().join(ways, "start_id", "left").select("start_id", none("reached"), none("gained"))
     return sizes.orderBy(F.desc("gained"), "start_id").limit(8)
 
 
