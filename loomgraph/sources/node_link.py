@@ -7,15 +7,18 @@ the ends of its elements without reading it whole.
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.store import read_text, shared_dir, write_text
+from loomgraph.store import read_text, shared_dir, staged, write_text
 
 HEAD = '{\n  "directed": true,\n  "multigraph": true,\n  "graph": {},\n  "nodes": ['
+ELEMENTS_A_FILE = 500_000
 BETWEEN, TAIL = '  ],\n  "links": [', "  ]\n}"
 
 
@@ -25,22 +28,26 @@ def _elements(rows: DataFrame, section: int, key: list[str]) -> DataFrame:
     return rows.select(F.lit(section).alias("section"), F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).alias("key"), F.concat(F.lit("    {\n      "), F.substr(inner, F.lit(1), F.length(inner) - 1), F.lit("\n    }")).alias("text"))
 
 
-def write_node_link(nodes: DataFrame, edges: DataFrame, path: str, version: str = "default", parts: int = 1) -> None:
+def write_node_link(nodes: DataFrame, edges: DataFrame, path: str, version: str = "default", parts: int = 1, elements_a_file: int = ELEMENTS_A_FILE) -> None:
     """``path``/graph.json, a folder of text parts that are one JSON document one after another, and ``path``/meta.json with the version and the numbers of nodes and edges.
 
-    nodes: id and any columns but nulls; edges: source_id, target_id, rel_type and any others, written as source, target, and key. parts: how many files there are.
+    nodes: id and any columns but nulls; edges: source_id, target_id, rel_type and any others, written as source, target, and key. parts: how many files there are at least; none gets many more than ``elements_a_file`` elements to sort.
     """
     spark = nodes.sparkSession
     links = edges.withColumnsRenamed({"source_id": "source", "target_id": "target"})
-    counts = {"version": version, "nodes": nodes.count(), "edges": edges.count()}
-    rows = _elements(nodes, 1, ["id"]).unionByName(_elements(links, 3, ["source", "target", "rel_type"]))
+    rows = staged(_elements(nodes, 1, ["id"]).unionByName(_elements(links, 3, ["source", "target", "rel_type"])), "elements")
+    held = rows.groupBy("section").agg(F.count("*").alias("n"), F.max(F.struct("key", "text")).alias("last")).collect()  # two rows
+    n = {r["section"]: r["n"] for r in held}
+    counts = {"version": version, "nodes": n.get(1, 0), "edges": n.get(3, 0)}
     fixed = spark.createDataFrame([(0, "", HEAD), (2, "", BETWEEN), (4, "", TAIL)], "section int, key string, text string")
-    equal = rows.groupBy("section", "key", "text").agg(F.count("*").alias("n"))  # links may come several times
-    last = equal.groupBy("section").agg(F.max(F.struct("key", "text", F.col("n").alias("i"))).alias("last"))  # two rows
-    each = equal.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).join(F.broadcast(last), "section")
-    comma = F.when(F.struct("key", "text", "i") == F.col("last"), "").otherwise(",")
-    every = fixed.select("*", F.lit(0).cast("long").alias("i"), F.lit("").alias("after")).unionByName(each.select("section", "key", "text", "i", comma.alias("after")))
-    ordered = every.repartitionByRange(parts, "section", "key", "text", "i").sortWithinPartitions("section", "key", "text", "i")
+    # All but the section's last element have a comma after them; of several that equal it (links may come several times), one has none.
+    last = [(F.col("section") == r["section"]) & (F.col("key") == r["last"]["key"]) & (F.col("text") == r["last"]["text"]) for r in held]
+    is_last = functools.reduce(operator.or_, last, F.lit(False))
+    plain = rows.filter(~is_last).withColumn("i", F.lit(1).cast("long"))
+    ends = rows.filter(is_last).groupBy("section", "key", "text").agg(F.count("*").alias("n")).withColumn("i", F.explode(F.sequence(F.col("n"), F.lit(1).cast("long"))))
+    every = fixed.select("*", F.lit(0).cast("long").alias("i"), F.lit("").alias("after")).unionByName(plain.withColumn("after", F.lit(","))).unionByName(ends.select("section", "key", "text", "i", F.when(F.col("i") == F.col("n"), "").otherwise(",").alias("after")))
+    files = max(parts, -(-sum(n.values()) // elements_a_file))
+    ordered = every.repartitionByRange(files, "section", "key", "text", "i").sortWithinPartitions("section", "key", "text", "i")
     ordered.select(F.concat("text", "after").alias("value")).write.mode("overwrite").text(f"{path}/graph.json")
     write_text(spark, f"{path}/meta.json", json.dumps(counts, indent=2, ensure_ascii=False))
 
