@@ -52,7 +52,8 @@ def ontology_triples(nodes: DataFrame, edges: DataFrame, base: str = BASE, trans
     out = parts[0]
     for more in parts[1:]:
         out = out.union(more)
-    return out.distinct()
+    # Dealt by triple before repeats go: a task's table of triples holds its share of them, not what its splits of the input make.
+    return out.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "triple").distinct()
 
 
 def write_ontology(nodes: DataFrame, edges: DataFrame, path: str, **options) -> None:
