@@ -11,6 +11,7 @@ from loomgraph.functions.predicates import is_method_node
 from loomgraph.operators.graph import neighbours
 from loomgraph.operators.policy import TABLE_TO_METHOD, WalkPolicy, allowed_edges
 from loomgraph.operators.traverse import bfs
+from loomgraph.store import staged
 
 
 def _text(c: str) -> Column:
@@ -55,7 +56,7 @@ def concept_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.filter("source_id IS NOT NULL")
 
 
-def templates_of_methods(templates: DataFrame, methods: DataFrame) -> DataFrame:
+def templates_of_methods(templates: DataFrame, methods: DataFrame, pairs_a_task: int = 2_000_000) -> DataFrame:
     """id, template_id, each once: the templates stored under a method's id in either spelling, or under the simple name of its class and its own name, in any case.
 
     templates: template_id, method_id, class_name, method_name. methods: id, class_name, name, signature, location. A method without
@@ -67,9 +68,30 @@ def templates_of_methods(templates: DataFrame, methods: DataFrame) -> DataFrame:
     head = F.substring_index(F.trim(F.substring_index(_text("signature"), "(", 1)), " ", -1)
     named = F.when(_text("name") != "", F.lower(_text("name"))).when(F.instr("signature", "(") > 0, F.lower(F.substring_index(head, ".", -1))).otherwise("")
     file_class = F.lower(F.regexp_extract(F.translate(_text("location"), "\\", "/"), r"(?i)(\w+Mapper)\.java", 1))
-    own = methods.select("id", F.when(simple("class_name") != "", simple("class_name")).otherwise(file_class).alias("_class"), named.alias("_name")).filter("_class <> '' AND _name <> ''")
-    pairs = templates.select("template_id", simple("class_name").alias("_class"), F.lower(_text("method_name")).alias("_name"))
-    return direct.union(own.join(pairs, ["_class", "_name"]).select("id", "template_id")).distinct()
+    own = methods.select("id", F.when(simple("class_name") != "", simple("class_name")).otherwise(file_class).alias("_class"), named.alias("_name")).filter("_class <> '' AND _name <> ''").distinct()
+    own = staged(own, "named")
+    pairs = templates.select("template_id", simple("class_name").alias("_class"), F.lower(_text("method_name")).alias("_name")).filter("_class <> '' AND _name <> ''").distinct()
+    pairs = staged(pairs, "pairs")
+    # Only ids of several names can meet a template twice by name; and what was stored under an id is found by name too if the template has the id's name.
+    several = staged(own.groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1").select("id"), "several")
+    twice = direct.distinct().join(own, "id").join(pairs, ["template_id", "_class", "_name"], "left_semi").select("id", "template_id")
+    rest = direct.distinct().join(twice.distinct(), ["id", "template_id"], "left_anti")
+    by_name = _met(own.join(several, "id", "left_anti"), pairs, pairs_a_task)
+    if not several.isEmpty():
+        by_name = by_name.union(_met(own.join(several, "id", "left_semi"), pairs, pairs_a_task).distinct())
+    return rest.union(by_name)
+
+
+def _met(own: DataFrame, pairs: DataFrame, pairs_a_task: int) -> DataFrame:
+    """id, template_id of one class and name; a name that very many share on both sides is dealt over several tasks by what it gives."""
+    by = ["_class", "_name"]
+    deals = own.groupBy(by).agg(F.count("*").alias("_own")).join(pairs.groupBy(by).agg(F.count("*").alias("_pairs")), by)
+    deals = deals.select(*by, F.ceil(F.least(F.col("_own").cast("double") * F.col("_pairs") / pairs_a_task, F.col("_pairs").cast("double"))).cast("int").alias("_deals"))
+    dealt = pairs.join(deals, by).select(*by, "template_id", F.pmod(F.xxhash64("template_id"), F.col("_deals").cast("long")).cast("int").alias("_deal"))
+    blocks = own.join(deals, by).select(*by, "id", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1)).alias("_deal"))
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as that, not fewer: the output is much larger than the input
+    spread = lambda df: df.repartition(tasks, *by, "_deal")
+    return spread(dealt).hint("merge").join(spread(blocks), [*by, "_deal"]).select("id", "template_id")
 
 
 def service_facts(entities: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame]:
