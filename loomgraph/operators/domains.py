@@ -76,7 +76,7 @@ def requirement_entries(hits: DataFrame, levels: DataFrame, most: int = 10) -> D
 
     hits: item, id, score; levels: id, level (a method without one is at 0). Score: ten for each level, five for each item, two for each unit of summed similarity; ties by id.
     """
-    found = hits.groupBy("id").agg(F.countDistinct("item").alias("coverage"), F.round(F.sum("score"), 4).alias("total")).join(levels.select("id", "level"), "id", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    found = hits.groupBy("id").agg(F.countDistinct("item").alias("coverage"), F.round(F.sum("score"), 4).alias("total")).join(levels.select("id", "level").hint("merge"), "id", "left").withColumn("level", F.coalesce("level", F.lit(0)))
     scored = found.select("id", "level", "coverage", "total", F.round(10 * F.col("level") + 5 * F.col("coverage") + 2 * F.col("total"), 4).alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(most)
 
