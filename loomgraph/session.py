@@ -22,3 +22,11 @@ def build_session(app: str = "loomgraph", master: str | None = None, **conf: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(rows: DataFrame, *keys: str, read: DataFrame | None = None) -> DataFrame:
+    """Rows of a table as it is read (or made of ``read``), dealt by their keys over four tasks for each split, before repeats go or rows are grouped.
+
+    A number of tasks that AQE chooses goes by compressed bytes, of which tables of groups take many times more; so a task holds a quarter of a split, however large the table.
+    """
+    return rows.repartition(4 * (rows if read is None else read).rdd.getNumPartitions(), *keys)
