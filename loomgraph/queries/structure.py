@@ -9,7 +9,7 @@ from loomgraph.operators import containment as N
 from loomgraph.operators.budget import budgeted_walks, call_chains
 from loomgraph.operators.reach import benefit_of_inference
 from loomgraph.queries._registry import query
-from loomgraph.session import table
+from loomgraph.session import dealt, table
 from loomgraph.sources.tables import CALLS_SQL, EDGES_SQL, METHODS_SQL, calls, code_methods, edges
 
 _STATEMENTS_SQL = f"""statements AS (SELECT DISTINCT 'com.' || lower(l_returnflag) || '.' || regexp_replace(class_name, '(Service|Mapper|Controller|Facade).*$', '') || 'Mapper' AS namespace, 'STEP' || l_quantity::INT AS statement_id
@@ -47,9 +47,9 @@ def a20(spark, d):
 def j15(spark, d):
     methods = code_methods(spark, d).withColumn("ordinal", F.regexp_extract("id", r"\d+$", 0).cast("long")).withColumn("class_id", F.concat_ws("/", "package", "class_name"))
     classes = methods.groupBy("class_id", "package", F.col("class_name").alias("name")).agg(F.min("ordinal").alias("ordinal"))
-    sold = table(spark, d, "lineitem").select(F.concat(F.lit("method://p"), "l_partkey").alias("caller_id"), F.concat(F.lit("method://p"), "l_suppkey").alias("id"), "l_returnflag", F.concat(F.lit("step"), F.col("l_quantity").cast("int")).alias("callee")).distinct()
+    sold = table(spark, d, "lineitem").select(F.concat(F.lit("method://p"), "l_partkey").alias("caller_id"), F.concat(F.lit("method://p"), "l_suppkey").alias("id"), "l_returnflag", F.concat(F.lit("step"), F.col("l_quantity").cast("int")).alias("callee"))
     deferred = sold.join(methods.select("id", "package", "class_name"), "id").select("caller_id", F.concat_ws(".", F.when(F.col("l_returnflag") == "R", "org").otherwise(F.col("package")), "class_name").alias("target_fqn"), "callee")
-    return C.resolve_calls(deferred, classes, methods.select("id", "class_id", "signature", "ordinal"))
+    return C.resolve_calls(dealt(deferred, "caller_id", "callee", read=table(spark, d, "lineitem")), classes, methods.select("id", "class_id", "signature", "ordinal"))
 
 
 @query("g8_budgeted_walks", f"""WITH RECURSIVE {EDGES_SQL}, steps AS (SELECT source_id AS a, target_id AS b FROM edges WHERE rel_type = 'belongs_to' UNION SELECT target_id, source_id FROM edges WHERE rel_type = 'belongs_to'),
