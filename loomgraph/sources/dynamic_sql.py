@@ -89,7 +89,9 @@ def mapper_lines(files: DataFrame) -> DataFrame:
                         rows += [(kind, space, e.get("id"), e.tag, i, depth, line, ref) for i, (depth, line, ref) in enumerate(annotated(e))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(list(zip(*rows)) or [[]] * len(_FIELDS), _FIELDS)], names=[n for n, _ in _FIELDS])
 
-    return files.select("text").mapInArrow(parse, "kind string, namespace string, id string, op string, at int, depth int, line string, refid string")
+    # A few MB of a table can hold very many files: they are parsed in four tasks for each slot, not in one for each split.
+    dealt = files.select("text").repartition(4 * files.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(parse, "kind string, namespace string, id string, op string, at int, depth int, line string, refid string")
 
 
 def annotated_statements(files: DataFrame, with_includes: bool = True) -> DataFrame:
