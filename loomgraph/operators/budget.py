@@ -53,26 +53,27 @@ def call_chains(nodes: DataFrame, calls: DataFrame, implementations: DataFrame,
     depth. skipped(id) methods are never stepped to. A start whose chain is full walks no further.
     """
     methods = nodes.filter(F.lower("entity_type") == "method").select("id", F.coalesce("class_name", F.lit("")).alias("class_name"), F.coalesce("name", F.lit("")).alias("name"))
-    impl = implementations.select("interface_id", "id").distinct().join(methods.select("id"), "id", "left_semi")
+    impl = implementations.select("interface_id", "id").distinct().join(methods.select("id").hint("merge"), "id", "left_semi")
     faces = impl.groupBy(F.col("interface_id").alias("node_id")).agg(F.count("*").alias("n"), F.min("id").alias("only"))
     faces, several = staged(faces, "faces"), impl.select(F.col("interface_id").alias("node_id"), F.col("id").alias("next_id"))
-    steps = _steps(calls, direction).join(skipped.select(F.col("id").alias("next_id")), "next_id", "left_anti")
-    known = lambda df: df.join(methods.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    # What grows with the methods is merged, never broadcast: small as it is when compressed, it would pass the driver at every depth.
+    steps = staged(_steps(calls, direction).join(skipped.select(F.col("id").alias("next_id")).hint("merge"), "next_id", "left_anti"), "steps")
+    known = lambda df: df.join(methods.select(F.col("id").alias("node_id")).hint("merge"), "node_id", "left_semi")
     reached = known(starts.select("start_id", F.col("start_id").alias("node_id")).distinct())
     seen: DataFrame | None = None
     for depth in range(max_depth + 1):
-        fresh = reached.join(seen, ["start_id", "node_id"], "left_anti") if seen is not None else reached
-        turned = fresh.join(faces, "node_id", "left")
+        fresh = reached.join(seen.hint("merge"), ["start_id", "node_id"], "left_anti") if seen is not None else reached
+        turned = fresh.join(faces.hint("merge"), "node_id", "left")
         if seen is not None:
             gone = seen.select("start_id", F.col("node_id").alias("only"), F.lit(True).alias("gone"))
-            turned = turned.join(gone, ["start_id", "only"], "left")
+            turned = turned.join(gone.hint("merge"), ["start_id", "only"], "left")
         else:
             turned = turned.withColumn("gone", F.lit(None).cast("boolean"))
         jumps = (F.col("n") == 1) & F.col("gone").isNull()
         shown = turned.select("start_id", F.when(jumps, F.col("only")).otherwise(F.col("node_id")).alias("node_id"))
-        branches = turned.filter("n > 1").select("start_id", "node_id").join(several, "node_id").select("start_id", F.col("next_id").alias("node_id"))
+        branches = turned.filter("n > 1").select("start_id", "node_id").join(several.hint("merge"), "node_id").select("start_id", F.col("next_id").alias("node_id"))
         if seen is not None:
-            branches = branches.join(seen, ["start_id", "node_id"], "left_anti")
+            branches = branches.join(seen.hint("merge"), ["start_id", "node_id"], "left_anti")
         level = staged(shown.unionByName(branches).distinct().select("start_id", "node_id", F.lit(depth).alias("depth")), "chain")
         if level.isEmpty():
             break
@@ -83,9 +84,9 @@ def call_chains(nodes: DataFrame, calls: DataFrame, implementations: DataFrame,
         full = every.groupBy("start_id").count().filter(F.col("count") >= most_methods).select("start_id")
         hidden = staged(passed, "passed")
         seen = seen.unionByName(hidden)
-        reached = known(level.join(full, "start_id", "left_anti").join(steps, "node_id").select("start_id", F.col("next_id").alias("node_id")).distinct())
+        reached = known(level.join(full.hint("merge"), "start_id", "left_anti").join(steps.hint("merge"), "node_id").select("start_id", F.col("next_id").alias("node_id")).distinct())
     if seen is None:
         return starts.select("start_id", F.col("start_id").alias("node_id"), F.lit(0).alias("depth"), F.lit("").alias("class_name"), F.lit("").alias("name")).limit(0)
-    named = every.join(methods, every.node_id == methods.id).select("start_id", "node_id", "depth", "class_name", "name")
+    named = every.join(methods.hint("merge"), every.node_id == methods.id).select("start_id", "node_id", "depth", "class_name", "name")
     rank = F.row_number().over(W.partitionBy("start_id").orderBy("depth", "class_name", "name", "node_id"))
     return named.withColumn("rank", rank).filter(F.col("rank") <= most_methods).drop("rank")
