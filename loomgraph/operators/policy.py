@@ -35,15 +35,21 @@ def allowed_edges(edges: DataFrame, policy: WalkPolicy, direction: str = "down")
     return out.select("source_id", "target_id")
 
 
-def policy_neighbours(graphs: list[DataFrame], asked: DataFrame, policy: WalkPolicy, direction: str = "down") -> DataFrame:
+def policy_neighbours(graphs: list[DataFrame], asked: DataFrame, policy: WalkPolicy, direction: str = "down", tasks: int | None = None) -> DataFrame:
     """id, place, peer: for every asked id its neighbours, each once: those of the first graph, then what the next ones add, each in the order of ids.
 
-    graphs: source_id, target_id, rel_type; asked: id. Null and empty peers are none.
+    graphs: source_id, target_id, rel_type; asked: id. Null and empty peers are none. tasks: over how many all is dealt by id, else AQE chooses.
+
+    An asked id is a row before its neighbours: a semi join would be pushed below the graphs' unions, and ``asked`` be made anew for each of their parts.
     """
     near, far = ("source_id", "target_id") if direction == "down" else ("target_id", "source_id")
     every = None
     for i, edges in enumerate(graphs):
         own = allowed_edges(edges, policy, direction).select(F.col(near).alias("id"), F.col(far).alias("peer"), F.lit(i).alias("graph"))
         every = own if every is None else every.unionByName(own)
-    first = every.filter("peer <> ''").join(asked.select("id").distinct(), "id", "left_semi").groupBy("id", "peer").agg(F.min("graph").alias("graph"))
-    return first.select("id", F.row_number().over(W.partitionBy("id").orderBy("graph", "peer")).alias("place"), "peer")
+    asked = asked.select("id", F.lit(None).cast("string").alias("peer"), F.lit(-1).alias("graph"))
+    every = every.filter("peer <> ''").unionByName(asked).filter("id IS NOT NULL")
+    first = (every.repartition(tasks, "id") if tasks else every.repartition("id")).groupBy("id", "peer").agg(F.min("graph").alias("graph"))
+    own = W.partitionBy("id").orderBy("graph", "peer")
+    placed = first.withColumn("place", F.row_number().over(own) - 1).withColumn("asked", F.first("graph").over(own) < 0)
+    return placed.filter("asked AND place > 0").select("id", "place", "peer")

@@ -12,11 +12,11 @@ from loomgraph.operators.policy import WalkPolicy, allowed_edges, policy_neighbo
 from loomgraph.operators.propagate import write_bottom_up
 from loomgraph.operators.traverse import bfs, levels
 from loomgraph.queries._registry import query
-from loomgraph.session import table
+from loomgraph.session import table, tasks_of
 from loomgraph.sources.dynamic_sql import annotated_statements
 from loomgraph.sources.merge import merge_batch, read_merged
 from loomgraph.sources.node_link import read_node_link, write_node_link
-from loomgraph.sources.tables import CALLS_SQL, EDGES_SQL, METHODS_SQL, NODES_SQL, calls, code_methods, edges, nodes
+from loomgraph.sources.tables import CALLS_SQL, EDGES_SQL, METHODS_SQL, NODES_SQL, calls, code_methods, edge_sources, edges, nodes
 from loomgraph.store import shared_dir
 
 
@@ -85,9 +85,10 @@ def a16(spark, d):
 @query("n29_policy_neighbours", f"""WITH {EDGES_SQL}, own AS (SELECT source_id AS id, target_id AS peer, 0 AS g FROM edges WHERE rel_type <> 'uses' AND NOT starts_with(target_id, 'service://') UNION ALL SELECT source_id, target_id, 1 FROM calls),
   f AS (SELECT id, peer, min(g) AS g FROM own GROUP BY ALL) SELECT id, row_number() OVER (PARTITION BY id ORDER BY g, peer) AS place, peer FROM f""")
 def n29(spark, d):
-    first = edges(spark, d).filter("rel_type <> 'calls' OR source_id > 'method://p5'").unionByName(edges(spark, d).filter("rel_type = 'calls' AND source_id <= 'method://p5'"))
-    asked = edges(spark, d).select(F.col("source_id").alias("id"))
-    return policy_neighbours([first, calls(spark, d).withColumn("rel_type", F.lit("CALLS"))], asked, WalkPolicy(excluded_relations=("USES",), excluded_prefixes=("service://",)))
+    every = edges(spark, d, repeats=True)
+    first = every.filter("rel_type <> 'calls' OR source_id > 'method://p5'").unionByName(every.filter("rel_type = 'calls' AND source_id <= 'method://p5'"))
+    policy = WalkPolicy(excluded_relations=("USES",), excluded_prefixes=("service://",))
+    return policy_neighbours([first, calls(spark, d).withColumn("rel_type", F.lit("CALLS"))], edge_sources(spark, d), policy, tasks=tasks_of(table(spark, d, "lineitem")))
 
 
 @query("g5_policy_walk", f"""WITH RECURSIVE {EDGES_SQL}, ok AS (SELECT source_id, target_id FROM edges WHERE rel_type <> 'depends_on' AND NOT starts_with(target_id, 'service://') AND NOT starts_with(target_id, 'package//')),

@@ -29,4 +29,9 @@ def dealt(rows: DataFrame, *keys: str, read: DataFrame | None = None) -> DataFra
 
     A number of tasks that AQE chooses goes by compressed bytes, of which tables of groups take many times more; so a task holds a quarter of a split, however large the table.
     """
-    return rows.repartition(4 * (rows if read is None else read).rdd.getNumPartitions(), *keys)
+    return rows.repartition(tasks_of(rows if read is None else read), *keys)
+
+
+def tasks_of(read: DataFrame) -> int:
+    """Four tasks for each split of a table as it is read."""
+    return 4 * read.rdd.getNumPartitions()
