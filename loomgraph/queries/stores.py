@@ -15,7 +15,7 @@ from loomgraph.queries._registry import query
 from loomgraph.session import table, tasks_of
 from loomgraph.sources.dynamic_sql import annotated_statements
 from loomgraph.sources.merge import merge_batch, read_merged
-from loomgraph.sources.node_link import read_node_link, write_node_link
+from loomgraph.sources.node_link import read_elements, write_node_link
 from loomgraph.sources.tables import CALLS_SQL, EDGES_SQL, METHODS_SQL, NODES_SQL, calls, code_methods, edge_sources, edges, nodes
 from loomgraph.store import shared_dir
 
@@ -32,9 +32,10 @@ def k5(spark, d):
 @query("s14_node_link", f"WITH {NODES_SQL}, {EDGES_SQL} SELECT 'node' AS kind, id, coalesce(name, '') AS label FROM nodes UNION ALL SELECT 'link', source_id || '>' || target_id, rel_type FROM edges")
 def s14(spark, d):
     path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
-    write_node_link(nodes(spark, d), edges(spark, d), path, parts=4)
-    n, e, _ = read_node_link(spark, path, "id string, entity_type string, name string, module_id string", "source string, target string, rel_type string")
-    return n.select(F.lit("node").alias("kind"), "id", F.coalesce("name", F.lit("")).alias("label")).union(e.select(F.lit("link"), F.concat_ws(">", "source_id", "target_id"), "rel_type"))
+    write_node_link(nodes(spark, d), edges(spark, d), path, parts=4, compression="gzip")
+    e, is_link = read_elements(spark, path, "id string, name string, source string, target string, rel_type string"), F.col("is_link")
+    either = lambda link, node: F.when(is_link, link).otherwise(node)
+    return e.select(either(F.lit("link"), F.lit("node")).alias("kind"), either(F.concat_ws(">", "source", "target"), F.col("id")).alias("id"), either(F.col("rel_type"), F.coalesce("name", F.lit(""))).alias("label"))
 
 
 @query("x22_annotated_sql", """SELECT 'com.' || replace(p_brand, '#', '') AS namespace, 'q' || p_partkey AS statement_id, 'select' AS op,
